@@ -15,6 +15,15 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_checksums(write_token_files(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2))
 
 
+def op2_debruijn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .substring_dedup import substring_dedup
+
+    d = substring_dedup(documents(spark, sf_dir), width=50)
+    return d.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op3_jaccard_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_trie import ngram_jaccard
 
@@ -55,5 +64,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_jaccard_trie, op4_source_mixing, op5_exact_dedup, op6_feistel_sharding, op9_bpe_words, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_debruijn_spans, op3_jaccard_trie, op4_source_mixing, op5_exact_dedup, op6_feistel_sharding, op9_bpe_words, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
