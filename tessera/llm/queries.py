@@ -48,6 +48,27 @@ def op6_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), 16)
 
 
+def op7_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import predict_language
+
+    return predict_language(documents(spark, sf_dir))
+
+
+def op8_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .pii_crf import KINDS, find_pii
+
+    def text(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def of(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    d = find_pii(documents(spark, sf_dir)).withColumn("base", F.filter("spans", lambda s: s["base"]))
+    return d.select("doc_id", *map(of, KINDS), F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"))
+
+
 def op9_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from pyspark.sql import functions as F
@@ -64,5 +85,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_debruijn_spans, op3_jaccard_trie, op4_source_mixing, op5_exact_dedup, op6_feistel_sharding, op9_bpe_words, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_debruijn_spans, op3_jaccard_trie, op4_source_mixing, op5_exact_dedup, op6_feistel_sharding, op7_byte_gru, op8_pii_skip_chain, op9_bpe_words, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
