@@ -7,11 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import encode_decode
-from tessera.llm.common import documents, materialize
+from tessera.llm.common import documents, materialize, n_words
 from tessera.llm.exact_dedup import keep_exact
 from tessera.llm.jaccard_trie import keep_one
 from tessera.llm.mixing import mix_sources
-from tessera.llm.quality import quality
+from tessera.llm.quality import keep_quality
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Of a table with short rows, at most this many are broadcast; more are joined by a shuffle.
@@ -20,8 +20,8 @@ BROADCAST_ROWS = 500_000
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, without the lines that fail."""
-    d = quality(docs.select(*COLUMNS)).filter("kept")
-    return d.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", F.length("clean_text").cast("long").alias("n_chars"))
+    d = keep_quality(docs.select(*COLUMNS))
+    return d.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +40,6 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     m = mix_sources(docs).select("doc_id", "source", F.col("size").alias("__size"), "copies")
     m = materialize(m.groupBy(*key).agg(F.sort_array(F.collect_list("copies")).alias("__copies")), "mix")
     rows, most = m.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("__copies")), F.lit(0))).first()
-    from tessera.llm.common import n_words
-
     d = docs.select(*COLUMNS).withColumn("__size", n_words(F.col("text")))
     # rows alike in id, source and size take turns at their numbers of copies
     turn = F.row_number().over(W.partitionBy(*key).orderBy("text")) if most > 1 else F.lit(1)

@@ -18,6 +18,7 @@ BOILERPLATE = (
     r"(?i)all rights reserved|licen[sc]ed under|released under|terms of (use|service)|privacy policy"
     r"|cookie policy|we use cookies|enable javascript|lorem ipsum|click here|sign in|log in|subscribe now|copyright ©"
 )
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text")
 MIN_WORDS = 50
 MAX_LOST = 50  # per cent of a document's characters
 
@@ -40,7 +41,7 @@ def quality(docs: DataFrame, text_col: str = "text", min_words: int = MIN_WORDS,
     too: only the first stays. Ties cannot occur; repeated rows each get their own result; an empty table gives
     an empty result. Texts of any length are read whole.
     """
-    keep = [c for c in docs.columns if c not in {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text"}]
+    keep = [c for c in docs.columns if c not in ADDED]
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(*keep, text.alias("__t"))
     d = d.withColumn("__words", F.regexp_extract_all("__t", F.lit(WORD), F.lit(0)))
@@ -70,3 +71,16 @@ def quality(docs: DataFrame, text_col: str = "text", min_words: int = MIN_WORDS,
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     lost = (F.col("__chars") - F.length("clean_text")) * 100 > F.col("__chars") * max_lost
     return d.withColumn("base_failed", failed).withColumn("kept", ~failed & ~lost).drop("__chars")
+
+
+def keep_quality(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The documents that the rules keep, with their columns but those that ``quality`` replaces, their texts without the lines that failed.
+
+    The verdict drops rows in a generator: a filter on it would be pushed down into the expressions that it is
+    made of and evaluate them over and over.
+    """
+    d = quality(docs, text_col, **options)
+    clean = F.explode(F.when(F.col("kept"), F.array("clean_text")).otherwise(F.array().cast("array<string>"))).alias("__clean")
+    own = [c for c in docs.columns if c in d.columns and c not in ADDED]
+    d = d.select(*own, clean)
+    return d.select(*[F.col("__clean").alias(c) if c == text_col else F.col(c) for c in own])
