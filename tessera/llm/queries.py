@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .common import documents
 
 
@@ -86,4 +87,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_files, op2_debruijn_spans, op3_jaccard_trie, op4_source_mixing, op5_exact_dedup, op6_feistel_sharding, op7_byte_gru, op8_pii_skip_chain, op9_bpe_words, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_debruijn_spans": oracles.SUBSTRING,
+    "op3_jaccard_trie": oracles.JACCARD,
+    "op4_source_mixing": oracles.MIXING,
+    "op5_exact_dedup": oracles.EXACT,
+    "op10_quality_rules": oracles.QUALITY,
+}
