@@ -113,6 +113,9 @@ def fuzzy_ratio_names(spark, d):
     return n.join(F.broadcast(first), F.lit(True)).select("p_name", "with_name", F.round(fuzzy_ratio("p_name", "with_name"), 6).alias("ratio"))
 
 
+QUERIES["fuzzy_ratio"] = QUERIES.pop("fuzzy_ratio_names")
+
+
 @query()
 def fuzzy_entity_match(spark, d):
     p = X.table(spark, d, "part")

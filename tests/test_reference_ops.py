@@ -205,7 +205,7 @@ def test_report_falls_back_to_earlier_rounds(spark):
 
 
 def test_every_query_runs_on_the_smallest_tables(spark):
-    names = ["semantic_dedup", "kb_dedup_decisions", "fuzzy_entity_match", "fuzzy_ratio_names", "hybrid_retrieve"]
+    names = ["semantic_dedup", "kb_dedup_decisions", "fuzzy_entity_match", "fuzzy_ratio", "hybrid_retrieve"]
     assert all(plans.QUERIES[n](spark, SF).count() > 0 for n in names)
 
 
