@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import json
 import os
 import uuid
 import zlib
@@ -27,8 +28,9 @@ from .segments import Odd, Pieces, careful
 
 LENGTH = 2048
 BATCH = 256  # sequences in a record batch
-CACHE = 1_200_000  # segments whose ids a Python worker keeps; then it starts anew
+CACHE = 1_600_000  # segments whose ids a Python worker keeps; then it starts anew
 JOIN = 256
+MARKS = ".,"
 INDEX = "file string, part int, no long, doc_id long, at long, n_tokens long"
 
 
@@ -49,6 +51,10 @@ class _Encoder:
         self.t.encode_special_tokens = True
         self.type = np.dtype("<u2" if self.t.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.newline = self._one("\n")
+        spec = json.loads(self.t.to_str())
+        before = spec.get("pre_tokenizer") or {}
+        #: Whether ids of segments, joined, are the ids of the text: true of a byte-level pattern alone.
+        self.cuts = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer")
         self.clear()
 
     def _one(self, s: str) -> list[int]:
@@ -59,22 +65,27 @@ class _Encoder:
         self.other: dict[str, bytes] = {}
 
     def learn(self, pieces: set[str]) -> None:
-        """Encode many new pieces in few calls: plain words are joined by line ends, which no word's ids can hold."""
-        if len(self.after) + len(pieces) > CACHE:
-            self.clear()
+        """Encode many new pieces in few calls: plain words are joined by line ends, which no word's ids can hold. Of
+        a word with a mark behind it the word and the mark are learned, as the pattern parts letters from marks."""
         new = [p for p in pieces if p not in self.after and p and not p[0].isspace()]
-        plain = [p for p in new if len(p.split()) == 1 and not any(c.isspace() for c in p)]
-        if len(self.newline) != 1:
-            plain = []
-        groups = [plain[i: i + JOIN] for i in range(0, len(plain), JOIN)]
-        for g in groups:
-            ids = self._one(" " + "\n ".join(g))
-            a = np.array(ids, self.type)
+        if len(self.after) + len(new) > CACHE:
+            self.clear()
+            new = [p for p in pieces if p and not p[0].isspace()]
+        marked = [p for p in new if p[-1] in MARKS and p[:-1].isalpha()]
+        new = {p for p in new if not (p[-1] in MARKS and p[:-1].isalpha())}
+        new.update(w for p in marked if (w := p[:-1]) not in self.after)
+        plain = [p for p in new if len(p.split()) == 1 and not any(map(str.isspace, p))] if len(self.newline) == 1 else []
+        for i in range(0, len(plain), JOIN):
+            g = plain[i: i + JOIN]
+            a = np.array(self._one(" " + "\n ".join(g)), self.type)
             cuts = np.flatnonzero(a == self.newline[0]).tolist()
             if len(cuts) != len(g) - 1:
-                continue  # left to the call for each piece
-            for p, i, j in zip(g, [-1, *cuts], [*cuts, len(a)]):
-                self.after[p] = a[i + 1: j].tobytes()
+                continue  # left to a call for each piece
+            data, size = a.tobytes(), self.type.itemsize
+            for p, lo, hi in zip(g, [-1, *cuts], [*cuts, len(a)]):
+                self.after[p] = data[(lo + 1) * size: hi * size]
+        for p in marked:
+            self.after[p] = self.after[p[:-1]] + self.literal(p[-1])
 
     def literal(self, s: str) -> bytes:
         got = self.other.get(s)
@@ -91,6 +102,10 @@ class _Encoder:
             return b"".join([self.literal(s) for s in careful(" ".join([first, *rest]))])
 
     def encode_all(self, texts: list[str]):
+        if not self.cuts:
+            for e in self.t.encode_batch_fast(texts, add_special_tokens=False):
+                yield np.array(e.ids, self.type).tobytes()
+            return
         split = [t.split(" ") for t in texts]
         self.learn(set(itertools.chain.from_iterable(s[1:] for s in split)))
         for first, *rest in split:

@@ -33,6 +33,15 @@ def rows_of(spark, which):
     return small(spark), small_rows()
 
 
+def test_other_tokenizers_encode_whole_texts():
+    e = token_files._Encoder(P.path("word_bpe_49k.json"))
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    t.encode_special_tokens = True
+    texts = ["Hello  World, twice. ", "", "a\nb"]
+    assert [np.frombuffer(x, e.type).tolist() for x in e.encode_all(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert not e.cuts and token_files._Encoder(JSON).cuts
+
+
 def test_segments_join():
     for t in mixed(500):
         assert "".join(segments.careful(t)) == t
