@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 HIDDEN = 8
 STEPS = 64
 WIDTH = 4096  # segments that run side by side
+PORTION = 4 << 20  # bytes of text that are laid out at once; a multiple of STEPS
 PER_LANGUAGE = 400  # the bound on training documents for each language
 SPAN = 1024  # bytes of a training document that are used, from a place chosen by its hash
 EPOCHS = 6
@@ -146,18 +147,35 @@ class Network:
 
     def documents(self, texts: list[bytes]) -> np.ndarray:
         """Mean probabilities over all positions of each text; zeros for an empty one."""
-        x, real, doc = segments(texts)
         total = np.zeros((len(texts), len(self.labels)))
-        for lo in range(0, x.shape[1], WIDTH):
-            p = self.positions(np.ascontiguousarray(x[:, lo: lo + WIDTH]))
-            n = real[lo: lo + WIDTH]
-            short = np.flatnonzero(n < STEPS)
-            if len(short):
-                p[:, short] *= (np.arange(STEPS)[:, None] < n[short])[:, :, None]
-            np.add.at(total, doc[lo: lo + WIDTH], p.sum(axis=0, dtype=np.float32))
+        for some, who in portions(texts):
+            x, real, doc = segments(some)
+            for lo in range(0, x.shape[1], WIDTH):
+                p = self.positions(np.ascontiguousarray(x[:, lo: lo + WIDTH]))
+                n = real[lo: lo + WIDTH]
+                short = np.flatnonzero(n < STEPS)
+                if len(short):
+                    p[:, short] *= (np.arange(STEPS)[:, None] < n[short])[:, :, None]
+                np.add.at(total, who[doc[lo: lo + WIDTH]], p.sum(axis=0, dtype=np.float32))
         return total / np.maximum([[len(t)] for t in texts], 1) if texts else total
 
 
+def portions(texts: list[bytes]):
+    """Texts, long ones in slices that end where a segment does, in lists of at most PORTION bytes; and whose they are."""
+    some, who, size = [], [], 0
+    for k, t in enumerate(texts):
+        for lo in range(0, len(t), PORTION):
+            piece = t[lo: lo + PORTION]
+            if some and size + len(piece) > PORTION:
+                yield some, np.array(who)
+                some, who, size = [], [], 0
+            some.append(piece)
+            who.append(k)
+            size += len(piece)
+    if some:
+        yield some, np.array(who)
+
+
 def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes (STEPS, segments), the real bytes in each segment, and the text of each."""
     n = np.array([len(t) for t in texts], np.int64)

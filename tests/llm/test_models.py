@@ -117,6 +117,14 @@ def test_gradients():
         assert abs((up - down) / (2 * e) - g[i]) < 0.03 * abs(g[i]) + 1e-4
 
 
+def test_portions_change_nothing(monkeypatch):
+    net = L.Network(["a", "b"])
+    texts = [b"x" * 1000, b"", b"hello world " * 40, b"z"]
+    want = net.documents(texts)
+    monkeypatch.setattr(L, "PORTION", 128)
+    assert np.allclose(net.documents(texts), want) and not want[1].any()
+
+
 def test_language(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = {r.doc_id: r.lang for r in d.select("doc_id", "lang").collect()}
