@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_sample
+
 KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)
 DIMENSIONS = 4096
@@ -269,12 +271,10 @@ def _touches(spans: list[tuple[int, int]], a: int, b: int) -> bool:
 
 
 def train_field(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, span: int = SPAN) -> SkipChain | None:
-    """From the first ``sample`` documents with a digit or an at sign by a hash of the text, at most ``span``
-    characters of each; None if these hold no base span."""
-    h = F.xxhash64(text_col)
-    d = docs.filter(F.col(text_col).rlike("[0-9@]")).select(F.col(text_col).alias("t"), h.alias("h"))
-    lead = F.pmod(F.col("h"), F.greatest(F.length("t") - F.lit(span), F.lit(1))).cast("int")
-    rows = d.select("h", F.substring(F.col("t"), lead + 1, F.lit(span)).alias("t")).orderBy("h", "t").limit(sample).collect()
+    """From at most ``sample`` documents with a digit or an at sign, at most ``span`` characters of each; None if these
+    hold no base span."""
+    d = docs.filter(F.col(text_col).rlike("[0-9@]"))
+    rows = sorted(bounded_sample(d, text_col, sample, span).collect())
     g = Graph()
     for r in rows:
         g.add(r.t)
