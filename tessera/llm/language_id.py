@@ -10,9 +10,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import bounded_sample
+
 HIDDEN = 8
 STEPS = 64
 WIDTH = 4096  # segments that run side by side
@@ -191,13 +192,10 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def train_network(docs: DataFrame, per_language: int = PER_LANGUAGE, span: int = SPAN) -> Network | None:
-    """Train on at most ``per_language`` labelled documents of each language, the first by a hash of the text, and of
-    each at most ``span`` bytes; the result is None without any labelled text."""
-    h = F.xxhash64("text")
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(h, "text"))
-    lead = F.pmod(h, F.greatest(F.length("text") - F.lit(span), F.lit(1))).cast("int")
+    """Train on at most ``per_language`` labelled documents of each language that a hash of the text picks, and of each
+    at most ``span`` bytes; the result is None without any labelled text."""
     d = docs.filter("text IS NOT NULL AND lang IS NOT NULL").filter(F.col("text").rlike(r"\p{L}"))
-    rows = d.withColumn("__k", rank).filter(F.col("__k") <= per_language).select("lang", F.substring(F.col("text"), lead + 1, F.lit(span)).alias("t")).collect()
+    rows = bounded_sample(d, "text", per_language, span, by="lang").collect()
     if not rows:
         return None
     rows = sorted((r.lang, r.t.encode()[:span]) for r in rows)
