@@ -6,12 +6,14 @@ have too many empty parts for this give the tokens of their prefix too. Who shar
 candidate groups, and each group's sets go into a trie under one global order, the most frequent n-gram first.
 Blocks of query sets go down the trie together, each node adding its overlap once for all sets below it, and
 leave a subtree as soon as the lengths that remain cannot give the overlap needed. Large groups are cut into
-chunks, and every pair of chunks is a task of its own. A task reports links that span what it found linked, so
+chunks of sets of about one size, and every pair of chunks whose sizes can be linked is a task of its own. A task reports links that span what it found linked, so
 components lose nothing and no group's pairs are written out.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,8 +24,9 @@ from .common import materialize, partitions
 from .components import connected_components
 from .wordhash import M1, M2, mix, starts, word_hashes
 
-SPARE = 3  # parts that may be empty in both sets
+SPARE = 3  # parts that may be empty in both sets, besides those that chance leaves empty
 CHUNK = 400_000  # n-grams in a chunk of a candidate group
+CODES = 1 << 32  # a chunk's number is its class times this, and its place in the class
 BATCH = 4_000_000  # characters of text handled at once
 
 
@@ -83,7 +86,11 @@ def candidate_keys(g: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarr
         ok = (n > 0) & (k >= 0)
         # of two linked sets the smaller has at most hi - 1 members: they differ in at most (hi - 1)(100 - t)/t
         differ = (lo[np.maximum(k, 0) + 1] - 1) * (100 - percent) // percent
-        parts = np.where(ok, differ + 1 + SPARE, 1)
+        # at a low threshold parts hold few n-grams: about `empty` of them none; a class has one number of parts
+        few = differ + 1 + SPARE
+        empty = few * np.exp(-lo[np.maximum(k, 0)] / few)
+        spare = SPARE + np.floor(1.3 * empty + 3 * np.sqrt(empty)).astype(np.int64)
+        parts = np.where(ok, differ + 1 + spare, 1)
         part = ((g >> np.uint64(32)) * parts[doc].astype(np.uint64)) >> np.uint64(32)
         cut = np.ones(len(g), bool)
         cut[1:] = (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])
@@ -94,7 +101,7 @@ def candidate_keys(g: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarr
         use = ok[d]
         keys.append(key[use])
         sets.append(d[use])
-        sparse |= ok & (parts - np.bincount(d, minlength=len(n)) > SPARE)
+        sparse |= ok & (parts - np.bincount(d, minlength=len(n)) > spare)
     first = starts(n)
     for d in np.flatnonzero(sparse).tolist():
         size = int(n[d])
@@ -281,12 +288,13 @@ def _member_rows(n: int):
                 g, size = shingle_sets([x or b"" for x in some.column("text").cast(pa.binary()).to_pylist()], n)
                 ends = np.cumsum(size)
                 rows = []
-                for e, s, doc, comp, c, chunks in zip(ends, size, *(some.column(x).to_pylist() for x in ("doc_id", "comp", "chunk", "chunks"))):
+                for e, s, doc, comp, c, others in zip(ends, size, *(some.column(x).to_pylist() for x in ("doc_id", "comp", "chunk", "others"))):
                     data = g[e - s: e].tobytes()
-                    for o in range(chunks):
-                        rows.append((comp, min(c, o), max(c, o), int(c > o), doc, data))
+                    for x in others:
+                        for o in range(x["first"], x["first"] + x["chunks"]):
+                            rows.append((comp, min(c, o), max(c, o), int(c > o), doc, data))
                 for i in range(0, len(rows), 500):
-                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i: i + 500]), kinds)], names=["comp", "i", "j", "side", "doc_id", "grams"])
 
     return run
@@ -352,16 +360,22 @@ def ngram_jaccard(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str =
     members = groups.join(same.select(F.col("b").alias("id")), "id", "left_anti").join(
         able.select(F.col("doc_id").alias("id"), "n").groupBy("id").agg(F.sum("n").alias("n")), "id")
     sizes = members.groupBy("component").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("__n")).filter("__n > 1")
-    members = members.join(sizes, "component").select(
-        F.col("id").alias("doc_id"), F.col("component").alias("comp"), F.ceil(F.col("total") / chunk).cast("int").alias("chunks"))
-    members = members.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
+    members = members.join(sizes, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("comp"), "n", "total")
+    # sets that can be linked are in the same class or in neighbours; the classes are a little wider than they need be
+    width = max(math.log(100 / percent), 0.01) * 1.0001
+    members = materialize(members.withColumn("class", F.when(F.col("total") > chunk, F.floor(F.log("n") / width)).otherwise(0).cast("long")), "classes")
+    classes = members.groupBy("comp", "class").agg(F.ceil(F.sum("n") / chunk).cast("long").alias("chunks"))
+    near_by = F.explode(F.array(*[F.col("class") + i for i in (-1, 0, 1)]))
+    others = classes.select("comp", near_by.alias("class"), F.struct((F.col("class") * CODES).alias("first"), "chunks").alias("o")).groupBy("comp", "class").agg(F.collect_list("o").alias("others"))
+    members = members.join(classes, ["comp", "class"]).join(others, ["comp", "class"]).select(
+        "doc_id", "comp", (F.col("class") * CODES + F.pmod(F.xxhash64("doc_id"), F.col("chunks"))).alias("chunk"), "others")
     members = materialize(members, "members")
     rows = members.count()
     m = members.withColumnRenamed("doc_id", "__id")
     if rows <= 500_000:
         m = F.broadcast(m)
     text = d.join(m, F.col("doc_id") == F.col("__id")).drop("__id")
-    shipped = text.mapInArrow(_member_rows(n), "comp long, i int, j int, side int, doc_id long, grams binary")
+    shipped = text.mapInArrow(_member_rows(n), "comp long, i long, j long, side int, doc_id long, grams binary")
     shipped = shipped.repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j")
     links = shipped.mapInArrow(_join_sorted(percent), "a long, b long")
     found = connected_components(links.unionByName(same), "links")

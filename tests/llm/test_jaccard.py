@@ -87,3 +87,27 @@ def test_keys_lose_no_pair():
 def test_empty(spark):
     assert J.ngram_jaccard(none(spark)).count() == 0
     assert J.keep_one(none(spark)).count() == 0
+
+
+def test_join_at_five_words_and_80_percent(spark, monkeypatch):
+    df, rows = small(spark), small_rows() + [dict(r, doc_id=-1 - r["doc_id"]) for r in near_rows()]
+    df = df.select("doc_id", "text").unionByName(spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows if r["doc_id"] < 0], "doc_id long, text string"))
+    of = shingles
+    monkeypatch.setitem(globals(), "shingles", lambda t: of(t, 5))
+    want = brute(rows, 80)
+    assert Counter(tuple(r) for r in J.ngram_jaccard(df, n=5, percent=80, chunk=5000).collect()) == want
+
+
+def test_keys_lose_no_pair_at_80_percent_and_large_sets_give_few():
+    r = np.random.default_rng(3)
+    for n in [*range(1, 60), 100, 333, 1000, 5000]:
+        a = np.unique(r.integers(0, 2**63, n).astype(np.uint64) << np.uint64(1))
+        for gone in sorted({*range(0, n // 5 + 1, max(1, n // 60)), n // 5}):
+            b = np.sort(np.concatenate([a[r.permutation(len(a))[gone:]], r.integers(0, 2**63, max(0, int(n * 0.2) - gone)).astype(np.uint64)]))
+            i = len(np.intersect1d(a, b))
+            if not len(b) or 100 * i < 80 * (len(a) + len(b) - i):
+                continue
+            key, which = J.candidate_keys(np.concatenate([a, b]), np.array([len(a), len(b)]), 80)
+            assert set(key[which == 0]) & set(key[which == 1]), (n, gone)
+    # fewer than two numbers of parts and the prefix together
+    assert len(J.candidate_keys(a, np.array([len(a)]), 80)[0]) < 0.6 * len(a)

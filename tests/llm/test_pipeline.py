@@ -14,6 +14,7 @@ from tessera.llm.mixing import mix_sources
 
 from .cases import SCHEMA, odd
 from .test_jaccard import brute as jaccard
+from .test_jaccard import shingles
 
 
 @pytest.mark.parametrize("which", ["odd", "small"])
@@ -66,3 +67,21 @@ def test_repeated_rows_in_the_mix(spark):
 
 def test_run(spark):
     assert C.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_near_copies_at_five_words_and_80_percent(spark):
+    """Near copies between this threshold and three words at 0.9, a pair below both, and one with its order changed."""
+    w = [f"v{i}" for i in range(50)]
+    other = lambda words, *at: " ".join("new" + x if i in at else x for i, x in enumerate(words))
+    x = [f"x{i}" for i in range(50)]
+    texts = [other(w), other(w, 25), other(w, 10, 40), other(x), other(x, 12, 13), " ".join([*x[25:], *x[:25]])]
+    rows = [{"doc_id": i, "text": t} for i, t in enumerate(texts)]
+
+    def linked(a, b, n, percent):
+        k = len(shingles(a, n) & shingles(b, n))
+        return 100 * k >= percent * (len(shingles(a, n)) + len(shingles(b, n)) - k)
+
+    assert linked(texts[0], texts[1], 5, 80) and not linked(texts[0], texts[1], 3, 90)
+    want = {r["doc_id"] for r in rows if not any(linked(r["text"], o["text"], 5, 80) for o in rows[:r["doc_id"]])}
+    df = spark.createDataFrame([(r["doc_id"], r["text"], None, "s", len(r["text"])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in C.near_duplicates(spark, df, "").collect()} == want
