@@ -1,9 +1,12 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
-Documents are taken in blocks. A block keeps its pre-tokens' positions as numbers into its own list of distinct
-words; the words of all blocks are shuffled and sorted, so that each distinct word is encoded once; its ids go
-back to every block that has it, and the block puts them in place by position. Decoding joins the token-byte
-table to the ids. A hot word costs one row a block, whatever its count.
+Documents are taken in blocks, and each block is written once, with a number of its own: its list of distinct words,
+and the pre-tokens' positions as numbers into that list. The words of all blocks are then shuffled and sorted, so
+that each distinct word is encoded once (once for each salt; a salt stands for about ``SALTED`` blocks, so a
+word that all blocks have does not end in one task). Ids are joined back to the blocks by their number, and a block
+puts them in place by position. Decoding looks the ids up in the token-byte table, which is as large as the
+vocabulary and part of each task. The exploded form, a row for each pre-token, has the same joins with more rows: a
+hot word costs a row for each block here, whatever its count.
 """
 
 from __future__ import annotations
@@ -13,18 +16,19 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import materialize_bucketed, partitions
 from .segments import Odd, Pieces, careful
 
 BLOCK = 24 << 20  # characters of text in a block; a longer document is a block of its own
 FLUSH = 400_000  # words whose ids a task of the word shuffle holds before it sends them back
+SALTED = 1024  # blocks whose words meet in one task
+BLOCKS = "sizes binary, words binary, head binary, data binary"
 WORDS = "word binary, block long, idx int"
-BLOCKS = "block long, kind int, idx binary, data binary"
+BACK = "block long, idx binary, data binary"
 
 
 @functools.lru_cache(maxsize=4)
@@ -65,7 +69,6 @@ class Block:
         self.ids: list = []
         self.docs: list[np.ndarray] = []
         self.size = 0
-        self.sum = xxhash.xxh3_64()
 
     def segment(self, s: str) -> int:
         w = self.word
@@ -89,12 +92,6 @@ class Block:
         self.docs.append(np.array(codes, np.int64))
         self.ids.append(doc_id)
         self.size += len(text) + 1
-        self.sum.update(text.encode())
-        self.sum.update(b"\xff%d" % len(codes))
-
-    def key(self) -> int:
-        """Of what the block holds: a block that another attempt makes otherwise never gets these words' ids."""
-        return self.sum.intdigest() - (1 << 63)
 
     def words(self) -> list[bytes]:
         return [w.encode() for w in self.word]
@@ -115,12 +112,12 @@ def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (end - size), size) + np.arange(end[-1] if len(end) else 0)
 
 
-def _blocks(batches, pattern: str):
+def _blocks(batches, pattern: str, block: int):
     b = Block(pattern)
     for batch in batches:
         for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
             t = t or ""
-            if b.size and b.size + len(t) > BLOCK:
+            if b.docs and b.size + len(t) > block:
                 yield b
                 b = Block(pattern)
             b.add(i, t)
@@ -128,45 +125,54 @@ def _blocks(batches, pattern: str):
         yield b
 
 
-def _slices(n: int, step: int = 50_000):
-    return ((i, min(n, i + step)) for i in range(0, n, step))
-
+def _block_rows(pattern: str, block: int):
+    """A row for each block: its words (how long each is; all bytes), and its documents."""
 
-def _word_rows(pattern: str):
     def run(batches):
-        for b in _blocks(batches, pattern):
-            words, key = b.words(), b.key()
-            for i, j in _slices(len(words)):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(words[i:j], pa.binary()), pa.array(np.full(j - i, key)), pa.array(np.arange(i, j, dtype=np.int32))], names=["word", "block", "idx"])
+        for b in _blocks(batches, pattern, block):
+            words = b.words()
+            flat, counts = b.positions()
+            ids = np.array([0 if i is None else i for i in b.ids], "<i8")
+            head = np.array([len(ids)], "<i8").tobytes() + ids.tobytes() + np.array([i is None for i in b.ids], np.uint8).tobytes() + counts.astype("<i8").tobytes()
+            row = (pack(np.array([len(w) for w in words], np.int64)), squeeze(b"".join(words)), head, pack(flat))
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names=["sizes", "words", "head", "data"])
 
     return run
 
 
+def _word_rows(batches):
+    """(word, block, idx), sorted by word within a block, so that neighbours share their beginnings in the shuffle."""
+    for batch in batches:
+        for sizes, data, block in zip(*(batch.column(c) for c in ("sizes", "words", "block"))):
+            ends = np.cumsum(unpack(sizes.as_py()))
+            raw = expand(data.as_py())
+            words = [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+            order = sorted(range(len(words)), key=words.__getitem__)
+            for i in range(0, len(order), 50_000):
+                k = order[i: i + 50_000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([words[x] for x in k], pa.binary()), pa.array(np.full(len(k), block.as_py(), np.int64)), pa.array(k, pa.int32())], names=["word", "block", "idx"])
+
+
+def squeeze(b: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b)
+
+
+def expand(b: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(b)
+
+
 def pack(x: np.ndarray) -> bytes:
     """Numbers by planes of bytes, compressed: what a block sends of its positions."""
-    return zstandard.ZstdCompressor(level=1).compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+    return squeeze(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def unpack(b: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    raw = np.frombuffer(expand(b), np.uint8)
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
 
 
-def _doc_rows(pattern: str):
-    def run(batches):
-        for b in _blocks(batches, pattern):
-            flat, counts = b.positions()
-            ids = np.array([0 if i is None else i for i in b.ids], "<i8")
-            head = ids.tobytes() + np.array([i is None for i in b.ids], np.uint8).tobytes() + counts.astype("<i8").tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([b.key()]), pa.array([1], pa.int32()), pa.array([np.array([len(ids)], "<i8").tobytes() + head], pa.binary()), pa.array([pack(flat)], pa.binary())],
-                names=["block", "kind", "idx", "data"])
-
-    return run
-
-
-def _encode_sorted(path: str):
+def _encode_sorted(path: str, most: int):
     """Rows come sorted by word: one call for each distinct word; what goes back to a block is packed in a row."""
 
     def run(batches):
@@ -176,10 +182,12 @@ def _encode_sorted(path: str):
 
         def flush():
             for key, (idx, data) in back.items():
-                n = np.array([len(d) // 4 for d in data], np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([key]), pa.array([0], pa.int32()), pa.array([pack(np.concatenate([np.array(idx, np.int64), n]))], pa.binary()),
-                     pa.array([pack(np.frombuffer(b"".join(data), "<u4"))], pa.binary())], names=["block", "kind", "idx", "data"])
+                idx = np.array(idx, np.int64)
+                order = np.argsort(idx)
+                steps = np.diff(idx[order], prepend=0)
+                n = np.array([len(d) // 4 for d in data], np.int64)[order]
+                ids = np.frombuffer(b"".join([data[k] for k in order.tolist()]), "<u4")
+                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([pack(np.concatenate([steps, n]))], pa.binary()), pa.array([pack(ids)], pa.binary())], names=["block", "idx", "data"])
 
         for batch in batches:
             for w, key, i in zip(*(batch.column(c).to_pylist() for c in ("word", "block", "idx"))):
@@ -191,33 +199,29 @@ def _encode_sorted(path: str):
                 to[0].append(i)
                 to[1].append(ids)
                 held += 1
-            if held >= FLUSH:
+            if held >= most:
                 yield from flush()
-                back, held = {}, 0
+                back.clear()
+                held = 0
         yield from flush()
 
     return run
 
 
 def _reassemble(path: str):
-    """Rows come sorted by block, ids before documents."""
+    """A row is a block with the ids of its words."""
 
     def run(batches):
         table = _token_bytes(path)
-        key, idx, size, data = None, [], [], []
         for batch in batches:
-            for block, kind, a, d in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "idx", "data"))):
-                if block != key:
-                    key, idx, size, data, ready = block, [], [], [], None
-                if kind == 0:
-                    both = unpack(a)
-                    idx.append(both[: len(both) // 2])
+            for head, data, back in zip(*(batch.column(c) for c in ("head", "data", "back"))):
+                idx, size, ids = [], [], []
+                for x in back.as_py() or []:
+                    both = unpack(x["idx"])
+                    idx.append(np.cumsum(both[: len(both) // 2]))
                     size.append(both[len(both) // 2:])
-                    data.append(unpack(d).astype("<u4"))
-                    continue
-                if ready is None:
-                    ready = _dictionary(idx, size, data, table)
-                yield from _documents(a, d, *ready)
+                    ids.append(unpack(x["data"]).astype("<u4"))
+                yield from _documents(head.as_py(), data.as_py(), *_dictionary(idx, size, ids, table))
 
     return run
 
@@ -229,7 +233,7 @@ def _dictionary(idx, size, data, table):
     n = len(idx)
     order = np.argsort(idx, kind="stable")
     if n and not np.array_equal(idx[order], np.arange(n)):
-        raise RuntimeError("a block got ids for other words than it has; its input must be read the same way each time")
+        raise RuntimeError("a block did not get ids for just its words")
     start = (np.cumsum(size) - size)[order]
     ids = data.astype("<u4")
     size = size[order]
@@ -246,7 +250,7 @@ def _documents(head: bytes, packed: bytes, start, size, ids, words):
     counts = np.frombuffer(head, "<i8", n, 8 + 9 * n)
     flat = unpack(packed)
     if len(flat) and (not len(start) or flat.max() >= len(start)):
-        raise RuntimeError("a block got no ids for its words; its input must be read the same way each time")
+        raise RuntimeError("a block got no ids for its words")
     at, rows, held = 0, [], 0
     for k in range(n):
         codes = flat[at: at + counts[k]]
@@ -260,18 +264,26 @@ def _documents(head: bytes, packed: bytes, start, size, ids, words):
             rows, held = [], 0
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+                  block: int = BLOCK, flush: int = FLUSH, salted: int = SALTED) -> DataFrame:
     """One row per document: doc_id, ids (little-endian unsigned 32-bit integers, as bytes), decoded (bytes).
 
-    Null text counts as empty and has no ids. Null ids, repeated ids and repeated rows are rows like any other; an
-    empty table gives no rows; other columns are ignored. ``docs`` is read twice and must give its rows in the
-    same order each time, as files do; otherwise the query fails, it never gives other ids.
+    Null text counts as empty and has no ids. Null ids, repeated ids and repeated rows are rows like any other (there
+    are no ties: nothing is chosen); an empty table gives no rows; other columns are ignored, whatever their names.
+    A text longer than ``block`` characters is a block of its own: a task holds one block at a time, about 60 bytes a
+    character of Python objects at the most. ``docs`` is read once, in any order.
     """
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = partitions(spark)
-    words = d.mapInArrow(_word_rows(pattern), WORDS).repartition(n, "word").sortWithinPartitions("word")
-    back = words.mapInArrow(_encode_sorted(ranks_path), BLOCKS)
-    both = back.unionByName(d.mapInArrow(_doc_rows(pattern), BLOCKS))
-    both = both.repartition(n, "block").sortWithinPartitions("block", "kind")
+    # the number is given as the block is written, so no two blocks share it, equal as they may be
+    made = d.mapInArrow(_block_rows(pattern, block), BLOCKS).withColumn("block", F.monotonically_increasing_id())
+    blocks = materialize_bucketed(made, "block", n, "blocks")
+    salts = blocks.count() // salted + 1
+    words = blocks.select("sizes", "words", "block").mapInArrow(_word_rows, WORDS)
+    words = words.repartition(n, "word", F.pmod(F.xxhash64("block"), F.lit(salts))).sortWithinPartitions("word")
+    back = words.mapInArrow(_encode_sorted(ranks_path, flush), BACK)
+    back = back.groupBy("block").agg(F.collect_list(F.struct("idx", "data")).alias("back"))
+    # sorted by block on both sides: the blocks lie in buckets already, and only the ids move
+    both = blocks.select("block", "head", "data").join(back.hint("merge"), "block", "left").select("head", "data", "back")
     return both.mapInArrow(_reassemble(ranks_path), "doc_id long, ids binary, decoded binary")

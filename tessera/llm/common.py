@@ -62,6 +62,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_bucketed(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
+    """``materialize`` in ``n`` buckets of ``key``: a join on it moves only the other side."""
+    spark = df.sparkSession
+    path, table = scratch(spark, name), f"{name}_{uuid.uuid4().hex}"
+    with _shuffle_cleanup(spark):
+        df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(n, key).saveAsTable(table)
+    out = spark.table(table)
+    out.schema  # resolved now: the files stay when the name goes
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -48,19 +48,38 @@ def test_segments_join():
 
 
 @pytest.mark.parametrize("which", ["odd", "mixed", "small"])
-def test_bpe(spark, which, monkeypatch):
-    monkeypatch.setattr(bpe, "BLOCK", 5000)
+def test_bpe(spark, which):
     df, rows = rows_of(spark, which)
-    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks_of(RANKS), special_tokens={})
-    want = Counter()
-    for r in rows:
-        ids = e.encode_ordinary(r["text"] or "")
-        want[(r["doc_id"], np.array(ids, "<u4").tobytes(), (r["text"] or "").encode())] += 1
-    got = Counter((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in bpe.encode_decode(df, RANKS, P.PATTERN).collect())
-    assert got == want
+    got = Counter((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in bpe.encode_decode(df, RANKS, P.PATTERN, block=5000, flush=700, salted=3).collect())
+    assert got == encoded(rows)
     assert bpe.encode_decode(none(spark), RANKS, P.PATTERN).count() == 0
 
 
+def encoded(rows):
+    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks_of(RANKS), special_tokens={})
+    return Counter((r["doc_id"], np.array(e.encode_ordinary(r["text"] or ""), "<u4").tobytes(), (r["text"] or "").encode()) for r in rows)
+
+
+def test_bpe_of_equal_blocks(spark, tmp_path):
+    """Equal texts in separate tasks and files, and equal texts above the size of a block."""
+    long = " ".join(f"w{i % 91}" for i in range(4000))
+    rows = [{"doc_id": i % 2, "text": t} for i, t in enumerate(["a b", "a b", "a b", "a b", long, long, long, long, None, None])]
+    for k in range(2):
+        spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+    d = spark.read.parquet(str(tmp_path / "t"))
+    for df in (d, d.repartition(7)):
+        got = bpe.encode_decode(df, RANKS, P.PATTERN, block=1000, flush=50, salted=2).collect()
+        assert Counter((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in got) == encoded(rows + rows)
+
+
+def test_op9_query(spark):
+    from tessera.llm.queries import op9_bpe_words
+
+    got = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in op9_bpe_words(spark, "/root/testdata/sf0.001").collect())
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert got == Counter((i, len(ids) // 4, sha(ids), sha(text)) for (i, ids, text), n in encoded(small_rows()).items() for _ in range(n))
+
+
 @pytest.mark.parametrize("which", ["odd", "mixed", "small"])
 def test_token_files(spark, which):
     df, rows = rows_of(spark, which)
