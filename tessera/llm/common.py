@@ -112,21 +112,22 @@ def prefix_sums(df: DataFrame, group: list[str], bucket: str, order: list[str],
     return left.join(right, on).select("l.*", "r.__before").withColumn(out, F.col("__before") + F.col("__in")).drop(v, "__in", "__before")
 
 
-def bounded_sample(d: DataFrame, text: str, n: int, span: int, by: str | None = None, seed: int = 1) -> DataFrame:
-    """At most ``n`` different texts (for each value of ``by``) that a hash picks, and of each ``span`` characters from a
-    place that its hash picks: columns ``by`` and t. About 1.3 n texts leave the scan in all, however many there are:
-    the share to let through follows from a count; copies of a text are one before anything is shuffled.
+def bounded_sample(d: DataFrame, text: str, n: int, by: str | None = None, total: int | None = None, seed: int = 1) -> DataFrame:
+    """At most ``n`` different texts (for each value of ``by``, and ``total`` in all, dealt evenly) that a hash picks:
+    columns ``by`` and t. About 1.3 n texts leave the scan in all, however many there are: the share to let through
+    follows from a count; copies of a text are one before anything is shuffled.
     """
     keys = [by] if by else []
-    d = d.select(*keys, F.col(text).alias("__t"), F.xxhash64(text, F.lit(seed)).alias("__h"))
+    d = d.select(*keys, F.col(text).alias("t"), F.xxhash64(text, F.lit(seed)).alias("__h"))
     counts = d.groupBy(*keys).agg(F.approx_count_distinct("__h").alias("__c"))  # a row for each value of ``by``
     share = F.lit(1.3 * n + 50) / F.greatest(F.col("__c"), F.lit(1))
     at = F.col("__h") / F.lit(2.0**64) + F.lit(0.5)
     if by:
-        d = d.join(F.broadcast(counts), by).filter(at < share)
+        d = d.join(counts, by).filter(at < share)
     else:
         d = d.filter(at < F.lit((1.3 * n + 50) / max(counts.first()[0], 1)))
-    lead = F.pmod(F.col("__h"), F.greatest(F.length("__t") - F.lit(span), F.lit(1))).cast("int")
-    d = d.select(*keys, "__h", F.substring(F.col("__t"), lead + 1, F.lit(span)).alias("t")).dropDuplicates([*keys, "__h"])
     w = W.partitionBy(*keys).orderBy("__h")
-    return d.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= n).select(*keys, "t")
+    d = d.dropDuplicates([*keys, "__h"]).withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= n)
+    if total is not None:
+        d = d.orderBy("__k", "__h").limit(total)
+    return d.select(*keys, "t")

@@ -1,17 +1,23 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
 Patterns give the base spans, which stay. Tokens with a digit or an at sign are the nodes of the field (no kind
-of span is without one); neighbours in the text are linked, and so is each token to the next one in the document
-with the same key: lower-cased, or just its digits, so that another spelling of the same number counts. Loopy
-message passing over a whole batch of documents gives each token's kinds their marginals. What is marked with
-confidence, has the form of its kind and touches no base span is added.
-
-Weights come from pseudo-likelihood on a bounded sample, with the base spans as labels; tokens' own features
-are left out now and then, so that the links learn to carry a label where a token's form alone does not.
+of span is without one). Neighbours in the text are linked, and so is each token to the last one in the document that
+it repeats or resembles: the same letters, the same digits however they are set apart (of the token, of the run of
+number tokens or of the base span that it stands in), or the same last nine digits. Loopy message passing over
+a batch of documents gives each token's kinds their marginals. What is marked with confidence, has the form of its
+kind and touches no base span is added.
+
+Weights come from pseudo-likelihood on a bounded sample of whole documents with the base spans as labels. Of each
+document's spans, and of numbers that are none, a copy in another spelling is put behind the text, with the label of
+what it copies; and tokens' own features are left out now and then. So links learn to carry a label where a token's
+form alone does not tell.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
+import random
 import re
 import zlib
 
@@ -26,10 +32,12 @@ from .common import bounded_sample
 KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)
 DIMENSIONS = 4096
-SAMPLE = 1500  # the bound on training documents
-SPAN = 20_000  # characters of a training document, from a place chosen by its hash
+SAMPLE = 1500  # the bound on training documents, which are taken whole
 ROUNDS = 15
+SIMILAR = 9  # last digits that make two numbers similar
+LONGEST = 19  # digits of the longest kind of number
 SURE = 0.9
+KNOWN = -100.0  # potential of the kinds that a base span's token does not have
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -106,18 +114,30 @@ def tokens(text: str) -> list[tuple[int, int, int]]:
 def _features(text: str, a: int, b: int) -> list[int]:
     s = text[a:b]
     d = digits_of(s)
-    shape = re.sub(r"[A-Za-z]+", "a", re.sub(r"[0-9]+", "0", s[:80]))
+    shape = re.sub(r"[A-Za-z]+", "a", re.sub(r"[0-9]+", "0", s))
     parts = s.split(".")
     names = [
-        f"shape {shape[:24]}", f"digits {min(len(d), 24)}", f"dots {min(s.count('.'), 5)}", f"at {s.count('@') > 0} {'.' in s.rpartition('@')[2]}",
+        f"shape {shape}", f"digits {min(len(d), 24)}", f"dots {min(s.count('.'), 5)}", f"at {s.count('@') > 0} {'.' in s.rpartition('@')[2]}",
         f"plus {a > 0 and text[a - 1] == '+' or s[:1] == '+'}", f"luhn {len(d) > 12 and luhn(d)} {16 <= len(d) <= 19}",
         f"octets {len(parts) == 4 and all(p.isdigit() and p.isascii() and is_octet(p) for p in parts)}", f"only {len(d) == len(s)}", f"length {min(len(s) // 4, 12)}",
-        f"signs {''.join(sorted(set(c for c in s if not c.isalnum())))[:8]}",
+        f"signs {''.join(sorted(set(c for c in s if not c.isalnum())))}",
     ]
     return [zlib.crc32(f"{k} {x}".encode()) % DIMENSIONS for k, x in enumerate(names)]
 
 
 N_FEATURES = 10
+LETTERS = re.compile(r"[^\W\d_]|@")
+
+
+def _keys(s: str, wholes: list[str]) -> set[str]:
+    """What a token is known by: its letters and digits, and the digits of the numbers that it is or stands in."""
+    if "@" in s:
+        return {"".join(c for c in s.lower() if c.isalnum() or c == "@")}
+    numbers = [d for d in (digits_of(s), *wholes) if len(d) > 6]
+    parts = re.findall("[0-9]+", s)
+    if len(parts) == 4 and not LETTERS.search(s):
+        numbers.append(".".join(parts))
+    return {*numbers, *(f"~{d[-SIMILAR:]}" for d in numbers if len(d) >= SIMILAR)} or {s.lower()}
 
 
 class Graph:
@@ -128,31 +148,45 @@ class Graph:
         self.features: list[list[int]] = []
         self.label: list[int] = []
         self.base: list[list[tuple[int, int, int]]] = []
-        self.links: tuple[list, list] = ([], [])  # neighbours, same key
+        self.links: tuple[list, list] = ([], [])  # neighbours, repeated or similar
 
-    def add(self, text: str) -> None:
+    def add(self, text: str, told: dict[int, int] | None = None) -> None:
+        """``told``: labels of tokens by their start, before those of the base spans."""
         base, k = base_spans(text), len(self.base)
         self.base.append(base)
         marks = sorted((a, b, kind) for kind, a, b in base)
-        seen: dict[str, int] = {}
-        last_end, m = None, 0
-        for a, b, hi in tokens(text):
-            if a == b:
-                continue
-            i = len(self.span)
-            self.span.append((k, a, b))
-            self.features.append(_features(text, a, b))
-            while m < len(marks) and marks[m][1] <= a:
-                m += 1
-            self.label.append(marks[m][2] if m < len(marks) and marks[m][0] < b else NONE)
-            if last_end is not None and not text[last_end:a].strip(WHITE + TRIM):
-                self.links[0].append((i - 1, i))
-            d = digits_of(text[a:b])
-            key = d if len(d) > 6 and "@" not in text[a:b] else text[a:b].lower()
-            if key in seen:
-                self.links[1].append((seen[key], i))
-            seen[key] = i
-            last_end = hi
+        found = [t for t in tokens(text) if t[0] < t[1]]
+        # runs of number tokens with nothing but white space and marks between them
+        run, runs = [], []
+        for i, (a, b, hi) in enumerate(found):
+            near = i > 0 and not text[found[i - 1][2]:a].strip(WHITE + TRIM)
+            if near:
+                self.links[0].append((len(self.span) + i - 1, len(self.span) + i))
+            number = not LETTERS.search(text, a, b)
+            if not (near and number and run[-1] >= 0):
+                runs.append([])
+            runs[-1].append(i)
+            run.append(len(runs) - 1 if number else -1)
+        whole = ["".join(digits_of(text[found[i][0]: found[i][1]]) for i in r) if len(r) > 1 else "" for r in runs]
+        seen: dict[str, tuple[int, int]] = {}
+        m = 0
+        for r, members in enumerate(runs):
+            mine: dict[str, int] = {}
+            for i in members:
+                a, b, _ = found[i]
+                node = len(self.span)
+                self.span.append((k, a, b))
+                self.features.append(_features(text, a, b))
+                while m < len(marks) and marks[m][1] <= a:
+                    m += 1
+                inside = m < len(marks) and marks[m][0] < b
+                self.label.append(told[a] if told and a in told else marks[m][2] if inside else NONE)
+                spanned = digits_of(text[marks[m][0]: marks[m][1]]) if inside and marks[m][2] else ""
+                keys = _keys(text[a:b], [whole[r], spanned])
+                self.links[1].extend((x, node) for x in sorted({seen[key] for key in keys if key in seen}))
+                for key in keys:
+                    mine.setdefault(key, node)
+            seen.update(mine)
 
     def arrays(self):
         f = np.array(self.features, np.int64).reshape(-1, N_FEATURES)
@@ -167,9 +201,8 @@ class SkipChain:
         self.w = np.zeros((DIMENSIONS, k))
         self.pair = [np.zeros((k, k)), np.zeros((k, k))]
 
-    def train(self, g: Graph, steps: int = 250, rate: float = 0.1, drop: float = 0.3, decay: float = 1e-3) -> None:
-        f, links = g.arrays()
-        y = np.eye(NONE + 1)[np.array(g.label)]
+    def train(self, f: np.ndarray, links: list[np.ndarray], label: np.ndarray, steps: int = 250, rate: float = 0.1, drop: float = 0.3, decay: float = 1e-3) -> None:
+        y = np.eye(NONE + 1)[label]
         around = []
         for e in links:
             c = np.zeros_like(y)
@@ -196,9 +229,13 @@ class SkipChain:
                 x -= rate * (m1 / (1 - 0.9**t)) / (np.sqrt(v1 / (1 - 0.99**t)) + 1e-8)
 
     def marginals(self, g: Graph) -> np.ndarray:
-        """By loopy message passing; chains without loops come out exact."""
+        """By loopy message passing; chains without loops come out exact. Tokens of base spans are sure of their kind,
+        so that it is carried from them."""
         f, links = g.arrays()
         u = self.w[f].sum(1)
+        sure = np.flatnonzero(np.array(g.label) != NONE)
+        u[sure] = KNOWN
+        u[sure, np.array(g.label)[sure]] = 0
         src = np.concatenate([links[0][:, 0], links[0][:, 1], links[1][:, 0], links[1][:, 1]])
         to = np.concatenate([links[0][:, 1], links[0][:, 0], links[1][:, 1], links[1][:, 0]])
         n0, n1 = len(links[0]), len(links[1])
@@ -241,47 +278,104 @@ def find(texts: list[str], model: SkipChain | None) -> list[list[tuple[int, int,
         best = p.argmax(1)
         marked = [int(k) if k != NONE and p[i, k] >= SURE else NONE for i, k in enumerate(best)]
         near = {int(b) for _, b in g.links[0]}
-        taken = [sorted((a, b) for _, a, b in x) for x in g.base]
+        taken = [_Taken(x) for x in g.base]
         i = 0
         while i < len(marked):
+            kind, (k, a, b) = marked[i], g.span[i]
             j = i + 1
-            if marked[i] == NONE:
-                i = j
-                continue
-            k, a, b = g.span[i]
-            t = texts[k]
-            if not _plausible(marked[i], t[a:b]):  # a number in several tokens
-                while j in near and j < len(marked) and marked[j] == marked[i] and j - i < 8:
-                    j += 1
-                b = g.span[j - 1][2]
-            if _plausible(marked[i], t[a:b]) and not _touches(taken[k], a, b):
-                out[k].append((marked[i], a, b, False))
-            else:
-                j = i + 1
+            if kind != NONE:
+                for end in _ends(g, marked, near, i, texts[k]):
+                    b = g.span[end - 1][2]
+                    if _plausible(kind, texts[k][a:b]) and not taken[k].touches(a, b):
+                        out[k].append((kind, a, b, False))
+                        j = end
+                        break
             i = j
     return [sorted(s) for s in out]
 
 
-def _touches(spans: list[tuple[int, int]], a: int, b: int) -> bool:
-    from bisect import bisect_left
+def _ends(g: Graph, marked: list[int], near: set[int], i: int, text: str) -> list[int]:
+    """Where a span from token ``i`` may end: behind it, or behind any of its neighbours with the same mark, as long as
+    the digits are not more than the longest number has; the longest first."""
+    ends, j, digits = [i + 1], i + 1, len(digits_of(text[g.span[i][1]: g.span[i][2]]))
+    while j < len(marked) and j in near and marked[j] == marked[i]:
+        digits += len(digits_of(text[g.span[j][1]: g.span[j][2]]))
+        j += 1
+        if digits > LONGEST:
+            break
+        ends.append(j)
+    return ends[::-1]
+
 
-    # spans of different kinds may overlap each other, so look at all that start before b
-    k = bisect_left(spans, (b, -1))
-    return any(y > a for _, y in spans[max(0, k - 64): k])
+class _Taken:
+    """Spans, which may overlap, by start, with the furthest end so far."""
 
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        both = sorted((a, b) for _, a, b in spans)
+        self.start = [a for a, _ in both]
+        self.reach = list(itertools.accumulate((b for _, b in both), max))
 
-def train_field(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, span: int = SPAN) -> SkipChain | None:
-    """From at most ``sample`` documents with a digit or an at sign, at most ``span`` characters of each; None if these
-    hold no base span."""
+    def touches(self, a: int, b: int) -> bool:
+        k = bisect.bisect_left(self.start, b)
+        return k > 0 and self.reach[k - 1] > a
+
+
+def respelled(kind: int, s: str, rng: random.Random) -> str:
+    """The same address or number, written so that no pattern need find it."""
+    sign = rng.choice("._/-:")
+    if kind == 0:
+        return s.replace(".", rng.choice(["[.]", ",", "(.)"]))
+    if kind == 1:
+        return s.replace(".", sign if sign != "." else "_")
+    d = digits_of(s)
+    cut = rng.choice([3, 4])
+    return sign.join(d[x: x + cut] for x in range(0, len(d), cut))
+
+
+def with_copies(text: str) -> tuple[str, dict[int, int]]:
+    """``text`` with other spellings of its spans, and of as many numbers that are none, behind it; labels of these."""
+    rng = random.Random(zlib.crc32(text.encode()))
+    base = base_spans(text)
+    taken = _Taken(base)
+    others = [(NONE, a, b) for a, b, _ in tokens(text) if len(digits_of(text[a:b])) > 6 and "@" not in text[a:b] and not taken.touches(a, b)]
+    rng.shuffle(others)
+    out, told, at = [text], {}, len(text)
+    for kind, a, b in base + others[: len(base) + 1]:
+        word = respelled(kind, text[a:b], rng)
+        told[at + 3] = kind
+        out.append(" x " + word)
+        at += 3 + len(word)
+    return "".join(out), told
+
+
+def _graph_rows(batches):
+    """Features, labels and links of each training text, as arrays."""
+    for batch in batches:
+        for t in batch.column("t").to_pylist():
+            g = Graph()
+            g.add(*with_copies(t))
+            f, links = g.arrays()
+            row = (zlib.crc32(t.encode()), f.astype("<u2").tobytes(), np.array(g.label, np.uint8).tobytes(), *(x.astype("<u4").tobytes() for x in links))
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, (pa.int64(), *[pa.binary()] * 4))], names=["key", "features", "label", "chain", "skip"])
+
+
+def train_field(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> SkipChain | None:
+    """From at most ``sample`` whole documents with a digit or an at sign; None if these hold no base span. What comes to
+    the driver are about 30 bytes for each of their tokens with a digit or an at sign."""
     d = docs.filter(F.col(text_col).rlike("[0-9@]"))
-    rows = sorted(bounded_sample(d, text_col, sample, span).collect())
+    rows = bounded_sample(d, text_col, sample).mapInArrow(_graph_rows, "key long, features binary, label binary, chain binary, skip binary").collect()
     g = Graph()
-    for r in rows:
-        g.add(r.t)
+    features, links = [np.zeros((0, N_FEATURES), np.int64)], ([np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)])
+    for r in sorted(rows):
+        n = len(g.label)
+        g.label += list(r.label)
+        features.append(np.frombuffer(r.features, "<u2").reshape(-1, N_FEATURES).astype(np.int64))
+        for to, x in zip(links, (r.chain, r.skip)):
+            to.append(np.frombuffer(x, "<u4").reshape(-1, 2).astype(np.int64) + n)
     if all(x == NONE for x in g.label):
         return None
     model = SkipChain()
-    model.train(g)
+    model.train(np.concatenate(features), [np.concatenate(x) for x in links], np.array(g.label))
     return model
 
 
@@ -306,7 +400,10 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
     """One row per document: doc_id, spans (kind, start, end, base), by kind, then start; places in code points.
 
     Null text counts as empty and has no spans. Null ids and repeated rows are rows like any other; an empty table
-    gives no rows; other columns are ignored. Without ``model`` one is trained on the documents themselves.
+    gives no rows; other columns are ignored, whatever their names. Texts are read whole, in time that grows with
+    their length, and a long one is held by one task with about 300 bytes for each token with a digit or an at sign.
+    Ties: of spans that could be added from one token the longest of the right form is; a token whose kinds are equally
+    likely is not marked. Without ``model`` one is trained on the documents themselves.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     model = model or train_field(d)
