@@ -162,30 +162,80 @@ def test_pii_rows(spark):
 def test_gradients():
     net = L.Network(["a", "b", "c"], hidden=3)
     r = np.random.default_rng(1)
-    x, y, mask = r.integers(0, 256, (5, 4)).astype(np.uint8), np.array([0, 1, 2, 1]), np.ones((5, 4), bool)
-    mask[3:, 1] = False
-
-    def loss():
-        p = net.positions(x).astype(np.float64)
-        return -(np.log(p[:, np.arange(4), y]) * mask).sum() / mask.sum()
-
-    for p, g in zip(net.parameters(), net.gradients(x, y, mask)):
-        i = np.unravel_index(np.abs(g).argmax(), g.shape)
+    x, n, y = r.integers(0, 256, (5, 4)).astype(np.uint8), np.array([5, 3, 5, 1]), np.array([0, 1, 2, 1])
+    h, g = (r.uniform(-0.5, 0.5, (3, 4)).astype(np.float32) for _ in range(2))
+    _, grads = net.gradients(x, n, y, h, g)
+    for p, d in zip(net.parameters(), grads):
+        i = np.unravel_index(np.abs(d).argmax(), d.shape)
         old, e = p[i], 1e-2
         p[i] = old + e
-        up = loss()
+        up = net.gradients(x, n, y, h, g)[0]
         p[i] = old - e
-        down = loss()
+        down = net.gradients(x, n, y, h, g)[0]
         p[i] = old
-        assert abs((up - down) / (2 * e) - g[i]) < 0.03 * abs(g[i]) + 1e-4
-
-
-def test_portions_change_nothing(monkeypatch):
-    net = L.Network(["a", "b"])
-    texts = [b"x" * 1000, b"", b"hello world " * 40, b"z"]
-    want = net.documents(texts)
-    monkeypatch.setattr(L, "PORTION", 128)
-    assert np.allclose(net.documents(texts), want) and not want[1].any()
+        assert abs((up - down) / (2 * e) - d[i]) < 0.03 * abs(d[i]) + 1e-4
+
+
+def naive_states(layer, text):
+    """A byte at a time, as the equations have it."""
+    k, h, out = layer.hidden, np.zeros(layer.hidden), []
+    e, u = layer.e.astype(np.float64), layer.u.astype(np.float64)
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    for b in text:
+        z = sigmoid(e[:k, b] + u[:k] @ h)
+        r = sigmoid(e[k: 2 * k, b] + u[k: 2 * k] @ h)
+        c = np.tanh(e[2 * k:, b] + r * (u[2 * k:] @ h))
+        h = z * h + (1 - z) * c
+        out.append(h)
+    return np.array(out)
+
+
+def naive(net, text):
+    if not text:
+        return np.zeros(len(net.labels))
+    v = naive_states(net.forward, text) @ net.w[0] + naive_states(net.backward, text[::-1])[::-1] @ net.w[1] + net.b
+    p = np.exp(v)
+    return (p / p.sum(1, keepdims=True)).mean(0)
+
+
+def test_documents_are_one_sequence():
+    """Sums over whole texts, side by side or in pieces, are those of a byte at a time."""
+    net, r = L.Network(["a", "b", "c"], hidden=4), np.random.default_rng(2)
+    texts = [bytes(r.integers(0, 256, n).astype(np.uint8)) for n in (1, 700, 0, 15, 16, 17, 64, 333)] + ["aé漢\U0001f600".encode()]
+    want = np.array([naive(net, t) for t in texts])
+    for portion in (1 << 20, 100, 7):
+        assert np.allclose(net.documents(texts, portion), want, atol=1e-4)
+    assert net.documents([]).shape == (0, 3)
+    doc, lo = np.array([1, 1, 6, 7, 3]), np.array([0, 64, 0, 320, 0])
+    some = sorted(range(len(texts)), key=lambda k: len(texts[k]))
+    where = {k: i for i, k in enumerate(some)}
+    h, g = net._edges([texts[k] for k in some], np.array([where[k] for k in doc]), lo)
+    for i, (k, at) in enumerate(zip(doc, lo)):
+        f, b = naive_states(net.forward, texts[k]), naive_states(net.backward, texts[k][::-1])
+        assert np.allclose(h[:, i], f[at - 1] if at else 0, atol=1e-4)
+        end = at + L.STEPS
+        assert np.allclose(g[:, i], b[len(texts[k]) - end - 1] if end < len(texts[k]) else 0, atol=1e-4)
+
+
+def test_op7_query(spark):
+    """The query's rows against a byte at a time, with the network that the operator learns."""
+    from tessera.llm.queries import op7_byte_gru
+
+    d = small(spark)
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in d.collect()}
+    net = L.train_network(d.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
+    text = {r.doc_id: r.text for r in d.collect()}
+    got = op7_byte_gru(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.doc_id for r in got) == sorted(text)
+    for r in got:
+        assert r.held_out == held[r.doc_id]
+        if not any(map(str.isalpha, text[r.doc_id] or "")):
+            assert (r.lang_pred, r.score) == ("und", 0)
+        elif len(text[r.doc_id]) < 2000:
+            p = naive(net, text[r.doc_id].encode())
+            assert abs(r.score - p.max()) < 1e-3 and (r.lang_pred == net.labels[p.argmax()] or np.sort(p)[-2] > p.max() - 1e-3)
+    mixed = L.predict_language(d, portion=3000, long=500)
+    assert {(r.doc_id, r.lang_pred) for r in mixed.collect()} == {(r.doc_id, r.lang_pred) for r in got}
 
 
 def test_language(spark):
