@@ -123,7 +123,8 @@ def bounded_sample(d: DataFrame, text: str, n: int, by: str | None = None, total
     share = F.lit(1.3 * n + 50) / F.greatest(F.col("__c"), F.lit(1))
     at = F.col("__h") / F.lit(2.0**64) + F.lit(0.5)
     if by:
-        d = d.join(counts, by).filter(at < share)
+        some = counts.orderBy(F.desc("__c"), by).limit(total or n)  # no more values than that can have a text each
+        d = d.join(F.broadcast(some), by).filter(at < share)
     else:
         d = d.filter(at < F.lit((1.3 * n + 50) / max(counts.first()[0], 1)))
     w = W.partitionBy(*keys).orderBy("__h")

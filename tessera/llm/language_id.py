@@ -20,7 +20,7 @@ from .common import bounded_sample
 HIDDEN = 12
 BLOCK = 16  # steps after which texts that have ended leave
 PORTION = 8 << 20  # bytes of text that run side by side; a longer text goes through in pieces of this size
-LONG = 16_384  # bytes from which on texts wait for others as long, so that they run side by side
+LONG = 8_192  # bytes from which on texts wait for others as long, so that they run side by side
 REFRESH = 2  # epochs for which the states at the windows' edges hold
 STEPS = 64  # steps of backpropagation through time in training
 PER_LANGUAGE = 250  # the bound on training documents for each language
@@ -121,9 +121,11 @@ def backwards(n: np.ndarray) -> np.ndarray:
 
 
 def softmax(v: np.ndarray) -> np.ndarray:
-    p = np.exp(v - v.max(axis=1, keepdims=True))
-    p /= p.sum(axis=1, keepdims=True)
-    return p
+    """Of each row, in place."""
+    v -= v.max(axis=1, keepdims=True)
+    np.exp(v, out=v)
+    v /= v.sum(axis=1, keepdims=True)
+    return v
 
 
 class Network:
