@@ -1,10 +1,10 @@
 """Token-ID output: Arrow files of fixed-size-list batches.
 
 A file holds the ids of a range of documents as one stream, cut into sequences of equal length; the last one is
-filled up, and a mask tells ids from filling. Columns: ``ids`` fixed_size_list<uint16 or uint32>[L] and ``mask``
-fixed_size_list<bool>[L]. Every batch but the last has the same number of sequences, so sequence s is row
-s mod B of batch s div B, and its values are a view into the mapped file: random access copies nothing.
-An index table tells where each document's ids are.
+filled up, and a mask tells ids (1) from filling (0). Columns: ``ids`` fixed_size_list<uint16 or uint32>[L] and ``mask``
+fixed_size_list<uint8>[L], a byte each, as bits could not be viewed. Every batch but the last has the same number of
+sequences, so sequence s is row s mod B of batch s div B, and ids and mask are views into the mapped file: random
+access copies nothing. An index table tells where each document's ids are.
 """
 
 from __future__ import annotations
@@ -31,7 +31,9 @@ BATCH = 256  # sequences in a record batch
 CACHE = 1_600_000  # segments whose ids a Python worker keeps; then it starts anew
 JOIN = 256
 MARKS = ".,"
-INDEX = "file string, part int, no long, doc_id long, at long, n_tokens long"
+ROLL = 256 << 20  # bytes of ids after which a task begins another file
+FILES = 1 << 20  # files that a task can write
+INDEX = "file string, part long, no long, doc_id long, at long, n_tokens long"
 
 
 def _filesystem(uri: str):
@@ -41,18 +43,20 @@ def _filesystem(uri: str):
 
 
 class _Encoder:
-    """Ids of texts as bytes, each distinct segment encoded once while it is in the cache."""
+    """Ids of texts as bytes, each distinct segment encoded once while it is in the cache. A text that spells an added
+    token of the vocabulary is encoded whole, as the library does; with ``plain`` such a spelling is text like any other."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.t.encode_special_tokens = True
+        self.t.encode_special_tokens = plain
         self.type = np.dtype("<u2" if self.t.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.newline = self._one("\n")
         spec = json.loads(self.t.to_str())
         before = spec.get("pre_tokenizer") or {}
+        self.added = [a["content"] for a in spec.get("added_tokens") or [] if not (plain and a.get("special"))]
         #: Whether ids of segments, joined, are the ids of the text: true of a byte-level pattern alone.
         self.cuts = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer")
         self.clear()
@@ -106,20 +110,20 @@ class _Encoder:
             for e in self.t.encode_batch_fast(texts, add_special_tokens=False):
                 yield np.array(e.ids, self.type).tobytes()
             return
-        split = [t.split(" ") for t in texts]
-        self.learn(set(itertools.chain.from_iterable(s[1:] for s in split)))
-        for first, *rest in split:
-            yield self.encode(first, rest)
+        split = [None if any(a in t for a in self.added) else t.split(" ") for t in texts]
+        self.learn(set(itertools.chain.from_iterable(s[1:] for s in split if s)))
+        for t, s in zip(texts, split):
+            yield self.encode(s[0], s[1:]) if s else np.array(self._one(t), self.type).tobytes()
 
 
 @functools.lru_cache(maxsize=2)
-def _encoder(path: str) -> _Encoder:
-    return _Encoder(path)
+def _encoder(path: str, plain: bool) -> _Encoder:
+    return _Encoder(path, plain)
 
 
 def _schema(dtype: np.dtype, length: int) -> pa.Schema:
     kind = pa.uint16() if dtype.itemsize == 2 else pa.uint32()
-    return pa.schema([("ids", pa.list_(pa.field("item", kind, False), length)), ("mask", pa.list_(pa.field("item", pa.bool_(), False), length))])
+    return pa.schema([("ids", pa.list_(pa.field("item", kind, False), length)), ("mask", pa.list_(pa.field("item", pa.uint8(), False), length))])
 
 
 class SequenceWriter:
@@ -144,7 +148,7 @@ class SequenceWriter:
             self.parts, self.size = [rest], len(rest)
 
     def _write(self, ids: np.ndarray, real: int) -> None:
-        mask = pa.array(np.arange(len(ids)) < real)
+        mask = pa.array((np.arange(len(ids)) < real).view(np.uint8))
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(ids), type=self.schema.field(0).type), pa.FixedSizeListArray.from_arrays(mask, type=self.schema.field(1).type)]
         self.out.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
 
@@ -176,9 +180,9 @@ class SequenceReader:
         return self._last[1]
 
     def sequence(self, s: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (a view into the file) and mask of sequence ``s``."""
+        """Ids and mask of sequence ``s``, views into the file."""
         batch, r = self._batch(s // self.rows), s % self.rows
-        return batch.column("ids")[r].values.to_numpy(), batch.column("mask")[r].values.to_numpy(zero_copy_only=False)
+        return batch.column("ids")[r].values.to_numpy(), batch.column("mask")[r].values.to_numpy()
 
     def ids(self, start: int, n: int) -> np.ndarray:
         """``n`` ids of the stream from ``start``."""
@@ -196,60 +200,72 @@ class SequenceReader:
         self.source.close()
 
 
-def _write_files(folder: str, tokenizer: str, end_id: int, length: int, batch_rows: int):
+def _write_files(folder: str, tokenizer: str, end_id: int, length: int, batch_rows: int, roll: int, plain: bool):
+    class File:
+        def __init__(self, enc: _Encoder, part: int):
+            # each attempt has files of its own; the index names those whose attempt succeeded
+            self.part, self.uri = part, f"{folder}/part-{part:015d}-{uuid.uuid4().hex}.arrow"
+            fs, path = _filesystem(self.uri)
+            fs.create_dir(os.path.dirname(path), recursive=True)
+            self.sink = fs.open_output_stream(path)
+            self.writer = SequenceWriter(self.sink, enc.type, length, batch_rows, end_id)
+
+        def close(self):
+            self.writer.close()
+            self.sink.close()
+
     def run(batches):
-        enc = _encoder(tokenizer)
+        enc = _encoder(tokenizer, plain)
         if end_id >= 1 << (8 * enc.type.itemsize):
             raise ValueError("the end id does not fit the ids' type")
         end = np.array([end_id], enc.type).tobytes()
-        part = TaskContext.get().partitionId()
-        # each attempt has a file of its own; the index names the one whose attempt succeeded
-        uri = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.arrow"
-        writer = sink = None
-        no = 0
+        part = TaskContext.get().partitionId() * FILES
+        file, no = None, 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 some = batch.slice(lo, 2000)
-                texts = [t or "" for t in some.column("text").to_pylist()]
-                at, n = [], []
-                for ids in enc.encode_all(texts):
-                    if writer is None:
-                        fs, path = _filesystem(uri)
-                        fs.create_dir(os.path.dirname(path), recursive=True)
-                        sink = fs.open_output_stream(path)
-                        writer = SequenceWriter(sink, enc.type, length, batch_rows, end_id)
-                    at.append(writer.total)
-                    writer.add(ids)
-                    writer.add(end)
-                    n.append(writer.total - at[-1])
-                k = len(texts)
+                uri, parts, at, n = [], [], [], []
+                for ids in enc.encode_all([t or "" for t in some.column("text").to_pylist()]):
+                    if file is not None and file.writer.total * enc.type.itemsize >= roll:
+                        file.close()
+                        part, file = part + 1, None
+                    if file is None:
+                        file = File(enc, part)
+                    at.append(file.writer.total)
+                    file.writer.add(ids)
+                    file.writer.add(end)
+                    n.append(file.writer.total - at[-1])
+                    uri.append(file.uri)
+                    parts.append(part)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([uri] * k), pa.array([part] * k, pa.int32()), pa.array(range(no, no + k), pa.int64()), some.column("doc_id"), pa.array(at, pa.int64()), pa.array(n, pa.int64())],
+                    [pa.array(uri), pa.array(parts, pa.int64()), pa.array(range(no, no + len(n)), pa.int64()), some.column("doc_id"), pa.array(at, pa.int64()), pa.array(n, pa.int64())],
                     names=["file", "part", "no", "doc_id", "at", "n_tokens"])
-                no += k
-        if writer is not None:
-            writer.close()
-            sink.close()
+                no += len(n)
+        if file is not None:
+            file.close()
 
     return run
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGTH, batch_rows: int = BATCH,
-                      folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                      folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", roll: int = ROLL, plain: bool = False) -> DataFrame:
     """Write the files in ascending id order; return the index: file, part, no, doc_id, at, n_tokens, start.
 
     ``at`` is the place in the file's stream, ``start`` the place among the ids of all documents. Null text counts
     as empty: its ids are the end id alone. Null ids come first; rows of equal id keep the order of their texts'
-    hashes. An empty table writes no file and gives no rows. Other columns are ignored. ``folder`` defaults to
-    one in the shared folder; any store that pyarrow can write to will do.
+    hashes; that settles all ties but those of equal rows. An empty table writes no file and gives no rows. Other
+    columns are ignored, whatever their names. ``folder`` defaults to one in the shared folder; any store that pyarrow can
+    write to will do. A file ends with the document that takes its ids beyond ``roll`` bytes. A text of any length is
+    encoded whole and held once, with its ids, by one task. What spells an added token of the vocabulary becomes that
+    token, as the library has it, unless ``plain``.
     """
     spark = docs.sparkSession
     folder = folder or scratch(spark, "tokens")
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = partitions(spark)
     d = d.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    index = materialize(d.mapInArrow(_write_files(folder, tokenizer, end_id, length, batch_rows), INDEX), "index")
-    w = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row for each file
+    index = materialize(d.mapInArrow(_write_files(folder, tokenizer, end_id, length, batch_rows, roll, plain), INDEX), "index")
+    w = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row for each file; ids grow with the number
     base = index.groupBy("part").agg(F.sum("n_tokens").alias("__n")).select("part", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__base"))
     return index.join(F.broadcast(base), "part").withColumn("start", F.col("__base") + F.col("at")).drop("__base")
 

@@ -36,7 +36,6 @@ def rows_of(spark, which):
 def test_other_tokenizers_encode_whole_texts():
     e = token_files._Encoder(P.path("word_bpe_49k.json"))
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     texts = ["Hello  World, twice. ", "", "a\nb"]
     assert [np.frombuffer(x, e.type).tolist() for x in e.encode_all(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
     assert not e.cuts and token_files._Encoder(JSON).cuts
@@ -84,8 +83,7 @@ def test_op9_query(spark):
 def test_token_files(spark, which):
     df, rows = rows_of(spark, which)
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
-    index = token_files.write_token_files(df, JSON, end_id=2, length=64, batch_rows=4)
+    index = token_files.write_token_files(df, JSON, end_id=2, length=64, batch_rows=4, roll=3000)
     got = sorted(token_files.read_checksums(index).collect(), key=lambda r: r.start)
     want = Counter()
     for r in rows:
@@ -101,9 +99,30 @@ def test_token_files(spark, which):
     one = index.orderBy("part", "at").first()
     reader = token_files.SequenceReader(one.file)
     ids, mask = reader.sequence(0)
-    assert len(ids) == len(mask) == 64 and not ids.flags.owndata
+    assert len(ids) == len(mask) == 64 and not ids.flags.owndata and not mask.flags.owndata
+    assert index.select("part").distinct().count() > df.rdd.getNumPartitions()  # files rolled over
     total = index.filter(index.part == one.part).agg({"n_tokens": "sum"}).first()[0]
     seqs = [reader.sequence(s) for s in range(-(-total // 64))]
     assert sum(int(m.sum()) for _, m in seqs) == total
     assert np.array_equal(np.concatenate([s for s, _ in seqs])[:total], reader.ids(0, total))
     assert token_files.read_checksums(token_files.write_token_files(none(spark), JSON)).count() == 0
+
+
+def test_added_tokens():
+    t = "x <|endoftext|> y"
+    ids = lambda e: np.frombuffer(next(e.encode_all([t])), e.type).tolist()
+    own, plain = Tokenizer.from_file(JSON), Tokenizer.from_file(JSON)
+    plain.encode_special_tokens = True
+    assert ids(token_files._Encoder(JSON)) == own.encode(t, add_special_tokens=False).ids
+    assert ids(token_files._Encoder(JSON, plain=True)) == plain.encode(t, add_special_tokens=False).ids != own.encode(t, add_special_tokens=False).ids
+
+
+def test_op1_query(spark):
+    from tessera.llm.queries import op1_token_files
+
+    t, at, want = Tokenizer.from_file(JSON), 0, []
+    for r in sorted(small_rows(), key=lambda r: r["doc_id"]):
+        ids = [*t.encode(r["text"] or "", add_special_tokens=False).ids, 2]
+        want.append((r["doc_id"], at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted(map(tuple, op1_token_files(spark, "/root/testdata/sf0.001").select("doc_id", "start", "n_tokens", "ids_crc32").collect())) == want
