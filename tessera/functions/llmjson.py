@@ -6,7 +6,6 @@ from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .text import FALLBACK_CITATION, FENCE, JSON_FENCE, clean_llm_json, fenced, fenced_json, is_json, says_valid, truthy
@@ -48,21 +47,28 @@ def _get(item: Column, keys: Column, name: str, default: Column) -> Column:
     return F.when(F.array_contains(keys, name), F.get_json_object(item, f"$.{name}")).otherwise(default)
 
 
+def _number(item: Column, keys: Column, name: str, default: str) -> Column:
+    """A number, of a string too; true and false are 1 and 0."""
+    v = _get(item, keys, name, F.lit(default))
+    return F.when(v == "true", 1.0).when(v == "false", 0.0).otherwise(v.try_cast("double"))
+
+
 def threats(d: DataFrame, reply: str = "reply") -> DataFrame:
-    """Rows of a reply's list: whole reply as JSON, else a json fence, else a bare one; items with a number that is none
-    or null are dropped, and default ids count accepted items."""
+    """Rows of a reply's list: whole reply as JSON, else a json fence, else a bare one. A list with an item that is no object
+    gives no rows at all; items with a number that is none or null are dropped, and default ids count accepted items."""
     c = F.col(reply)
     text = F.when(is_json(c), c).when(F.locate(JSON_FENCE, c) > 0, fenced(c, JSON_FENCE)).when(F.locate(FENCE, c) > 0, fenced(c, FENCE))
-    items = F.from_json(text, "array<string>")
-    j = d.filter(F.ltrim(text).startswith("[")).select(*d.columns, F.posexplode(items).alias("pos", "item"))
-    j = j.withColumn("keys", F.json_object_keys("item"))
-    g = lambda n, default: _get(F.col("item"), F.col("keys"), n, default)
-    j = j.withColumn("cvss_estimate", g("cvss_estimate", F.lit("5.0")).try_cast("double")).withColumn("confidence", g("confidence", F.lit("0.5")).try_cast("double"))
-    j = j.filter("cvss_estimate IS NOT NULL AND confidence IS NOT NULL")
-    n = F.row_number().over(W.partitionBy(*d.columns).orderBy("pos"))
-    return j.withColumn("__n", n).select(
-        *d.columns, F.col("pos"), g("threat_id", F.format_string("T-%03d", F.col("__n"))).alias("threat_id"), g("category", F.lit("Elevation_of_Privilege")).alias("category"),
-        g("target_component", F.lit("Unknown")).alias("target_component"), g("attack_vector", F.lit("")).alias("attack_vector"), "cvss_estimate", "confidence")
+    j = d.withColumn("__v", F.try_parse_json(text))
+    j = j.withColumn("__v", F.when(F.schema_of_variant("__v").startswith("ARRAY"), F.col("__v").try_cast("array<variant>")))
+    j = j.filter(~F.exists("__v", lambda x: ~F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False))))
+    items = F.transform("__v", lambda x, i: F.struct(i.alias("pos"), F.to_json(x).alias("item"), F.json_object_keys(F.to_json(x)).alias("keys")))
+    items = F.transform(items, lambda x: x.withField("cvss_estimate", _number(x["item"], x["keys"], "cvss_estimate", "5.0")).withField("confidence", _number(x["item"], x["keys"], "confidence", "0.5")))
+    items = F.filter(items, lambda x: x["cvss_estimate"].isNotNull() & x["confidence"].isNotNull())
+    j = j.select(*d.columns, F.posexplode(items).alias("__n", "__x"))
+    g = lambda n, default: _get(F.col("__x.item"), F.col("__x.keys"), n, default).alias(n)
+    return j.select(
+        *d.columns, F.col("__x.pos").alias("pos"), g("threat_id", F.format_string("T-%03d", F.col("__n") + 1)), g("category", F.lit("Elevation_of_Privilege")),
+        g("target_component", F.lit("Unknown")), g("attack_vector", F.lit("")), "__x.cvss_estimate", "__x.confidence")
 
 
 def feedback(d: DataFrame, reply: str = "reply") -> DataFrame:

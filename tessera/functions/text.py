@@ -13,6 +13,8 @@ TOPOLOGY_TITLE = "Architecture Topology Context:\n"
 BOUNDARY_TITLE = "Architecture Visual Trust Boundaries:\n"
 FALLBACK_CITATION = "Extracted via regex fallback"
 FENCE, JSON_FENCE = "```", "```json"
+#: Texts whose case folding is lower case with ß as ss (micro sign, dotted capital I, ŉ and long s are not of these).
+FOLDS_ALIKE = r"^[\x00-\x1B\x20-\x84\x86-\xB4\xB6-\u012F\u0131-\u0148\u014A-\u017E\u2010-\u2027\u2030-\u205E\u20A0-\u20C0]*$"
 
 
 def strip(c: Column) -> Column:
@@ -20,17 +22,18 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+", ""), r"(?U)\s+$", "")
 
 
-def normalize_text(c: Column) -> Column:
-    """Case folded, white space runs made one space. Folding is lower case plus ß to ss: equal to full case folding
-    for text in Latin scripts; ``normalize_any`` folds every script."""
-    return strip(F.regexp_replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), r"(?U)\s+", " "))
-
-
 @F.pandas_udf(T.StringType())
 def normalize_any(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else " ".join(x.casefold().split()))
 
 
+def normalize_text(c: Column) -> Column:
+    """Case folded, white space runs made one space. Letters up to U+017E fold by lower case, but for ß, ŉ and ſ, and so do
+    signs that have no case; a text with anything else goes to ``normalize_any``, which folds every script."""
+    fast = strip(F.regexp_replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), r"(?U)\s+", " "))
+    return F.when(c.rlike(FOLDS_ALIKE), fast).otherwise(normalize_any(F.when(~c.rlike(FOLDS_ALIKE), c)))
+
+
 def canonical_name(c: Column) -> Column:
     return F.upper(strip(c))
 
@@ -102,3 +105,18 @@ def truthy(v: Column) -> Column:
         F.when(v.isNull() | (kind == "VOID"), False).when(kind == "BOOLEAN", text == "true").when(kind == "STRING", F.length(text) > 0)
         .when(kind.startswith("ARRAY"), text != "[]").when(kind.startswith("OBJECT"), text != "{}").otherwise(F.try_to_number(text, F.lit("9" * 18)) != 0)
     )
+
+
+def key_id(*parts: Column) -> Column:
+    """An id that follows from a row's natural key, so that reruns agree; null parts count as such."""
+    return F.sha2(F.to_json(F.array(*[p.cast("string") for p in parts])), 256)
+
+
+def data_url(content: Column, kind: str = "image/png") -> Column:
+    """Bytes as a data URL, on one line."""
+    return F.concat(F.lit(f"data:{kind};base64,"), F.regexp_replace(F.base64(content), "\\s", ""))
+
+
+def json_dump(c: Column) -> Column:
+    """A struct, map or array as JSON over many lines, indented by two."""
+    return F.regexp_replace(F.to_json(c, {"pretty": "true"}), r'(?m)^(\s*"(?:[^"\\]|\\.)*") : ', "$1: ")

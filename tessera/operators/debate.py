@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import llmjson
 from .dedup import last_by
+from .rounds import checkpointed
 
 # The order of severities in a report; all others come last.
 SEVERITIES = ("Critical", "High", "Medium", "Low", "Informational")
@@ -25,7 +27,7 @@ def review(propose: Callable[[int, DataFrame | None], DataFrame], validate: Call
     feedback, count = None, 0
     while True:
         threats = propose(count, feedback)
-        new = validate(threats, count).withColumn("recursion_iteration", F.lit(count)).persist()
+        new = checkpointed(validate(threats, count).withColumn("recursion_iteration", F.lit(count)))
         feedback = new if feedback is None else feedback.unionByName(new)
         count += 1
         if route(feedback, count, limit).first()["next"] == "mediator":
@@ -60,6 +62,17 @@ def basic_report(threats: DataFrame, feedback: DataFrame) -> DataFrame:
         F.concat(F.lit("Implement controls aligned with "), F.col("citation_reference")).alias("mitigation_strategy"), F.array("citation_reference").alias("citations"))
 
 
+def final_report(threats: DataFrame, feedback: DataFrame, replies: DataFrame) -> DataFrame:
+    """The report that the model's replies (reply) give: its recommendations with defaults, or the basic report where no
+    reply holds any. Without a valid threat there are no rows. Columns of the basic report; event_id counts recommendations."""
+    basic = basic_report(threats, feedback)
+    rich = llmjson.recommendations(replies.select("reply")).drop("reply").withColumn("event_id", F.col("pos").cast("long")).select(*basic.columns)
+    some = rich.agg((F.count(F.lit(1)) > 0).alias("__rich"))  # one row
+    any_valid = valid_threats(threats, feedback).agg((F.count(F.lit(1)) > 0).alias("__any"))
+    rich = rich.join(F.broadcast(any_valid), F.lit(True)).filter("__any").drop("__any")
+    return rich.unionByName(basic.join(F.broadcast(some), F.lit(True)).filter("NOT __rich").drop("__rich"))
+
+
 def severity_rank(c: Column) -> Column:
     rank = F.lit(len(SEVERITIES))
     for i, s in reversed(list(enumerate(SEVERITIES))):

@@ -87,6 +87,16 @@ def ingest_summary(decisions: DataFrame, job_id: str) -> DataFrame:
         n("INSERT").alias("nodes_inserted"), n("MERGE").alias("nodes_merged"), n("SKIP").alias("nodes_skipped"))
 
 
+def job_result(decisions: DataFrame, titles: DataFrame, job_id: str, raw_text_length: int) -> DataFrame:
+    """One row: the summary, the length of the text, and all decisions in the order of ids. ``titles`` has (id, title)."""
+    kind = F.col("decision")
+    reason = F.when(kind == "SKIP", "Exact match").when(kind == "MERGE", "Semantic match").otherwise("New requirement")
+    d = decisions.join(titles.select("id", "title"), "id", "left").select("id", "decision", F.struct(
+        "title", "decision", "node_id", F.when(kind == "MERGE", F.col("node_id")).alias("merged_into"), F.col("similarity").alias("similarity_score"), reason.alias("reason")).alias("d"))
+    all_of = F.transform(F.array_sort(F.collect_list(F.struct("id", "d"))), lambda x: x["d"]).alias("dedup_decisions")
+    return ingest_summary(d, job_id).join(d.agg(F.lit(raw_text_length).cast("long").alias("raw_text_length"), all_of), F.lit(True))  # one row each
+
+
 def last_by(d: DataFrame, key: list[str], order: str) -> DataFrame:
     """Of rows with a key the last, as when a map is filled in order."""
     return d.withColumn("__r", F.row_number().over(W.partitionBy(*key).orderBy(F.col(order).desc()))).filter("__r = 1").drop("__r")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text
 from .dedup import last_by
+from .rounds import checkpointed
 
 
 def _titles(d: DataFrame) -> DataFrame:
@@ -30,25 +31,32 @@ def orphans(d: DataFrame) -> DataFrame:
     return d.filter("is_child_of <> ''").withColumn("pkey", normalize_text(F.col("is_child_of"))).join(t, "pkey", "left_anti").drop("pkey")
 
 
-def trees(nodes: DataFrame, links: DataFrame, depth: int = 64) -> DataFrame:
-    """From nodes (id) and links (node, parent): (id, root, depth). A node on a cycle has no root and is left out;
-    the walk ends with the deepest tree, or at ``depth``."""
-    links = links.filter("node <> parent").persist()
-    at = nodes.join(links.select(F.col("node").alias("id")), "id", "left_anti").select("id", F.col("id").alias("root"), F.lit(0).alias("depth")).persist()
-    out, n = at, 0
-    while n < depth and at.limit(1).count():
-        n += 1
-        at = at.select(F.col("id").alias("parent"), "root").join(links, "parent").select(F.col("node").alias("id"), "root", F.lit(n).alias("depth")).persist()
-        out = out.unionByName(at)
-    return out
-
-
-def descendants(roots: DataFrame, links: DataFrame, depth: int = 64) -> DataFrame:
-    """(id) of the roots and all below them, each once."""
-    at = roots.select("id").distinct().persist()
-    out, n = at, 0
-    while n < depth and at.limit(1).count():
-        n += 1
-        at = at.select(F.col("id").alias("parent")).join(links, "parent").select(F.col("node").alias("id")).distinct().join(out, "id", "left_anti").persist()
-        out = out.unionByName(at)
-    return out
+def trees(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """From nodes (id) and links (node, parent), one parent a node: (id, root, depth), however deep. A node on a cycle or
+    below one, or below a row that is not there, has no root and is left out.
+
+    Each round the rows without a root take their ancestor's ancestor, so a chain of n rows takes about log2(n)
+    rounds; what no root is found for by then is on a cycle.
+    """
+    links = links.filter("node <> parent")
+    left = checkpointed(links.select(F.col("node").alias("id"), F.col("parent").alias("up"), F.lit(1).cast("long").alias("steps")))
+    n = left.count()
+    done = checkpointed(nodes.join(left, "id", "left_anti").select("id", F.col("id").alias("root"), F.lit(0).cast("long").alias("depth")))
+    for _ in range(n.bit_length() + 1):
+        d = done.select(F.col("id").alias("up"), "root", "depth")
+        now = left.join(d, "up").select("id", "root", (F.col("steps") + F.col("depth")).alias("depth"))
+        above = left.select(F.col("id").alias("up"), F.col("up").alias("over"), F.col("steps").alias("more"))
+        rest = left.join(d, "up", "left_anti").join(above, "up").select("id", F.col("over").alias("up"), (F.col("steps") + F.col("more")).alias("steps"))
+        done, left = checkpointed(done.unionByName(now)), checkpointed(rest)
+        if not left.limit(1).count():
+            break
+    return done.select("id", "root", F.col("depth").cast("int").alias("depth"))
+
+
+def descendants(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(id) of the roots and all below them, each once, however deep: with the roots cut off from what is above them, all
+    rows whose tree has one of them as its root."""
+    top = roots.select("id").distinct()
+    below = links.join(top.select(F.col("id").alias("node")), "node", "left_anti")
+    ids = top.unionByName(links.select(F.col("node").alias("id"))).distinct()
+    return trees(ids, below).join(top.select(F.col("id").alias("root")), "root", "left_semi").select("id")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rounds import checkpointed
+
 FANOUT = 5
 
 
@@ -38,3 +42,18 @@ def prompts(numbered: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """From (ord, text) the text to summarise for each group: (idx, prompt_text)."""
     g = numbered.groupBy(F.floor(F.col("ord") / fanout).cast("long").alias("idx")).agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("p"))
     return g.select("idx", chunk_text(F.transform("p", lambda x: x["text"])).alias("prompt_text"))
+
+
+def summaries(numbered: DataFrame, leaves: int, summarise: Callable[[DataFrame], DataFrame], fanout: int = FANOUT) -> DataFrame:
+    """The whole tree with its texts: (layer, idx, parent_idx, text). ``numbered`` has (ord, text), counted from 0;
+    ``summarise`` adds summary to (idx, prompt_text). A layer is written before the next one reads it; there are
+    log(leaves) of them."""
+    depth = depth_of(leaves, fanout)
+    parent = lambda k: (F.floor(F.col("ord") / fanout) if k < depth else F.lit(None)).cast("long").alias("parent_idx")
+    at = numbered.select(F.col("ord").cast("long").alias("ord"), "text")
+    row = lambda d, k: d.select(F.lit(k).alias("layer"), F.col("ord").alias("idx"), parent(k), "text")
+    out = row(at, 0)
+    for k in range(1, depth + 1):
+        at = checkpointed(summarise(prompts(at, fanout)).select(F.col("idx").alias("ord"), F.col("summary").alias("text")))
+        out = out.unionByName(row(at, k))
+    return out

@@ -8,7 +8,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.fuzzy import fuzzy_ratio, ratio
-from ..functions.text import BOUNDARY_TITLE, boundary_sentence, canonical_name
+from ..functions.text import BOUNDARY_TITLE, boundary_sentence, canonical_name, key_id
+from .dedup import last_by
 
 THRESHOLD = 0.75
 
@@ -66,6 +67,30 @@ def edges(flows: DataFrame, entities: DataFrame) -> DataFrame:
     return e.select("source_id", "target_id", F.coalesce(F.nullif(F.col("protocol"), F.lit("")), F.col("flow_label")).alias("relation_type"), text.alias("description"))
 
 
+def upsert(entities: DataFrame, components: DataFrame, document: str, threshold: float = THRESHOLD) -> DataFrame:
+    """``entities`` (ord, id, name, entity_type, description) after a diagram, with spatial_metadata and visual_name: of those
+    that it shows what the last component matched to them tells, and a new row for every other component. ``components``
+    has pos, name, type, coordinates, labels, trust_zone. Ids of new rows follow from document and name."""
+    m = components.join(fuzzy_match(components, entities.select("ord", "name"), threshold).select("name", "match"), "name", "left")
+    told = lambda how: F.struct("coordinates", "trust_zone", F.col("labels").alias("labels_on_diagram"), F.lit(how).alias("source"))
+    shown = last_by(m.filter("match IS NOT NULL").select("match", "pos", F.col("name").alias("visual_name"), told("hybrid_merge").alias("spatial_metadata")), ["match"], "pos")
+    # of known rows with one name the first is the one that was matched
+    first = entities.groupBy("name").agg(F.min("ord").alias("ord"))
+    shown = shown.join(first, F.col("match") == F.col("name")).select("ord", "visual_name", "spatial_metadata")
+    kept = entities.join(shown, "ord", "left").select("id", "name", "entity_type", "description", "visual_name", "spatial_metadata")
+    new = m.filter("match IS NULL").select(
+        key_id(F.lit(document), F.col("name"), F.col("pos")).alias("id"), "name", F.col("type").alias("entity_type"),
+        F.concat(F.lit("[Vision Extracted] Additional Labels: "), F.array_join("labels", "; ")).alias("description"), F.col("name").alias("visual_name"), told("vision_only").alias("spatial_metadata"))
+    return kept.unionByName(new)
+
+
+def missed_edges(flows: DataFrame, entities: DataFrame) -> DataFrame:
+    """Flows that an end is not shown for: (source, target)."""
+    shown = entities.select("visual_name").distinct()
+    both = flows.join(shown.withColumnRenamed("visual_name", "source"), "source", "left_semi").join(shown.withColumnRenamed("visual_name", "target"), "target", "left_semi")
+    return flows.select("source", "target").exceptAll(both.select("source", "target"))
+
+
 def boundary_note(members: DataFrame) -> DataFrame:
     """One row, text: a sentence for each boundary (boundary_name, boundary_type, component, pos) in order."""
     b = members.groupBy("boundary_name", "boundary_type").agg(F.min("pos").alias("first"), F.array_sort(F.collect_list(F.struct("pos", "component"))).alias("m"))

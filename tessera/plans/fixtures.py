@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: SQL of the same tables; a query's SQL names those that it needs.
 CTE = {
-    "fx_req": """select doc_id as id, lang as category, left(split_part(text, chr(10), 1), 80) as title, text as rule, doc_id % 2 = 0 as in_kb from documents""",
+    "fx_req": """select doc_id as id, lang as category, split_part(text, chr(10), 1) as title, text as rule, doc_id % 2 = 0 as in_kb from documents""",
     "fx_vec": "select vec_id as id, label as category, embedding, vec_id % 2 = 0 as in_kb from embeddings",
     "fx_parent": """select doc_id as id, 'R' || doc_id as title, case when doc_id % 7 = 0 then 'R-missing' when doc_id < 5 then null else 'r' || (doc_id // 5) end as is_child_of from documents""",
     "fx_node": "select d.doc_id as id, d.source as document_id, d.text as text_content, e.embedding from documents d left join embeddings e on e.vec_id = d.doc_id",
@@ -15,10 +15,10 @@ CTE = {
         union all select 'P' || p_partkey, upper(p_name || ' ' || p_partkey), 'Part', null from part
         union all select 'N' || n_nationkey, upper(n_name), 'Nation', null from nation""",
     "fx_edge": """select 'S' || s_suppkey as source_id, 'N' || s_nationkey as target_id, 'LOCATED_IN' as relation_type, 'nation ' || s_nationkey as description from supplier
-        union all select distinct 'P' || l_partkey, 'S' || l_suppkey, 'SUPPLIED_BY', 'flag ' || l_returnflag from lineitem where l_quantity >= 50""",
-    "fx_boundary": """select r_name as boundary_name, 'Region' as boundary_type, n_name as component, n_nationkey as pos from nation join region on n_regionkey = r_regionkey where n_nationkey % 6 <> 0""",
-    "fx_threat": """select event_id, 'T-' || lpad((event_id % 50)::varchar, 3, '0') as threat_id, event_type as category, 'user-' || user_id as target_component, props as attack_vector from events where event_id < 50""",
-    "fx_feedback": """select d.doc_id as ordinal, 'T-' || lpad((d.doc_id % 50)::varchar, 3, '0') as threat_id, l.quality = 1 as is_valid, left(d.text, 40) as validation_reason,
+        union all select distinct 'P' || l_partkey, 'S' || l_suppkey, 'SUPPLIED_BY', 'flag ' || l_returnflag from lineitem""",
+    "fx_boundary": """select r_name as boundary_name, 'Region' as boundary_type, n_name as component, n_nationkey as pos from nation join region on n_regionkey = r_regionkey""",
+    "fx_threat": """select event_id, printf('T-%03d', event_id) as threat_id, event_type as category, 'user-' || user_id as target_component, props as attack_vector from events""",
+    "fx_feedback": """select d.doc_id as ordinal, printf('T-%03d', d.doc_id // 3) as threat_id, l.quality = 1 as is_valid, d.text as validation_reason,
         ['Critical','High','Medium','Low','Informational'][(d.doc_id % 5)::int + 1] as adjusted_severity, d.source as citation_reference, (d.doc_id % 3)::int as recursion_iteration
         from documents d join labels l using (doc_id)""",
     "fx_reply": """select event_id, case event_id % 4 when 0 then props when 1 then '```json' || chr(10) || props || chr(10) || '```' when 2 then '```' || chr(10) || props || chr(10) || '```' else 'no json' end as reply from events""",
@@ -37,7 +37,7 @@ def _pick(items: tuple[str, ...], i) -> F.Column:
 
 def requirements(spark, d):
     t = table(spark, d, "documents")
-    return t.select(F.col("doc_id").alias("id"), F.col("lang").alias("category"), F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 80).alias("title"),
+    return t.select(F.col("doc_id").alias("id"), F.col("lang").alias("category"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
                     F.col("text").alias("rule"), (F.col("doc_id") % 2 == 0).alias("in_kb"))
 
 
@@ -72,29 +72,29 @@ def entities(spark, d):
 def edges(spark, d):
     s = table(spark, d, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("source_id"), F.concat(F.lit("N"), "s_nationkey").alias("target_id"), F.lit("LOCATED_IN").alias("relation_type"),
                                            F.concat(F.lit("nation "), "s_nationkey").alias("description"))
-    p = table(spark, d, "lineitem").filter("l_quantity >= 50").select(F.concat(F.lit("P"), "l_partkey").alias("source_id"), F.concat(F.lit("S"), "l_suppkey").alias("target_id"),
+    p = table(spark, d, "lineitem").select(F.concat(F.lit("P"), "l_partkey").alias("source_id"), F.concat(F.lit("S"), "l_suppkey").alias("target_id"),
                                                                       F.lit("SUPPLIED_BY").alias("relation_type"), F.concat(F.lit("flag "), "l_returnflag").alias("description")).distinct()
     return s.unionByName(p)
 
 
 def boundaries(spark, d):
-    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).filter("n_nationkey % 6 <> 0")
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return n.select(F.col("r_name").alias("boundary_name"), F.lit("Region").alias("boundary_type"), F.col("n_name").alias("component"), F.col("n_nationkey").alias("pos"))
 
 
-def _threat_id(c: str):
-    return F.concat(F.lit("T-"), F.lpad((F.col(c) % 50).cast("string"), 3, "0")).alias("threat_id")
+def _threat_id(c):
+    return F.format_string("T-%03d", c).alias("threat_id")
 
 
 def threats(spark, d):
-    return table(spark, d, "events").filter("event_id < 50").select("event_id", _threat_id("event_id"), F.col("event_type").alias("category"),
+    return table(spark, d, "events").select("event_id", _threat_id(F.col("event_id")), F.col("event_type").alias("category"),
                                                                     F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("target_component"), F.col("props").alias("attack_vector"))
 
 
 def feedback(spark, d):
     i = F.col("doc_id")
     t = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
-    return t.select(i.alias("ordinal"), _threat_id("doc_id"), (F.col("quality") == 1).alias("is_valid"), F.substring("text", 1, 40).alias("validation_reason"),
+    return t.select(i.alias("ordinal"), _threat_id(F.expr("doc_id div 3")), (F.col("quality") == 1).alias("is_valid"), F.col("text").alias("validation_reason"),
                     _pick(("Critical", "High", "Medium", "Low", "Informational"), i % 5).alias("adjusted_severity"), F.col("source").alias("citation_reference"), (i % 3).cast("int").alias("recursion_iteration"))
 
 
@@ -110,6 +110,84 @@ def requests(spark, d):
                                            F.when((i % 4).isin(1, 2), F.col("html")).alias("document_text"), "html")
 
 
+def _json(**fields) -> F.Column:
+    return F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
+
+
+def threat_replies(spark, d):
+    """(event_id, reply): lists of one threat, of several in a fence, with an item that is no object, an object, no JSON."""
+    i, t = F.col("event_id"), F.col("event_type")
+    one = _json(threat_id=F.concat(F.lit("E"), i.cast("string")), category=t, target_component=F.concat(F.lit("user-"), F.col("user_id").cast("string")), attack_vector=F.col("props"), cvss_estimate=F.col("value"), confidence=F.lit(0.9))
+    three = F.concat(F.lit("so:\n```json\n["), _json(target_component=t), F.lit(', {"cvss_estimate": "high"}, {"threat_id": null, "cvss_estimate": "7"}]\n```'))
+    k = i % 5
+    r = F.when(k == 0, F.concat(F.lit("["), one, F.lit("]"))).when(k == 1, three).when(k == 2, F.concat(F.lit("[1, "), one, F.lit("]"))).when(k == 3, one).otherwise("no json")
+    return table(spark, d, "events").select("event_id", r.alias("reply"))
+
+
+def feedback_replies(spark, d):
+    """(doc_id, reply): a list in a fence, a number for the verdict, a text for it, no JSON that says valid, and nothing."""
+    i, q = F.col("doc_id"), F.col("quality")
+    whole = _json(is_valid=q == 1, validation_reason=F.col("text"), adjusted_severity=F.lit("Critical"), citation_reference=F.col("source"))
+    k = i % 5
+    r = F.when(k == 0, F.concat(F.lit("```json\n["), whole, F.lit("]\n```"))).when(k == 1, _json(is_valid=q)).when(k == 2, F.concat(F.lit("```\n"), _json(is_valid=F.lit("false"), adjusted_severity=F.lit("Low")), F.lit("\n```")))
+    r = r.when(k == 3, F.concat(F.lit("I find Is_Valid: TRUE in "), i.cast("string"))).otherwise("nothing")
+    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("doc_id", r.alias("reply"))
+
+
+def recommendation_replies(spark, d):
+    """(event_id, reply): one full recommendation and an empty one, one in a fence, and no JSON."""
+    i = F.col("event_id")
+    full = _json(threat_id=F.concat(F.lit("E"), i.cast("string")), category=F.col("event_type"), target_component=F.lit("API"), severity=F.lit("Critical"), attack_vector=F.col("props"),
+                 mitigation_strategy=F.lit("rotate keys"), citations=F.array(F.lit("A"), F.col("event_type")))
+    k = i % 3
+    r = F.when(k == 0, F.concat(F.lit('{"recommendations":['), full, F.lit(",{}]}"))).when(k == 1, F.concat(F.lit("x ```json "), F.lit('{"recommendations":[{"threat_id":"T"}]} ```'))).otherwise("none")
+    return table(spark, d, "events").select("event_id", r.alias("reply"))
+
+
+def requirement_replies(spark, d):
+    """(doc_id, reply): two requirements in a fence, one, one without its rule, no JSON, an empty list."""
+    i = F.col("doc_id")
+    one = _json(title=F.concat(F.lit("R"), i.cast("string")), actionable_rule=F.col("text"))
+    child = _json(title=F.lit("C"), actionable_rule=F.coalesce(F.col("source"), F.lit("-")), is_child_of=F.concat(F.lit("R"), i.cast("string")))
+    k = i % 5
+    r = F.when(k == 0, F.concat(F.lit('```json\n{"requirements":['), one, F.lit(","), child, F.lit("]}\n```"))).when(k == 1, F.concat(F.lit('{"requirements":['), one, F.lit("]}")))
+    r = r.when(k == 2, F.lit('{"requirements":[{"title":"T"}]}')).when(k == 3, "none").otherwise('{"requirements":[]}')
+    return table(spark, d, "documents").select("doc_id", r.alias("reply"))
+
+
+def graph_replies(spark, d):
+    """(s_suppkey, reply): a supplier, its nation and the edge between them; every third lacks a field, every third is fenced."""
+    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    e = lambda n, t: F.struct(F.col(n).alias("name"), F.lit(t).alias("type"), F.lit("d").alias("description"))
+    good = _json(entities=F.array(e("s_name", "Supplier"), e("n_name", "Nation")), edges=F.array(F.struct(
+        F.col("s_name").alias("source_entity"), F.col("n_name").alias("target_entity"), F.lit("IN").alias("relation_type"), F.lit("d").alias("description"))))
+    k = F.col("s_suppkey") % 3
+    return s.select("s_suppkey", F.when(k == 0, good).when(k == 1, F.concat(F.lit("```json"), good, F.lit("```"))).otherwise('{"entities":[{"name":"a"}],"edges":[]}').alias("reply"))
+
+
+def diagram_replies(spark, d):
+    """(r_regionkey, reply): a diagram of each region: its nations and a zone that is nowhere else; a flow from the zone to
+    each nation, and one to nowhere; a boundary around the nations."""
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    zone = F.concat(F.lit("QQ#"), F.col("r_regionkey").cast("string"), F.lit("#ZZ"))
+    at = lambda x: F.struct(*[x.cast("int").alias(c) for c in ("ymin", "xmin", "ymax", "xmax")])
+    part = lambda name, kind, x, label: F.struct(name.alias("name"), F.lit(kind).alias("type"), at(x).alias("coordinates"), F.array(F.lit(kind), label).alias("labels_on_box"))
+    flow = lambda to, protocol: F.struct(zone.alias("source"), to.alias("target"), F.lit("Reads").alias("flow_label"), protocol.alias("protocol"))
+    key = F.col("n_nationkey")
+    g = n.groupBy("r_regionkey", "r_name").agg(F.array_sort(F.collect_list(F.struct(key, part(F.col("n_name"), "Nation", key, F.col("r_name")).alias("c"), flow(F.col("n_name"), F.when(key % 2 == 0, "TCP").otherwise("")).alias("f")))).alias("a"))
+    reply = _json(components=F.array_append(F.transform("a", lambda x: x["c"]), part(zone, "Zone", F.lit(0), F.lit("z"))), data_flows=F.array_append(F.transform("a", lambda x: x["f"]), flow(F.lit("NOWHERE"), F.lit(""))),
+                  trust_boundaries=F.array(F.struct(F.col("r_name").alias("boundary_name"), F.transform("a", lambda x: x["c"]["name"]).alias("contained_components"), F.lit("VPC").alias("boundary_type"))))
+    return g.select("r_regionkey", F.concat(F.lit("```json\n"), reply, F.lit("\n```")).alias("reply"))
+
+
+def refresh_pages(spark, d):
+    """(page_id, url, html): pages that send their reader on to the next, but every seventh."""
+    i = F.col("page_id")
+    to = F.concat(F.lit("http://h/p/"), (i + 1).cast("string"))
+    tag = F.when(i % 7 == 6, "").when(i % 2 == 0, F.concat(F.lit('<meta http-equiv="refresh" content="0; url='), to, F.lit('">'))).otherwise(F.concat(F.lit("<META content=\"5;URL='/p/"), (i + 1).cast("string"), F.lit("'\" http-equiv=refresh>")))
+    return table(spark, d, "pages").select("page_id", F.concat(F.lit("http://h/p/"), i.cast("string")).alias("url"), F.concat(tag, F.col("html")).alias("html"))
+
+
 def query_vector(spark, d) -> list[float]:
     """The vector of id 0: one row."""
     r = table(spark, d, "embeddings").filter("vec_id = 0").select("embedding").first()

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import llmjson, text
 from ..functions import vectors as V
 from ..functions.fuzzy import fuzzy_ratio
-from ..operators import debate, dedup, graph, hierarchy, retrieve, tree, vision
+from ..operators import debate, dedup, graph, hierarchy, retrieve, tree, validation, vision
+from ..operators.rounds import first_row, ordinals
 from ..sources import html, ingest
 from . import fixtures as X
 
@@ -47,10 +48,16 @@ def semantic_candidates(spark, d):
     return V.knn_join(v.filter("NOT in_kb"), v.filter("in_kb"), 5).select("id", "other", F.round("distance", 6).alias("distance"), F.col("rk").cast("long").alias("rk"))
 
 
-@query("select * from (values (1, 0.0::double), (2, 1.0), (3, 'NaN'::double), (4, 1.0), (5, 0.75), (6, 0.0)) v(id, similarity)")
+SIMILARITY = "case when d is null then 0.0 when isnan(d) then 'NaN'::double else greatest(0.0, least(1.0, 1.0 - d)) end"
+
+
+@query(f"""with x as (select vec_id, case vec_id % 5 when 0 then null when 1 then 'NaN'::double else {DIST.format('embedding', Q)} * 3 - 1.5 end as d from embeddings)
+    select vec_id, round({SIMILARITY}, 6) as similarity from x""")
 def cosine_clamp(spark, d):
-    t = spark.createDataFrame([(1, None), (2, -0.5), (3, float("nan")), (4, 0.0), (5, 0.25), (6, 1.5)], "id int, distance double")
-    return t.select("id", V.clamp_similarity(F.col("distance")).alias("similarity"))
+    """Distances to one vector, stretched beyond both ends, some null or no number."""
+    k = F.col("vec_id") % 5
+    t = X.table(spark, d, "embeddings").withColumn("distance", F.when(k == 1, float("nan")).when(k > 1, V.cosine_to(F.col("embedding"), X.query_vector(spark, d)) * 3 - 1.5))
+    return t.select("vec_id", F.round(V.clamp_similarity(F.col("distance")), 6).alias("similarity"))
 
 
 @query(f"select doc_id, {NORM.format('text')} as norm from documents")
@@ -225,18 +232,15 @@ def html_to_text(spark, d):
     return X.table(spark, d, "pages").select("page_id", html.html_to_text(F.col("html")).alias("text"))
 
 
-@query("select * from (values (1, 'https://b.example/x'), (2, '/next'), (3, ''), (4, 'a.html'), (5, '')) v(id, target)")
+@query("select page_id, case when page_id % 7 = 6 then '' when page_id % 2 = 0 then 'http://h/p/' || (page_id + 1) else '/p/' || (page_id + 1) end as target from pages")
 def meta_refresh_target(spark, d):
-    rows = [(1, """<meta http-equiv="refresh" content="0; url=https://b.example/x">"""), (2, """<META content="5;URL='/next'" http-equiv="refresh"/>"""),
-            (3, "<meta name='a' content='url=no'>"), (4, "<head><meta http-equiv='refresh' content='0;url=a.html'></head>"), (5, None)]
-    t = spark.createDataFrame(rows, "id int, html string")
-    return t.select("id", F.coalesce(html.meta_refresh_target(F.col("html")), F.lit("")).alias("target"))
+    return X.refresh_pages(spark, d).select("page_id", F.coalesce(html.meta_refresh_target(F.col("html")), F.lit("")).alias("target"))
 
 
-@query("select * from (values ('http://h/0', 'http://h/5', 5), ('http://h/1', 'http://h/6', 5), ('http://h/2', 'http://h/6', 4), ('http://h/3', 'http://h/6', 3), ('http://h/4', 'http://h/6', 2), ('http://h/5', 'http://h/6', 1), ('http://h/6', 'http://h/6', 0)) v(url, final_url, hops)")
+@query("""select 'http://h/p/' || page_id as url, 'http://h/p/' || (page_id + hops) as final_url, hops::int as hops
+    from (select page_id, least(5, 6 - page_id % 7, (select max(page_id) from pages) - page_id) as hops from pages)""")
 def meta_refresh_chain(spark, d):
-    rows = [(f"http://h/{i}", f"""<meta http-equiv="refresh" content="0; url=/{i + 1}">""" if i < 6 else "<p>end</p>") for i in range(7)]
-    return html.follow_refresh(spark.createDataFrame(rows, "url string, html string"))
+    return html.follow_refresh(X.refresh_pages(spark, d).select("url", "html"))
 
 
 @query("select conv_id, string_agg(text || chr(10), '' order by turn) as text from conversations group by 1")
@@ -261,8 +265,8 @@ def payload_dispatch(spark, d):
 
 
 def _leaves(spark, d):
-    """Documents by id, counted from 0; ids are counted without gaps in these tables."""
-    return X.table(spark, d, "documents").select(F.col("doc_id").alias("ord"), "text")
+    """Documents by id, counted from 0."""
+    return ordinals(X.table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("ord", "text")
 
 
 @query("""with recursive n as (select count(*) as n from documents), l as (select 0 as layer, n as size from n union all select layer + 1, (size + 4) // 5 from l where size > 1)
@@ -273,15 +277,30 @@ def raptor_layers(spark, d):
     return tree.layers(t, t.count())
 
 
-@query("select doc_id // 5 as idx, string_agg('Chunk ' || (doc_id % 5 + 1) || ': ' || text, chr(10) || chr(10) order by doc_id) as prompt_text from documents group by 1")
+@query("select doc_id // 5 as idx, string_agg('Chunk ' || (doc_id % 5 + 1) || ': ' || text, chr(10) || chr(10) order by doc_id) as prompt_text from (select row_number() over (order by doc_id) - 1 as doc_id, text from documents) group by 1")
 def raptor_prompt_text(spark, d):
     return tree.prompts(_leaves(spark, d))
 
 
-@query("""select s_suppkey, s_name, coalesce(b.boundary_name, 'Unknown') as trust_zone from supplier join nation on s_nationkey = n_nationkey left join fx_boundary b on b.component = n_name""", "fx_boundary")
+TREE = ["l0 as (select row_number() over (order by doc_id) - 1 as idx, text from documents)"]
+for _k in range(1, 9):
+    TREE.append(f"""l{_k} as (select idx // 5 as idx, left(string_agg('Chunk ' || (idx % 5 + 1) || ': ' || text, chr(10) || chr(10) order by idx), 300) as text from l{_k - 1} where (select count(*) from l{_k - 1}) > 1 group by 1)""")
+
+
+@query("with " + ", ".join(TREE) + " " + " union all ".join(f"select {k} as layer, idx, case when (select count(*) from l{k}) > 1 then idx // 5 end as parent_idx, text from l{k}" for k in range(9)))
+def raptor_tree(spark, d):
+    """The tree with texts folded upwards; a summary is the first 300 characters here."""
+    t = _leaves(spark, d)
+    return tree.summaries(t, t.count(), lambda p: p.withColumn("summary", text.budget(F.col("prompt_text"), 300)))
+
+
+@query("""select k, name, coalesce(b.boundary_name, 'Unknown') as trust_zone from (select s_suppkey as k, n_name as name from supplier join nation on s_nationkey = n_nationkey union all select -1 - r_regionkey, r_name from region)
+    left join fx_boundary b on b.component = name""", "fx_boundary")
 def trust_zone_assign(spark, d):
-    s = X.table(spark, d, "supplier").join(X.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return vision.trust_zones(s.select("s_suppkey", "s_name", F.col("n_name").alias("name")), X.boundaries(spark, d)).select("s_suppkey", "s_name", "trust_zone")
+    """Suppliers' nations, and regions, which no boundary holds."""
+    s = X.table(spark, d, "supplier").join(X.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("k"), F.col("n_name").alias("name"))
+    r = X.table(spark, d, "region").select((-1 - F.col("r_regionkey")).alias("k"), F.col("r_name").alias("name"))
+    return vision.trust_zones(s.unionByName(r), X.boundaries(spark, d)).select("k", "name", "trust_zone")
 
 
 @query("""with b as (select boundary_name, boundary_type, min(pos) as p, string_agg(component, ', ' order by pos) as m from fx_boundary group by 1, 2)
@@ -290,62 +309,75 @@ def boundary_text(spark, d):
     return vision.boundary_note(X.boundaries(spark, d))
 
 
-DIAGRAM = """{"components":[{"name":"API GATEWAY","type":"Gateway","coordinates":{"ymin":100,"xmin":100,"ymax":200,"xmax":200},"labels_on_box":["Kong"]},
-{"name":"MAIN DATABASE","type":"Database","coordinates":{"ymin":300,"xmin":300,"ymax":400,"xmax":400},"labels_on_box":["PostgreSQL v15","primary"]}],
-"data_flows":[{"source":"API GATEWAY","target":"MAIN DATABASE","flow_label":"Reads User Data","protocol":"TCP","direction":"unidirectional"},
-{"source":"API GATEWAY","target":"MAIN DATABASE","flow_label":"Writes","protocol":""},{"source":"API GATEWAY","target":"NOWHERE","flow_label":"x"}],
-"trust_boundaries":[{"boundary_name":"Secure Subnet","contained_components":["API GATEWAY","MAIN DATABASE"],"boundary_type":"VPC"}]}"""
+def _diagram(spark, d):
+    return llmjson.diagram(X.diagram_replies(spark, d))
 
 
-def _diagram(spark):
-    return llmjson.diagram(spark.createDataFrame([(1, "```json\n" + DIAGRAM + "\n```"), (2, "{}"), (3, "no json")], "id int, reply string"))
+def _components(spark, d):
+    g = _diagram(spark, d)
+    c = g.select("r_regionkey", F.posexplode("g.components").alias("i", "c")).select((F.col("r_regionkey") * 1000 + F.col("i")).alias("pos"), "c.name", "c.type", "c.coordinates", F.col("c.labels_on_box").alias("labels"))
+    m = g.select(F.col("r_regionkey").alias("pos"), F.explode("g.trust_boundaries").alias("b")).select("pos", "b.boundary_name", F.explode("b.contained_components").alias("component"))
+    return vision.trust_zones(c, m)
 
 
-def _components(spark):
-    g = _diagram(spark)
-    c = g.select(F.posexplode("g.components").alias("pos", "c")).select("pos", "c.name", "c.type", F.col("c.labels_on_box").alias("labels"))
-    m = g.select(F.posexplode("g.trust_boundaries").alias("pos", "b")).select("pos", "b.boundary_name", F.explode("b.contained_components").alias("component"))
-    return vision.trust_zones(c, m)
+def _flows(spark, d):
+    return _diagram(spark, d).select(F.explode("g.data_flows").alias("f")).select("f.*")
 
 
-def _merged(spark):
-    return vision.merge(_components(spark), spark.createDataFrame([(0, "API GATEWAY"), (1, "MESSAGE QUEUE")], "ord long, name string"))
+def _known(spark, d):
+    """Nations and suppliers, of which the diagrams show the nations."""
+    n = X.table(spark, d, "nation").select(F.col("n_nationkey").alias("ord"), F.concat(F.lit("N"), "n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lit("Known").alias("entity_type"), F.lit("d").alias("description"))
+    s = X.table(spark, d, "supplier").select((F.col("s_suppkey") + 1000).alias("ord"), F.concat(F.lit("S"), "s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("Known").alias("entity_type"), F.lit("d").alias("description"))
+    return n.unionByName(s)
 
 
-@query("select * from (values (1, 2, 3, 1)) v(id, components, flows, boundaries)")
+PARTS = """parts as (select n_name as name, 'Nation' as type, r_name as label, r_name as zone, n_nationkey as y, r_regionkey as r from nation join region on n_regionkey = r_regionkey
+    union all select 'QQ#' || r_regionkey || '#ZZ', 'Zone', 'z', 'Unknown', 0, r_regionkey from region where r_regionkey in (select n_regionkey from nation))"""
+
+
+@query(f"with {PARTS} select r as r_regionkey, count(*)::int as components, count(*)::int as flows, 1 as boundaries from parts group by r")
 def diagram_parse(spark, d):
-    return _diagram(spark).select("id", F.size("g.components").alias("components"), F.size("g.data_flows").alias("flows"), F.size("g.trust_boundaries").alias("boundaries"))
+    return _diagram(spark, d).select("r_regionkey", F.size("g.components").alias("components"), F.size("g.data_flows").alias("flows"), F.size("g.trust_boundaries").alias("boundaries"))
 
 
-@query("select * from (values ('API GATEWAY', 'API GATEWAY (Gateway): Kong'), ('MAIN DATABASE', 'MAIN DATABASE (Database): PostgreSQL v15; primary')) v(name, embed_text)")
+@query(f"with {PARTS} select name, name || ' (' || type || '): ' || type || '; ' || label as embed_text from parts")
 def component_text(spark, d):
-    return _components(spark).select("name", text.component_text(F.col("name"), F.col("type"), F.col("labels")).alias("embed_text"))
+    return _components(spark, d).select("name", text.component_text(F.col("name"), F.col("type"), F.col("labels")).alias("embed_text"))
 
 
-@query("""select * from (values ('API GATEWAY', 'Gateway', 'Secure Subnet', 'Kong', 'hybrid_merge'), ('MAIN DATABASE', 'Database', 'Secure Subnet', 'PostgreSQL v15; primary', 'vision_only')) v(name, entity_type, trust_zone, labels, source)""")
+@query(f"with {PARTS} select name, type as entity_type, zone as trust_zone, type || '; ' || label as labels, case type when 'Zone' then 'vision_only' else 'hybrid_merge' end as source from parts")
 def vision_merge(spark, d):
-    return _merged(spark).drop("visual_name")
+    return vision.merge(_components(spark, d), _known(spark, d).select("ord", "name")).drop("visual_name")
+
 
+@query(f"""with {PARTS} select 'N' || n_nationkey as id, n_name as name, 'Known' as entity_type, 'd' as description, zone as trust_zone, y::int as ymin, 'hybrid_merge' as source from nation join parts on name = n_name
+    union all select 'S' || s_suppkey, s_name, 'Known', 'd', null, null, null from supplier
+    union all select sha256('["doc","' || name || '","' || (r * 1000 + (select count(*) from nation where n_regionkey = r)) || '"]'), name, 'Zone', '[Vision Extracted] Additional Labels: Zone; z', 'Unknown', 0, 'vision_only' from parts where type = 'Zone'""")
+def vision_upsert(spark, d):
+    u = vision.upsert(_known(spark, d), _components(spark, d), "doc")
+    return u.select("id", "name", "entity_type", "description", "spatial_metadata.trust_zone", F.col("spatial_metadata.coordinates.ymin").alias("ymin"), "spatial_metadata.source")
 
-@query("""select * from (values ('API GATEWAY', 'MAIN DATABASE', 'TCP', '[Vision Extraction] Flow: Reads User Data (unidirectional)'), ('API GATEWAY', 'MAIN DATABASE', 'Writes', '[Vision Extraction] Flow: Writes (unidirectional)'))
-    v(source_id, target_id, relation_type, description)""")
+
+@query("""select 'QQ#' || n_regionkey || '#ZZ' as source_id, n_name as target_id, case when n_nationkey % 2 = 0 then 'TCP' else 'Reads' end as relation_type, '[Vision Extraction] Flow: Reads (unidirectional)' as description from nation""")
 def vision_edges(spark, d):
-    flows = _diagram(spark).select(F.explode("g.data_flows").alias("f")).select("f.*")
-    return vision.edges(flows, _merged(spark))
+    merged = vision.merge(_components(spark, d), _known(spark, d).select("ord", "name"))
+    return vision.edges(_flows(spark, d), merged)
+
 
+@query("select distinct 'QQ#' || n_regionkey || '#ZZ' as source, 'NOWHERE' as target from nation")
+def vision_missed_edges(spark, d):
+    return vision.missed_edges(_flows(spark, d), _components(spark, d).withColumnRenamed("name", "visual_name"))
 
-@query("select * from (values (1, 2, 1), (3, 1, 0)) v(id, entities, edges)")
+
+@query("select s_suppkey, 2 as entities, 1 as edges from supplier where s_suppkey % 3 <> 2")
 def graph_parse(spark, d):
-    good = '{"entities":[{"name":"a","type":"t","description":"d"},{"name":"b","type":"t","description":"d"}],"edges":[{"source_entity":"a","target_entity":"b","relation_type":"r","description":"d"}]}'
-    rows = [(1, good), (2, '{"entities":[{"name":"a"}],"edges":[]}'), (3, '```{"entities":[{"name":"a","type":"t","description":"d"}],"edges":[]}```'), (4, "")]
-    return llmjson.graph(spark.createDataFrame(rows, "id int, reply string")).select("id", F.size("g.entities").alias("entities"), F.size("g.edges").alias("edges"))
+    return llmjson.graph(X.graph_replies(spark, d)).select("s_suppkey", F.size("g.entities").alias("entities"), F.size("g.edges").alias("edges"))
 
 
-@query("select * from (values (1, 0, 'T1', 'R1', null), (1, 1, 'T2', 'R2', 'T1'), (3, 0, 'T3', 'R3', null)) v(id, ord, title, actionable_rule, is_child_of)")
+@query("""select doc_id, 0 as ord, 'R' || doc_id as title, text as actionable_rule, null as is_child_of from documents where doc_id % 5 in (0, 1) and text is not null
+    union all select doc_id, 1, 'C', coalesce(source, '-'), 'R' || doc_id from documents where doc_id % 5 = 0 and text is not null""")
 def requirements_parse(spark, d):
-    rows = [(1, '```json\n{"requirements":[{"title":"T1","actionable_rule":"R1"},{"title":"T2","actionable_rule":"R2","is_child_of":"T1"}]}\n```'), (2, '{"requirements":[{"title":"T"}]}'),
-            (3, '{"requirements":[{"title":"T3","actionable_rule":"R3","is_child_of":null}]}'), (4, "none"), (5, '{"requirements":[]}')]
-    return llmjson.requirements(spark.createDataFrame(rows, "id int, reply string")).drop("reply")
+    return llmjson.requirements(X.requirement_replies(spark, d)).drop("reply")
 
 
 @query("select event_id, case event_id % 4 when 3 then 'no json' else trim(props) end as cleaned from events")
@@ -359,34 +391,32 @@ def fenced_json(spark, d):
     return X.replies(spark, d).select("event_id", j.alias("json"), text.is_json(j).alias("parses"))
 
 
-@query("select * from (values (1, true), (2, true), (3, false), (4, false)) v(id, valid)")
+@query("select doc_id, doc_id % 5 = 3 as valid from documents join labels using (doc_id)")
 def validity_fallback(spark, d):
-    t = spark.createDataFrame([(1, "I say Is_Valid: TRUE, so"), (2, '{"is_valid": true, broken'), (3, "is_valid: false"), (4, "")], "id int, reply string")
-    return t.select("id", text.says_valid(F.col("reply")).alias("valid"))
+    return X.feedback_replies(spark, d).select("doc_id", text.says_valid(F.col("reply")).alias("valid"))
 
 
-@query("""select * from (values (1, 0, 'T-001', 'Spoofing', 'API Gateway', 'v', 8.2::double, 0.9::double), (1, 2, 'T-002', 'Elevation_of_Privilege', 'Unknown', '', 5.0, 0.5), (1, 3, null, 'Tampering', 'Unknown', '', 7.0, 0.5),
-    (2, 0, 'T-001', 'Elevation_of_Privilege', 'Queue', '', 5.0, 0.5)) v(id, pos, threat_id, category, target_component, attack_vector, cvss_estimate, confidence)""")
+@query("""select event_id, 0 as pos, 'E' || event_id as threat_id, event_type as category, 'user-' || user_id as target_component, props as attack_vector, value as cvss_estimate, 0.9::double as confidence from events where event_id % 5 = 0
+    union all select event_id, 0, 'T-001', 'Elevation_of_Privilege', event_type, '', 5.0, 0.5 from events where event_id % 5 = 1
+    union all select event_id, 2, null, 'Elevation_of_Privilege', 'Unknown', '', 7.0, 0.5 from events where event_id % 5 = 1""")
 def threat_parse(spark, d):
-    rows = [(1, '[{"threat_id":"T-001","category":"Spoofing","target_component":"API Gateway","attack_vector":"v","cvss_estimate":8.2,"confidence":0.9},{"cvss_estimate":"high"},{},{"threat_id":null,"category":"Tampering","cvss_estimate":"7"}]'),
-            (2, 'so:\n```json\n[{"target_component":"Queue"}]\n```'), (3, '{"threats":[]}'), (4, "nothing"), (5, '[{"cvss_estimate":null}]')]
-    return llmjson.threats(spark.createDataFrame(rows, "id int, reply string")).drop("reply")
+    return llmjson.threats(X.threat_replies(spark, d)).drop("reply")
 
 
-@query("""select * from (values (1, true, 'because', 'Critical', 'OWASP'), (2, false, 'No reason provided', 'High', 'Unknown'), (3, true, 'x', 'Low', 'Unknown'), (4, true, 'is_valid: true but no json', 'High', 'Extracted via regex fallback'),
-    (6, false, 'No reason provided', 'High', 'Unknown')) v(id, is_valid, validation_reason, adjusted_severity, citation_reference)""")
+@query("""with f as (select doc_id, doc_id % 5 as k, quality, text, source from documents join labels using (doc_id))
+    select doc_id, case k when 2 then true when 3 then true else quality = 1 end as is_valid,
+        case k when 0 then coalesce(text, 'No reason provided') when 3 then 'I find Is_Valid: TRUE in ' || doc_id else 'No reason provided' end as validation_reason,
+        case k when 0 then 'Critical' when 2 then 'Low' else 'High' end as adjusted_severity,
+        case k when 0 then coalesce(source, 'Unknown') when 3 then 'Extracted via regex fallback' else 'Unknown' end as citation_reference from f where k < 4""")
 def feedback_parse(spark, d):
-    rows = [(1, '```json\n[{"is_valid":true,"validation_reason":"because","adjusted_severity":"Critical","citation_reference":"OWASP"}]\n```'), (2, '{"is_valid":false}'),
-            (3, '```\n{"is_valid":"false","validation_reason":"x","adjusted_severity":"Low"}\n```'), (4, "is_valid: true but no json"), (5, "nothing"), (6, '{"is_valid":0}'), (7, "[]")]
-    return llmjson.feedback(spark.createDataFrame(rows, "id int, reply string")).drop("reply")
+    return llmjson.feedback(X.feedback_replies(spark, d)).drop("reply")
 
 
-@query("""select * from (values (1, 0, 'T-001', 'Spoofing', 'API Gateway', 'v', 'Critical', 'rotate keys', 'A, B'), (1, 1, '', 'Unknown', 'Unknown', '', 'High', '', ''), (2, 0, 'T-2', 'Unknown', 'Unknown', '', 'High', '', ''))
-    v(id, pos, threat_id, category, target_component, attack_vector, severity, mitigation_strategy, citations)""")
+@query("""select event_id, 0 as pos, 'E' || event_id as threat_id, event_type as category, 'API' as target_component, props as attack_vector, 'Critical' as severity, 'rotate keys' as mitigation_strategy, 'A, ' || event_type as citations from events where event_id % 3 = 0
+    union all select event_id, 1, '', 'Unknown', 'Unknown', '', 'High', '', '' from events where event_id % 3 = 0
+    union all select event_id, 0, 'T', 'Unknown', 'Unknown', '', 'High', '', '' from events where event_id % 3 = 1""")
 def report_from_recommendations(spark, d):
-    rows = [(1, '{"recommendations":[{"threat_id":"T-001","category":"Spoofing","target_component":"API Gateway","severity":"Critical","attack_vector":"v","mitigation_strategy":"rotate keys","citations":["A","B"]},{}]}'),
-            (2, 'x ```json {"recommendations":[{"threat_id":"T-2"}]} ```'), (3, "none")]
-    t = llmjson.recommendations(spark.createDataFrame(rows, "id int, reply string")).drop("reply")
+    t = llmjson.recommendations(X.recommendation_replies(spark, d)).drop("reply")
     return t.withColumn("citations", F.array_join("citations", ", "))
 
 
@@ -463,3 +493,73 @@ def severity_sort(spark, d):
 
     f = X.feedback(spark, d).withColumn("severity_rank", debate.severity_rank(F.col("adjusted_severity")))
     return f.select("ordinal", "severity_rank", F.row_number().over(W.orderBy("severity_rank", "ordinal")).cast("long").alias("place"))
+
+
+@query(f"""with {BASIC} select event_id, threat_id, 'Enriched' as category, severity, 'Do ' || threat_id as mitigation_strategy, citations from b""", "fx_threat", "fx_feedback")
+def final_report_enriched(spark, d):
+    """A reply that holds a recommendation for each valid threat, in the order of events."""
+    t, f = X.threats(spark, d), X.feedback(spark, d)
+    b = debate.basic_report(t, f)
+    rec = F.struct("threat_id", F.lit("Enriched").alias("category"), "target_component", "severity", "attack_vector", F.concat(F.lit("Do "), "threat_id").alias("mitigation_strategy"), "citations")
+    reply = b.agg(F.to_json(F.struct(F.lit("s").alias("executive_summary"), F.transform(F.array_sort(F.collect_list(F.struct("event_id", rec.alias("r")))), lambda x: x["r"]).alias("recommendations"))).alias("reply"))
+    r = debate.final_report(t, f, reply).drop("event_id").join(t.select("threat_id", "event_id"), "threat_id")
+    return r.select("event_id", "threat_id", "category", "severity", "mitigation_strategy", F.array_join("citations", ", ").alias("citations"))
+
+
+@query(f"with {BASIC} select threat_id, mitigation_strategy from b", "fx_threat", "fx_feedback")
+def final_report_fallback(spark, d):
+    """Replies that hold no recommendation leave the basic report."""
+    none = X.table(spark, d, "region").select(F.concat(F.lit("no report for "), "r_name").alias("reply"))
+    return debate.final_report(X.threats(spark, d), X.feedback(spark, d), none).select("threat_id", "mitigation_strategy")
+
+
+def verdicts(prompts: list[str]) -> list:
+    """A stand-in for an evaluator: by the last digit of the threat's id a failure, a rejection, or a word that it is valid."""
+    last = [p.split("ID: ")[1].split("\n")[0][-1] for p in prompts]
+    return [None if x == "7" else '{"is_valid": false, "validation_reason": "no"}' if x == "3" else "is_valid: true" for x in last]
+
+
+@query(f"""with near as (select q.vec_id as event_id, k.id as other, row_number() over (partition by q.vec_id order by {DIST.format('q.embedding', 'k.embedding')} nulls last, k.id) as rk
+        from embeddings q join fx_node k on k.embedding is not null), c as (select event_id, string_agg(coalesce(n.text_content, ''), chr(10) || chr(10) order by rk) as c from near join fx_node n on n.id = other where rk <= 5 group by 1)
+    select t.event_id, sha256(coalesce(c.c, '(No knowledge base results available)')) as context_sha256 from fx_threat t left join c using (event_id)""", "fx_threat", "fx_node")
+def threat_context(spark, d):
+    return validation.with_context(_threat_vectors(spark, d), X.nodes(spark, d)).select("event_id", F.sha2("kb_context", 256).alias("context_sha256"))
+
+
+def _threat_vectors(spark, d):
+    e = X.table(spark, d, "embeddings").select(F.col("vec_id").alias("event_id"), "embedding")
+    return X.threats(spark, d).join(e, "event_id", "left")
+
+
+@query("""select event_id, threat_id, event_id % 10 <> 3 as is_valid, case event_id % 10 when 7 then 'LLM evaluation failed, assuming valid: no reply' when 3 then 'no' else 'is_valid: true' end as validation_reason, 'High' as adjusted_severity,
+    case event_id % 10 when 7 then 'Manual review required' when 3 then 'Unknown' else 'Extracted via regex fallback' end as citation_reference, 1 as recursion_iteration from fx_threat""", "fx_threat")
+def validate_threats(spark, d):
+    return validation.validate(_threat_vectors(spark, d), X.nodes(spark, d), verdicts, "topology", 1)
+
+
+@query()
+def job_result(spark, d):
+    r = X.requirement_vectors(spark, d)
+    length = X.table(spark, d, "documents").agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    j = dedup.job_result(_decisions(spark, d), r, "kb-ingest-0", length)
+    return j.withColumn("decisions", F.size("dedup_decisions")).withColumn("dedup_decisions", F.sha2(F.to_json("dedup_decisions"), 256))
+
+
+@query("select doc_id, sha256(to_json([source, doc_id::varchar])::varchar) as key from documents")
+def natural_key_id(spark, d):
+    return X.table(spark, d, "documents").select("doc_id", text.key_id(F.col("source"), F.col("doc_id")).alias("key"))
+
+
+@query("select page_id, 'data:image/png;base64,' || to_base64(encode(html)) as url from pages")
+def image_data_url(spark, d):
+    return X.table(spark, d, "pages").select("page_id", text.data_url(F.encode("html", "UTF-8")).alias("url"))
+
+
+@query("""select event_id, '{' || chr(10) || '  "threat_id": "' || threat_id || '",' || chr(10) || '  "category": "' || category || '",' || chr(10) || '  "target_component": "' || target_component || '"' || chr(10) || '}' as dump from fx_threat""", "fx_threat")
+def json_dump(spark, d):
+    return X.threats(spark, d).select("event_id", text.json_dump(F.struct("threat_id", "category", "target_component")).alias("dump"))
+
+
+@query("select id, name from fx_entity order by name, id limit 1", "fx_entity")
+def first_entity(spark, d):
+    return first_row(X.entities(spark, d), "name", "id").select("id", "name")

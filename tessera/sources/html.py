@@ -29,7 +29,7 @@ def html_to_text(html: Column) -> Column:
 
 def meta_refresh_target(html: Column) -> Column:
     """Where a page sends its reader, '' if nowhere."""
-    tag = F.regexp_extract(html, r"""(?is)(<meta\b[^>]*http-equiv\s*=\s*["']?refresh["']?[^>]*>)""", 1)
+    tag = F.regexp_extract(html, r"""(?s)(<(?i:meta)\b[^>]*(?i:http-equiv)\s*=\s*["']?refresh["'\s/>][^>]*>?)""", 1)
     content = F.regexp_extract(tag, r"""(?is)content\s*=\s*("[^"]*"|'[^']*')""", 1)
     inner = F.substring(content, F.lit(2), F.greatest(F.length(content) - 2, F.lit(0)))
     return F.regexp_extract(inner, r"""(?i)url=['"]?([^'"]+)""", 1)

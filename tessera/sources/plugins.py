@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -80,3 +81,66 @@ def binary_pages(spark: SparkSession, path: str, parse: Callable[[bytes], list[s
             yield pd.DataFrame(rows, columns=["path", "page_no", "text", "error"]).astype({"page_no": "Int32"})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, page_no int, text string, error string")
+
+
+def binary_images(spark: SparkSession, path: str, parse: Callable[[bytes], list[bytes]]) -> DataFrame:
+    """(path, image_no, image) of the images inside binary documents; a file that ``parse`` fails on gives none."""
+
+    def run(batches: Iterable[pd.DataFrame]):
+        for b in batches:
+            for p, content in zip(b["path"], b["content"]):
+                try:
+                    images = parse(bytes(content))
+                except Exception:  # as a file without images; its pages tell the error
+                    images = []
+                yield pd.DataFrame([(p, i, x) for i, x in enumerate(images)], columns=["path", "image_no", "image"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, image_no int, image binary")
+
+
+def retried(call: Callable[[list[str]], list], attempts: int = 4, limited: type[Exception] = TimeoutError, failed: type[Exception] = ConnectionError,
+            wait: Callable[[float], None] = time.sleep) -> Callable[[list[str]], list]:
+    """``call`` asked again: after 1, 2, 4, ... seconds when its rate is limited, after 2 when it fails, which the last
+    attempt may not."""
+
+    def run(texts: list[str]) -> list:
+        for k in range(attempts):
+            try:
+                return call(texts)
+            except limited:
+                wait(2.0**k)
+            except failed:
+                if k == attempts - 1:
+                    raise
+                wait(2.0)
+        raise RuntimeError("no reply after the last attempt")
+
+    return run
+
+
+def word_graph(texts: list[str]) -> list[str]:
+    """A stand-in for a graph model: words in capitals are entities, and each is linked to the next."""
+    out = []
+    for t in texts:
+        names = list(dict.fromkeys(w for w in t.split() if w.isalpha() and w.isupper() and len(w) > 1))
+        edges = [{"source_entity": a, "target_entity": b, "relation_type": "NEXT_TO", "description": ""} for a, b in zip(names, names[1:])]
+        out.append(json.dumps({"entities": [{"name": n, "type": "Word", "description": ""} for n in names], "edges": edges}))
+    return out
+
+
+def extract_graph(d: DataFrame, column: str = "text", out: str = "reply", call: Callable[[list[str]], list] = word_graph) -> DataFrame:
+    return map_text(d, column, out, "string", call)
+
+
+def no_diagram(images: list[bytes]) -> list[str]:
+    """A stand-in for a vision model: nothing is shown."""
+    return [json.dumps({"components": [], "data_flows": [], "trust_boundaries": []})] * len(images)
+
+
+def read_diagrams(d: DataFrame, column: str = "image", out: str = "reply", call: Callable[[list[bytes]], list] = no_diagram) -> DataFrame:
+    return map_text(d, column, out, "string", call)
+
+
+def enrich(d: DataFrame, column: str = "prompt", out: str = "reply", call: Callable[[list[str]], list] | None = None) -> DataFrame:
+    """Replies to report prompts; without a model there are none, and the basic report stands."""
+    return map_text(d, column, out, "string", call or (lambda prompts: [None] * len(prompts)))
