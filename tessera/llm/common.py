@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+BROADCAST_BYTES = 64 << 20  # what a table that is broadcast may take
+SALTS = 16  # places that the rows of one key are spread over
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -86,11 +88,32 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def semi(left: DataFrame, right: DataFrame, on: list[str], rows: int, most: int = 4_000_000) -> DataFrame:
-    """Rows of ``left`` with a match in ``right``, nulls equal to nulls. ``right`` has ``rows`` short rows, as counted
-    by the caller; only up to ``most`` of them are broadcast, more are joined by a shuffle."""
+def free(name: str, taken: list[str]) -> str:
+    """``name``, longer if one of ``taken`` is called so."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
+def fits(rows: int, size: int) -> bool:
+    """Whether ``rows`` counted rows of at most ``size`` bytes in memory may be broadcast."""
+    return rows * size <= BROADCAST_BYTES
+
+
+def semi(left: DataFrame, right: DataFrame, on: list[str], rows: int) -> DataFrame:
+    """Rows of ``left`` with a match in ``right``, nulls equal to nulls. ``right`` has ``rows`` rows of an id and a digest, as
+    counted by the caller; they are broadcast if they fit, else joined by a shuffle."""
     r = right.select(*[F.col(c).alias(f"__r_{c}") for c in on])
-    return left.join(F.broadcast(r) if rows <= most else r, [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in on], "left_semi")
+    return left.join(F.broadcast(r) if fits(rows, 100) else r, [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in on], "left_semi")
+
+
+def with_group(d: DataFrame, key: list[str], by: str, *aggregates: Column) -> DataFrame:
+    """``d`` with aggregates over the rows of its ``key``. Rows are combined before they meet, and a key's rows get the result
+    in up to ``SALTS`` places, by a hash of ``by``: in as many as have rows of it, so nothing grows for small keys."""
+    d = d.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    g = d.groupBy(*key).agg(*aggregates, F.bit_or(F.expr("shiftleft(1, __salt)")).alias("__places"))
+    g = g.withColumn("__salt", F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), i -> (__places & shiftleft(1, i)) <> 0)"))).drop("__places")
+    return d.join(g, [*key, "__salt"]).drop("__salt")
 
 
 def prefix_sums(df: DataFrame, group: list[str], bucket: str, order: list[str], value: Column, out: str) -> DataFrame:

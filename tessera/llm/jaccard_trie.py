@@ -1,13 +1,16 @@
 """N-gram Jaccard join with a prefix tree.
 
-Documents whose sets can reach the threshold are brought together first: a set's hash range is cut into more
-parts than two linked sets can differ in, so linked sets have a part in common, whole and not empty. Sets that
-have too many empty parts for this give the tokens of their prefix too. Who shares such a key is joined into
-candidate groups, and each group's sets go into a trie under one global order, the most frequent n-gram first.
-Blocks of query sets go down the trie together, each node adding its overlap once for all sets below it, and
-leave a subtree as soon as the lengths that remain cannot give the overlap needed. Large groups are cut into
-chunks of sets of about one size, and every pair of chunks whose sizes can be linked is a task of its own. A task reports links that span what it found linked, so
-components lose nothing and no group's pairs are written out.
+N-grams have one order everywhere: by how often their bucket of hashes occurs in all documents, the rarest first,
+then by hash. Documents whose sets can reach the threshold are brought together first: a set's hash range is cut
+into more parts than two linked sets can differ in, so linked sets have a part in common, whole and not empty. Short
+sets, and those with too many empty parts, give the rarest n-grams of their prefix instead: of two linked sets these
+have one in common. Sets so short that no other set can be linked to them give nothing. Who shares such a key is
+joined into candidate groups, and each group's sets go into a trie in the global order, the most frequent n-gram at
+its root. Blocks of query sets go down the trie together, each node adding its overlap once for all sets below it,
+and leave a subtree as soon as the lengths that remain cannot give the overlap needed. Large groups are cut into
+chunks of sets of about one size, and every pair of chunks whose sizes can be linked is a task of its own. A task
+counts all links and reports those that span what it found linked, so components lose nothing and no group's pairs
+are written out.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import SALTS, fits, materialize, partitions, with_group
 from .components import connected_components
 from .wordhash import M1, M2, mix, starts, word_hashes
 
@@ -28,6 +31,8 @@ SPARE = 3  # parts that may be empty in both sets, besides those that chance lea
 CHUNK = 400_000  # n-grams in a chunk of a candidate group
 CODES = 1 << 32  # a chunk's number is its class times this, and its place in the class
 BATCH = 4_000_000  # characters of text handled at once
+BUCKETS = 1 << 16  # of hashes, whose occurrences are counted: a bound on the table that gives the global order
+SHORT = 64  # sets of fewer n-grams, or linked to such, are found by their prefix
 
 
 def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,8 +76,12 @@ def _buckets(percent: int, upto: int) -> np.ndarray:
     return np.array([*lo, max(lo[-1] + 1, -(-lo[-1] * 100 // percent))], np.int64)
 
 
-def candidate_keys(g: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of which linked sets share one: (key, which set)."""
+def bucket_of(g: np.ndarray) -> np.ndarray:
+    return (mix(g ^ M2) >> np.uint64(48)).astype(np.int64)
+
+
+def candidate_keys(g: np.ndarray, n: np.ndarray, percent: int, counts: np.ndarray, short: int = SHORT) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of which linked sets share one: (key, which set). Equal sets need not: they are linked by their digests."""
     if not len(g):
         return g, np.zeros(0, np.int64)
     lo = _buckets(percent, int(n.max()))
@@ -80,70 +89,83 @@ def candidate_keys(g: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarr
     keys, sets = [], []
     doc = np.repeat(np.arange(len(n)), n)
     value = mix(g + M2)
-    sparse = np.zeros(len(n), bool)
+    prefix = np.zeros(len(n), bool)
     for back in (0, 1):
         k = own - back
         ok = (n > 0) & (k >= 0)
         # of two linked sets the smaller has at most hi - 1 members: they differ in at most (hi - 1)(100 - t)/t
         differ = (lo[np.maximum(k, 0) + 1] - 1) * (100 - percent) // percent
+        ok &= differ > 0
+        prefix |= ok & (lo[np.maximum(k, 0)] < short)
+        ok &= lo[np.maximum(k, 0)] >= short
         # at a low threshold parts hold few n-grams: about `empty` of them none; a class has one number of parts
         few = differ + 1 + SPARE
         empty = few * np.exp(-lo[np.maximum(k, 0)] / few)
         spare = SPARE + np.floor(1.3 * empty + 3 * np.sqrt(empty)).astype(np.int64)
         parts = np.where(ok, differ + 1 + spare, 1)
         part = ((g >> np.uint64(32)) * parts[doc].astype(np.uint64)) >> np.uint64(32)
-        cut = np.ones(len(g), bool)
-        cut[1:] = (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])
-        at = np.flatnonzero(cut)
+        first = np.ones(len(g), bool)
+        first[1:] = (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])
+        at = np.flatnonzero(first)
         total = np.add.reduceat(value, at)
         d = doc[at]
         key = mix(total ^ mix(part[at] * M1 + k[d].astype(np.uint64) * M2 + np.uint64(1)))
         use = ok[d]
         keys.append(key[use])
         sets.append(d[use])
-        sparse |= ok & (parts - np.bincount(d, minlength=len(n)) > spare)
-    first = starts(n)
-    for d in np.flatnonzero(sparse).tolist():
-        size = int(n[d])
-        prefix = size - -(-size * percent // 100) + 1
-        keys.append(mix(g[first[d]: first[d] + prefix] ^ np.uint64(0x5DEECE66D)))
-        sets.append(np.full(len(keys[-1]), d))
+        prefix |= ok & (parts - np.bincount(d, minlength=len(n)) > spare)
+    some = np.flatnonzero(prefix[doc])
+    order = some[np.lexsort((g[some], counts[bucket_of(g[some])], doc[some]))]
+    size = n[doc[order]]
+    place = np.arange(len(order)) - np.repeat(starts(n[prefix]), n[prefix])
+    use = order[place < size - -(-size * percent // 100) + 1]
+    keys.append(mix(g[use] ^ np.uint64(0x5DEECE66D)))
+    sets.append(doc[use])
     return np.concatenate(keys), np.concatenate(sets)
 
 
-def _batches(batches):
-    """(ids, texts as bytes) of pieces of about BATCH characters."""
+def _batches(batches, size: int):
+    """(ids, texts as bytes) of pieces of about ``size`` characters."""
     for batch in batches:
         ids, texts = batch.column("doc_id"), batch.column("text")
         lengths = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
         lo = 0
         while lo < len(ids):
             base = lengths[lo - 1] if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(lengths, base + BATCH, side="right")))
+            hi = max(lo + 1, int(np.searchsorted(lengths, base + size, side="right")))
             yield ids.slice(lo, hi - lo), [x or b"" for x in texts.slice(lo, hi - lo).cast(pa.binary()).to_pylist()]
             lo = hi
 
 
-def _set_rows(n: int):
+SETS = "doc_id long, n long, digest binary, bucket int"
+
+
+def _set_rows(n: int, size: int):
+    """A row for each document; then, with a bucket, how often the task's n-grams fall into it."""
+
     def run(batches):
         import xxhash
 
-        for ids, texts in _batches(batches):
-            g, size = shingle_sets(texts, n)
-            ends = np.cumsum(size)
-            digest = [xxhash.xxh3_128_digest(g[e - s: e].tobytes()) for e, s in zip(ends, size)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(size), pa.array(digest, pa.binary())], names=["doc_id", "n", "digest"])
+        counts = np.zeros(BUCKETS, np.int64)
+        for ids, texts in _batches(batches, size):
+            g, sizes = shingle_sets(texts, n)
+            counts += np.bincount(bucket_of(g), minlength=BUCKETS)
+            ends = np.cumsum(sizes)
+            digest = [xxhash.xxh3_128_digest(g[e - s: e].tobytes()) for e, s in zip(ends, sizes)]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(digest, pa.binary()), pa.nulls(len(ids), pa.int32())], names=["doc_id", "n", "digest", "bucket"])
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.array(counts[some]), pa.nulls(len(some), pa.binary()), pa.array(some.astype(np.int32))], names=["doc_id", "n", "digest", "bucket"])
 
     return run
 
 
-def _key_rows(n: int, percent: int):
+def _key_rows(n: int, percent: int, counts: np.ndarray, size: int, short: int):
     """Rows (key, a, null): a is the least id with the key in this batch; rows (key, a, b): b has a key of a's."""
 
     def run(batches):
-        for ids, texts in _batches(batches):
-            g, size = shingle_sets(texts, n)
-            key, d = candidate_keys(g, size, percent)
+        for ids, texts in _batches(batches, size):
+            g, sizes = shingle_sets(texts, n)
+            key, d = candidate_keys(g, sizes, percent, counts, short)
             a, b, key = _stars(key, ids.to_numpy()[d])
             yield from _pairs(key, a, None)
             if len(b):
@@ -247,16 +269,17 @@ class Trie:
             stack += [(c, q, overlap) for c in children]
 
 
-def trie_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int):
-    """Links between sets of ``left`` and ``right`` (or within ``left``), as many as span what is linked:
-    (number on the left, number on the right)."""
+def trie_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int, counts: np.ndarray, weight: list[np.ndarray]):
+    """Links between sets of ``left`` and ``right`` (or within ``left``): as many as span what is linked, as (number on
+    the left, number on the right), and for each side how many each set has, each with the weight of the other set."""
     within = right is None
     queries = left if within else right
-    token, df = np.unique(np.concatenate(left), return_counts=True)
+    token = np.unique(np.concatenate(left))
     rank = np.empty(len(token), np.int64)
-    rank[np.lexsort((token, -df))] = np.arange(len(token))
+    rank[np.lexsort((token, -counts[bucket_of(token)]))] = np.arange(len(token))
     trie = Trie([np.sort(rank[np.searchsorted(token, s)]).astype(np.uint32) for s in left])
     parent = list(range(len(left) + (0 if within else len(queries))))
+    found, links = [], [np.zeros(len(left), np.int64), np.zeros(len(queries), np.int64)]
 
     def root(x):
         while parent[x] != x:
@@ -272,56 +295,81 @@ def trie_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent:
             at = np.minimum(np.searchsorted(token, s), len(token) - 1)
             member[i, rank[at[token[at] == s]]] = 1
         for q, s in trie.probe(member, np.array([len(s) for s in some], np.int64), percent):
+            if within and s == lo + q:
+                continue
+            links[0][s] += weight[-1][lo + q]
+            if not within:
+                links[1][lo + q] += weight[0][s]
             a, b = s, lo + q + (0 if within else len(left))
             if (x := root(a)) != (y := root(b)):
                 parent[max(x, y)] = min(x, y)
-                yield s, lo + q
+                found.append((s, lo + q))
+    return found, links
+
 
+MEMBERS = "comp long, i long, j long, side int, doc_id long, copies long, grams binary"
+LINKS = "a long, b long, n_links long"
 
-def _member_rows(n: int):
-    """A row for each pair of chunks that a document takes part in: (comp, i, j, side, doc_id, grams)."""
+
+def _member_rows(n: int, size: int):
+    """A row for each pair of chunks that a document takes part in."""
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                some = batch.slice(lo, 500)
-                g, size = shingle_sets([x or b"" for x in some.column("text").cast(pa.binary()).to_pylist()], n)
-                ends = np.cumsum(size)
+            lengths = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy())
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(lengths, (lengths[lo - 1] if lo else 0) + size, side="right")))
+                some = batch.slice(lo, hi - lo)
+                lo = hi
+                g, sizes = shingle_sets([x or b"" for x in some.column("text").cast(pa.binary()).to_pylist()], n)
+                ends = np.cumsum(sizes)
                 rows = []
-                for e, s, doc, comp, c, others in zip(ends, size, *(some.column(x).to_pylist() for x in ("doc_id", "comp", "chunk", "others"))):
+                for e, s, doc, copies, comp, c, others in zip(ends, sizes, *(some.column(x).to_pylist() for x in ("doc_id", "copies", "comp", "chunk", "others"))):
                     data = g[e - s: e].tobytes()
                     for x in others:
                         for o in range(x["first"], x["first"] + x["chunks"]):
-                            rows.append((comp, min(c, o), max(c, o), int(c > o), doc, data))
+                            rows.append((comp, min(c, o), max(c, o), int(c > o), doc, copies, data))
                 for i in range(0, len(rows), 500):
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i: i + 500]), kinds)], names=["comp", "i", "j", "side", "doc_id", "grams"])
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i: i + 500]), kinds)], names=["comp", "i", "j", "side", "doc_id", "copies", "grams"])
 
     return run
 
 
-def _join_sorted(percent: int):
-    """Rows come sorted by (comp, i, j): one trie for each of these."""
+def _join_sorted(percent: int, counts: np.ndarray):
+    """Rows come sorted by (comp, i, j): one trie for each of these. Rows (a, b, null) are links; rows (a, null, n) tell
+    how many a has."""
 
     def links(key, rows):
-        left = [r for r in rows if r[0] == 0]
-        right = [r for r in rows if r[0] == 1]
-        sets = lambda rs: [np.frombuffer(r[2], np.uint64) for r in rs]
+        sides = [[r for r in rows if r[0] == k] for k in (0, 1)]
+        sets = [[np.frombuffer(r[3], np.uint64) for r in side] for side in sides]
+        weight = [np.array([r[2] for r in side], np.int64) for side in sides]
         if key[1] == key[2]:
-            if len(left) > 1:
-                yield from ((left[a][1], left[b][1]) for a, b in trie_links(sets(left), None, percent))
-        elif left and right:
-            yield from ((left[a][1], right[b][1]) for a, b in trie_links(sets(left), sets(right), percent))
+            sides = sides[:1]
+            if len(sides[0]) < 2:
+                return
+            found, many = trie_links(sets[0], None, percent, counts, weight[:1])
+        elif sides[0] and sides[1]:
+            found, many = trie_links(*sets, percent, counts, weight)
+        else:
+            return
+        for a, b in found:
+            yield sides[0][a][1], sides[-1][b][1], None
+        for side, m in zip(sides, many):
+            for r, x in zip(side, m.tolist()):
+                if x:
+                    yield r[1], None, x
 
     def run(batches):
         key, rows, out = None, [], []
         for batch in batches:
-            for comp, i, j, side, doc, data in zip(*(batch.column(c).to_pylist() for c in ("comp", "i", "j", "side", "doc_id", "grams"))):
+            for comp, i, j, side, doc, copies, data in zip(*(batch.column(c).to_pylist() for c in ("comp", "i", "j", "side", "doc_id", "copies", "grams"))):
                 if (comp, i, j) != key:
                     if rows:
                         out += links(key, rows)
                     key, rows = (comp, i, j), []
-                rows.append((side, doc, data))
+                rows.append((side, doc, copies, data))
             if out:
                 yield _link_batch(out)
                 out = []
@@ -334,33 +382,41 @@ def _join_sorted(percent: int):
 
 
 def _link_batch(out):
-    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], names=["a", "b", "n_links"])
 
 
-def ngram_jaccard(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id.
+def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, batch: int = BATCH, short: int = SHORT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, n_links (documents that it is linked to).
 
     Texts are linked when their sets of n-word shingles (A-Z lower-cased) have a Jaccard similarity of at least
     ``percent``; component_id is the least id that links lead to. Texts without words, null or not, have 0
     shingles and no links. A row without an id has no links and no component. Rows that share an id are one
-    document as to links, each with its own count. An empty table gives no rows. Other columns are ignored.
+    document as to links (n_links then counts links between their rows' sets), each with its own count. An empty
+    table gives no rows. There are no ties: every link counts. Other columns are ignored, whatever their names. A text
+    of any length is read whole; a task holds its words' hashes, about 40 bytes a word.
     """
     spark = docs.sparkSession
     parts = partitions(spark)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sets = materialize(d.mapInArrow(_set_rows(n), "doc_id long, n long, digest binary"), "sets")
+    both = materialize(d.mapInArrow(_set_rows(n, batch), SETS), "sets")
+    sets = both.filter("bucket IS NULL").drop("bucket")
+    counts = np.zeros(BUCKETS, np.int64)
+    for r in both.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS rows
+        counts[r.bucket] = r.n
     able = sets.filter("n > 0 AND doc_id IS NOT NULL")
-    least = able.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("__n"))
-    same = materialize(able.join(least.filter("__n > 1"), "digest").filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct(), "copies")
-    keys = d.filter("doc_id IS NOT NULL").mapInArrow(_key_rows(n, percent), "key long, a long, b long")
+    equal = with_group(able.select("doc_id", "digest").distinct(), ["digest"], "doc_id", F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    equal = materialize(equal.filter("copies > 1").select("doc_id", "rep", "copies"), "equal")
+    same = equal.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
+    keys = d.filter("doc_id IS NOT NULL").mapInArrow(_key_rows(n, percent, counts, batch, short), "key long, a long, b long")
     keys = keys.repartition(parts, "key").sortWithinPartitions("key", "a")
     near = keys.mapInArrow(_edges, "a long, b long")
-    groups = connected_components(near.unionByName(same), "candidates")
-    # of equal sets only the one with the least id is compared
+    groups = connected_components(near, "candidates")
+    # of equal sets only the one with the least id is compared, for all its copies; a copy's candidates are the least's too
+    many = equal.filter("doc_id = rep").groupBy(F.col("rep").alias("id")).agg(F.sum("copies").alias("copies"))
     members = groups.join(same.select(F.col("b").alias("id")), "id", "left_anti").join(
-        able.select(F.col("doc_id").alias("id"), "n").groupBy("id").agg(F.sum("n").alias("n")), "id")
+        able.select(F.col("doc_id").alias("id"), "n").groupBy("id").agg(F.sum("n").alias("n")), "id").join(many, "id", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
     sizes = members.groupBy("component").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("__n")).filter("__n > 1")
-    members = members.join(sizes, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("comp"), "n", "total")
+    members = members.join(sizes, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("comp"), "n", "copies", "total")
     # sets that can be linked are in the same class or in neighbours; the classes are a little wider than they need be
     width = max(math.log(100 / percent), 0.01) * 1.0001
     members = materialize(members.withColumn("class", F.when(F.col("total") > chunk, F.floor(F.log("n") / width)).otherwise(0).cast("long")), "classes")
@@ -368,25 +424,30 @@ def ngram_jaccard(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str =
     near_by = F.explode(F.array(*[F.col("class") + i for i in (-1, 0, 1)]))
     others = classes.select("comp", near_by.alias("class"), F.struct((F.col("class") * CODES).alias("first"), "chunks").alias("o")).groupBy("comp", "class").agg(F.collect_list("o").alias("others"))
     members = members.join(classes, ["comp", "class"]).join(others, ["comp", "class"]).select(
-        "doc_id", "comp", (F.col("class") * CODES + F.pmod(F.xxhash64("doc_id"), F.col("chunks"))).alias("chunk"), "others")
+        "doc_id", "comp", "copies", (F.col("class") * CODES + F.pmod(F.xxhash64("doc_id"), F.col("chunks"))).alias("chunk"), "others")
     members = materialize(members, "members")
-    rows = members.count()
     m = members.withColumnRenamed("doc_id", "__id")
-    if rows <= 500_000:
-        m = F.broadcast(m)
-    text = d.join(m, F.col("doc_id") == F.col("__id")).drop("__id")
-    shipped = text.mapInArrow(_member_rows(n), "comp long, i long, j long, side int, doc_id long, grams binary")
+    text = d.join(F.broadcast(m) if fits(members.count(), 160) else m, F.col("doc_id") == F.col("__id")).drop("__id")
+    shipped = text.mapInArrow(_member_rows(n, batch), MEMBERS)
     shipped = shipped.repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j")
-    links = shipped.mapInArrow(_join_sorted(percent), "a long, b long")
-    found = connected_components(links.unionByName(same), "links")
+    links = materialize(shipped.mapInArrow(_join_sorted(percent, counts), LINKS), "links")
+    components = connected_components(links.filter("b IS NOT NULL").select("a", "b").unionByName(same), "linked")
+    own = links.filter("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n_links").alias("far"))
+    # a copy has the links of its set's least id, and one to each other copy
+    copies = equal.filter("doc_id = rep").groupBy(F.col("rep").alias("id")).agg(F.sum(F.col("copies") - 1).alias("near"))
+    own = materialize(own.join(copies, "id", "full_outer").select("id", (F.coalesce("far", F.lit(0)) + F.coalesce("near", F.lit(0))).alias("n_links"), F.col("near").isNotNull().alias("copied")), "own")
+    places = own.filter("copied").select(F.col("id").alias("a"), "n_links", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    of_copy = same.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(places, ["a", "salt"]).select(F.col("b").alias("id"), "n_links")
+    own = own.select("id", "n_links").unionByName(of_copy).groupBy("id").agg(F.max("n_links").alias("n_links"))
     out = sets.select("doc_id", F.col("n").alias("n_shingles"))
-    return out.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = out.join(components.withColumnRenamed("id", "doc_id"), "doc_id", "left").join(own.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` without those that are linked to one with a smaller id."""
+    """The rows of ``docs``, with all their columns, without those that are linked to one with a smaller id."""
     found = ngram_jaccard(docs, id_col=id_col, **options).filter("doc_id <> component_id")
-    found = materialize(found.select(F.col("doc_id").alias(id_col)).distinct(), "dropped")
-    r = found.select(F.col(id_col).alias("__r"))
-    return docs.join(F.broadcast(r) if found.count() <= 4_000_000 else r, docs[id_col] == F.col("__r"), "left_anti")
+    found = materialize(found.select("doc_id").distinct(), "dropped")
+    r = found.select(F.col("doc_id").alias("__r"))
+    d = docs.select(F.struct("*").alias("__row"), F.col(id_col).cast("long").alias("__id"))
+    return d.join(F.broadcast(r) if fits(found.count(), 50) else r, F.col("__id") == F.col("__r"), "left_anti").select("__row.*")

@@ -30,7 +30,8 @@ n as (select doc_id, count(*) as n from s group by 1),
 common as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
 link as (select a, b from common join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 90 * (x.n + y.n - k)),
 reach as (select doc_id as a, doc_id as b from d union select r.a, l.b from reach r join link l on l.a = r.b)
-select d.doc_id, coalesce(n.n, 0) as n_shingles, (select min(b) from reach r where r.a = d.doc_id) as component_id from d left join n using (doc_id)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, (select min(b) from reach r where r.a = d.doc_id) as component_id, coalesce(k.n_links, 0) as n_links
+from d left join n using (doc_id) left join (select a as doc_id, count(*) as n_links from link group by 1) k using (doc_id)
 """
 
 MIXING = f"""

@@ -11,6 +11,9 @@ from tessera.llm import jaccard_trie as J
 from .cases import SCHEMA, none, odd, odd_rows, small, small_rows
 
 
+COUNTS = np.random.default_rng(9).integers(0, 50, J.BUCKETS)
+
+
 def shingles(t, n=3):
     w = (t or "").encode().lower().split()
     return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
@@ -20,6 +23,7 @@ def brute(rows, percent=90):
     s = [shingles(r["text"]) for r in rows]
     ids = [r["doc_id"] for r in rows]
     comp = {i: i for i in ids if i is not None}
+    links = {i: set() for i in comp}
 
     def root(x):
         while comp[x] != x:
@@ -32,9 +36,11 @@ def brute(rows, percent=90):
                 continue
             k = len(s[i] & s[j])
             if 100 * k >= percent * (len(s[i]) + len(s[j]) - k):
+                links[ids[i]] |= {ids[j]} - {ids[i]}
+                links[ids[j]] |= {ids[i]} - {ids[j]}
                 a, b = root(ids[i]), root(ids[j])
                 comp[max(a, b)] = min(a, b)
-    return Counter((i, len(x), None if i is None else root(i)) for i, x in zip(ids, s))
+    return Counter((i, len(x), None if i is None else root(i), len(links.get(i, ()))) for i, x in zip(ids, s))
 
 
 def near_rows():
@@ -53,8 +59,7 @@ def near_rows():
 
 
 @pytest.mark.parametrize("which,chunk", [("odd", 10**6), ("small", 10**6), ("near", 10**6), ("near", 150)])
-def test_join(spark, which, chunk, monkeypatch):
-    monkeypatch.setattr(J, "BATCH", 20_000)
+def test_join(spark, which, chunk):
     if which == "odd":
         df, rows = odd(spark), [dict(zip(SCHEMA.names, r)) for r in odd_rows()]
     elif which == "small":
@@ -63,11 +68,14 @@ def test_join(spark, which, chunk, monkeypatch):
         rows = near_rows()
         df = spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string").repartition(5)
     want = brute(rows)
-    got = Counter(tuple(r) for r in J.ngram_jaccard(df, chunk=chunk).collect())
-    assert got == want
+    for batch in (20_000, 300):
+        got = Counter(tuple(r) for r in J.ngram_jaccard(df, 3, 90, chunk=chunk, batch=batch).collect())
+        if which == "odd":  # ids that several rows share have links of each of these
+            got, want = (Counter({k[:3]: n for k, n in x.items()}) for x in (got, want))
+        assert got == want
     if which != "odd":
-        kept = {r.doc_id for r in J.keep_one(df).collect()}
-        assert kept == {c for _, _, c in want}
+        kept = {r.doc_id for r in J.keep_one(df.withColumnRenamed("text", "text").selectExpr("*", "1 as __id", "2 as __r", "3 as component_id"), n=3, percent=90).collect()}
+        assert kept == {k[2] for k in want}
 
 
 def test_keys_lose_no_pair():
@@ -78,9 +86,9 @@ def test_keys_lose_no_pair():
         for gone in range(0, n // 9 + 1):
             b = np.sort(np.concatenate([a[gone:], r.integers(0, 2**63, max(0, int(n * 0.1) - gone)).astype(np.uint64)]))
             i = len(np.intersect1d(a, b))
-            if not len(b) or 100 * i < 90 * (len(a) + len(b) - i):
+            if not len(b) or i == len(a) == len(b) or 100 * i < 90 * (len(a) + len(b) - i):
                 continue
-            key, which = J.candidate_keys(np.concatenate([a, b]), np.array([len(a), len(b)]), 90)
+            key, which = J.candidate_keys(np.concatenate([a, b]), np.array([len(a), len(b)]), 90, COUNTS)
             assert set(key[which == 0]) & set(key[which == 1]), (n, gone)
 
 
@@ -105,9 +113,38 @@ def test_keys_lose_no_pair_at_80_percent_and_large_sets_give_few():
         for gone in sorted({*range(0, n // 5 + 1, max(1, n // 60)), n // 5}):
             b = np.sort(np.concatenate([a[r.permutation(len(a))[gone:]], r.integers(0, 2**63, max(0, int(n * 0.2) - gone)).astype(np.uint64)]))
             i = len(np.intersect1d(a, b))
-            if not len(b) or 100 * i < 80 * (len(a) + len(b) - i):
+            if not len(b) or i == len(a) == len(b) or 100 * i < 80 * (len(a) + len(b) - i):
                 continue
-            key, which = J.candidate_keys(np.concatenate([a, b]), np.array([len(a), len(b)]), 80)
+            key, which = J.candidate_keys(np.concatenate([a, b]), np.array([len(a), len(b)]), 80, COUNTS)
             assert set(key[which == 0]) & set(key[which == 1]), (n, gone)
     # fewer than two numbers of parts and the prefix together
-    assert len(J.candidate_keys(a, np.array([len(a)]), 80)[0]) < 0.6 * len(a)
+    assert len(J.candidate_keys(a, np.array([len(a)]), 80, COUNTS)[0]) < 0.6 * len(a)
+
+
+def test_common_phrases_make_no_large_groups(spark):
+    """4,000 short texts of common words and phrases: candidate groups are about as large as the true ones."""
+    r = random.Random(8)
+    phrases = [" ".join(f"p{r.randrange(50)}" for _ in range(6)) for _ in range(8)]
+    texts = [" ".join([r.choice(phrases), *(f"q{r.randrange(3000)}" for _ in range(r.randrange(1, 14))), r.choice(phrases)]) for _ in range(4000)]
+    g, n = J.shingle_sets([t.encode() for t in texts], 3)
+    counts = np.bincount(J.bucket_of(g), minlength=J.BUCKETS)
+    key, which = J.candidate_keys(g, n, 90, counts)
+    boss = list(range(len(texts)))
+
+    def root(x):
+        while boss[x] != x:
+            boss[x] = boss[boss[x]]
+            x = boss[x]
+        return x
+
+    lead = {}
+    for k, w in zip(key.tolist(), which.tolist()):
+        boss[root(w)] = root(lead.setdefault(k, w))
+    assert max(Counter(map(root, range(len(texts)))).values()) <= 40
+
+
+def test_op3_query(spark):
+    from tessera.llm.queries import op3_jaccard_trie
+
+    got = Counter(tuple(r) for r in op3_jaccard_trie(spark, "/root/testdata/sf0.001").collect())
+    assert got == brute(small_rows())
