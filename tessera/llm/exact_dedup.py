@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, semi
+from .common import SALTS, fits, materialize, semi, with_group
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1_000_003, 92_821_357)
@@ -86,9 +86,7 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     left = materialize(fingerprints(d), "fingerprints")
     found = None
     while True:
-        g = left.groupBy("bytes", "f1", "f2").agg(
-            F.max(F.struct("doc_id", "sha")).alias("lead"), F.sum("rows").alias("group_size"), F.count(F.lit(1)).alias("__n"))
-        m = left.join(g, ["bytes", "f1", "f2"])
+        m = with_group(left, ["bytes", "f1", "f2"], "doc_id", F.max(F.struct("doc_id", "sha")).alias("lead"), F.sum("rows").alias("group_size"), F.count(F.lit(1)).alias("__n"))
         m = materialize(m.select("*", F.col("lead.doc_id").alias("keep_id"), F.col("lead.sha").alias("keep_sha")).drop("lead"), "groups")
         more = m.filter("__n > 1")
         n = more.count()
@@ -118,12 +116,16 @@ def _compare(d: DataFrame, more: DataFrame, n: int) -> DataFrame:
     """Each member of ``more`` against its leader, a chunk at a time: (doc_id, sha, same)."""
     text = semi(d, more, ["doc_id", "sha"], n)
     pieces = _chunks(text, ["doc_id", "sha"]).drop("after", "bytes")
-    key = more.select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha"), F.concat_ws("-", "bytes", "f1", "f2").alias("gid"),
-                      (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("sha") == F.col("keep_sha"))).alias("leads"))
+    leads = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("sha") == F.col("keep_sha"))
+    # a leader's chunks go to as many places as its group has members, SALTS at most
+    places = F.least(F.col("__n"), F.lit(SALTS)).cast("int")
+    key = more.select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha"), F.concat_ws("-", "bytes", "f1", "f2").alias("gid"), leads.alias("leads"),
+                      F.pmod(F.xxhash64("doc_id"), places).cast("int").alias("salt"), F.when(leads, F.sequence(F.lit(0), places - 1)).alias("salts"))
     on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("sha") == F.col("__sha"))
-    pieces = pieces.join(F.broadcast(key) if n <= 1_000_000 else key, on).select("gid", "no", "doc_id", "sha", "leads", "chunk")
-    lead = pieces.filter("leads").groupBy("gid", "no").agg(F.first("chunk").alias("__lead"))  # repeated rows are equal
-    both = pieces.join(lead, ["gid", "no"], "left").select("doc_id", "sha", F.col("chunk").eqNullSafe(F.col("__lead")).alias("eq"))
+    pieces = pieces.join(F.broadcast(key) if fits(n, 250) else key, on).select("gid", "no", "doc_id", "sha", "leads", "salt", "salts", "chunk")
+    lead = pieces.filter("leads").groupBy("gid", "no").agg(F.first("chunk").alias("__lead"), F.first("salts").alias("salts"))  # repeated rows are equal
+    lead = lead.select("gid", "no", "__lead", F.explode("salts").alias("salt"))
+    both = pieces.join(lead, ["gid", "no", "salt"], "left").select("doc_id", "sha", F.col("chunk").eqNullSafe(F.col("__lead")).alias("eq"))
     return both.groupBy("doc_id", "sha").agg(F.bool_and("eq").alias("same"))
 
 
@@ -132,7 +134,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Null text counts as empty and equals the empty text. Of equal texts the row with the largest doc_id stays; a
     null id is the smallest; of repeated rows with that id one stays. An empty table gives no rows. Other columns
-    are ignored.
+    are ignored, whatever their names. Texts of any length are hashed and compared in chunks of ``CHUNK`` bytes; a row's text
+    itself, and its SHA-256, are taken whole by one task.
     """
     c = exact_classes(docs, id_col, text_col)
     c = c.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
@@ -141,12 +144,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that exact dedup keeps, with all their columns."""
+    """The rows of ``docs`` that exact dedup keeps, with all their columns, whatever their names; cases as there."""
     c = exact_classes(docs, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     c = materialize(c.select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha"), "rows"), "kept")
     n, repeated = c.agg(F.count(F.lit(1)), F.coalesce(F.max("rows"), F.lit(0)) > 1).first()
-    d = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__sha", F.unhex(F.sha2(normalised(F.col(text_col)), 256)))
-    d = semi(d, c, ["__id", "__sha"], n, 500_000)
+    d = docs.select(F.struct("*").alias("__row"), F.col(id_col).cast("long").alias("__id"), F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("__sha"))
+    d = semi(d, c, ["__id", "__sha"], n)
     if repeated:
         d = d.dropDuplicates(["__id", "__sha"])
-    return d.drop("__id", "__sha")
+    return d.select("__row.*")

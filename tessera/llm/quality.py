@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, free
 
 # Characters and phrases that the rules look for.
 SYMBOLS = r"[#*$%&|<>]"
@@ -41,9 +41,10 @@ def quality(docs: DataFrame, text_col: str = "text", min_words: int = MIN_WORDS,
     too: only the first stays. Ties cannot occur; repeated rows each get their own result; an empty table gives
     an empty result. Texts of any length are read whole.
     """
-    keep = [c for c in docs.columns if c not in ADDED]
+    keep = [c for c in docs.columns if c.lower() not in ADDED]
+    chars = free("__chars", keep)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(*keep, text.alias("__t"))
+    d = docs.select(F.struct(*keep, text.alias(free("__none", keep))).alias("__row"), text.alias("__t"))  # names inside a struct clash with none
     d = d.withColumn("__words", F.regexp_extract_all("__t", F.lit(WORD), F.lit(0)))
     d = d.withColumn("n_words", F.size("__words").cast("long"))
     gram = F.when(F.col("n_words") >= 3, F.transform(
@@ -61,16 +62,16 @@ def quality(docs: DataFrame, text_col: str = "text", min_words: int = MIN_WORDS,
     d = d.withColumn("__lines", lines)
     d = d.withColumn("__once", F.array_distinct("__lines"))
     d = d.select(
-        *keep, "n_words", F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
+        *[F.col("__row").getField(c).alias(c) for c in keep], "n_words", F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
         F.regexp_count("__t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("__lines") - F.size("__once")).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.array_join(F.filter("__once", lambda x: ~line_fails(x)), "\n").alias("clean_text"),
-        F.length("__t").alias("__chars"),
+        F.length("__t").alias(chars),
     )
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    lost = (F.col("__chars") - F.length("clean_text")) * 100 > F.col("__chars") * max_lost
-    return d.withColumn("base_failed", failed).withColumn("kept", ~failed & ~lost).drop("__chars")
+    lost = (F.col(chars) - F.length("clean_text")) * 100 > F.col(chars) * max_lost
+    return d.withColumn("base_failed", failed).withColumn("kept", ~failed & ~lost).drop(chars)
 
 
 def keep_quality(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
@@ -82,5 +83,6 @@ def keep_quality(docs: DataFrame, text_col: str = "text", **options) -> DataFram
     d = quality(docs, text_col, **options)
     clean = F.explode(F.when(F.col("kept"), F.array("clean_text")).otherwise(F.array().cast("array<string>"))).alias("__clean")
     own = [c for c in docs.columns if c in d.columns and c not in ADDED]
-    d = d.select(*own, clean)
-    return d.select(*[F.col("__clean").alias(c) if c == text_col else F.col(c) for c in own])
+    row = F.struct(*[c for c in own if c != text_col], F.lit(0).alias(free("__none", own))).alias("__row")
+    d = d.select(row, clean)
+    return d.select(*[F.col("__clean").alias(c) if c == text_col else F.col("__row").getField(c).alias(c) for c in own])

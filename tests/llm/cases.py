@@ -3,11 +3,13 @@
 import pyarrow.parquet as pq
 from pyspark.sql import types as T
 
+CLASHING = ("__t", "__id", "__sha", "__row", "__chars", "__none", "__salt")
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
     T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()),
     # names that operators may use inside
     T.StructField("size", T.StringType()), T.StructField("kept", T.LongType()), T.StructField("n_words", T.StringType()),
+    *(T.StructField(n, T.StringType()) for n in CLASHING),
 ])
 
 
@@ -24,7 +26,7 @@ def odd_rows():
     ]
     rows = [(i, t, ["en", None, "fr"][i % 3], [None, "a", "b", "ä", ""][i % 5], None, "s", i, "n") for i, t in enumerate(texts)]
     rows += [rows[3], rows[9], (3, "other text of the same id", None, "a", 1, None, None, None), (None, "one", "en", None, 3, None, None, None), (None, None, None, None, None, None, None, None)]
-    return rows
+    return [(*r, *CLASHING) for r in rows]
 
 
 def odd(spark):

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, mixing, quality, sharding
 
@@ -30,6 +31,10 @@ def test_quality(spark, which):
         n = len(w)
         want[(r["doc_id"], n, sum(len(x.decode()) for x in w), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(cover), n < 50 or 100 * len(cover) > 50 * n)] += 1
     assert got == want
+    if which == "odd":
+        assert all(r["__t"] == "__t" and r["__chars"] == "__chars" for r in quality.quality(df).collect())
+        kept = quality.keep_quality(df.withColumn("text", F.lit("A sentence of its own ends here. " * 20)), min_words=1, max_lost=100)
+        assert kept.columns == [c for c in df.columns if c not in quality.ADDED]
 
 
 def test_quality_verdict(spark):
@@ -60,6 +65,8 @@ def test_exact(spark, which):
     assert got == want
     kept = exact_dedup.keep_exact(df)
     assert kept.columns == df.columns and kept.count() == len(groups)
+    if which == "odd":
+        assert all(r["__id"] == "__id" and r["__sha"] == "__sha" for r in kept.collect())
     assert exact_dedup.exact_dedup(none(spark)).count() == 0
 
 
@@ -96,6 +103,13 @@ def test_sharding(spark, which):
         per[r.shard].append(r.slot)
     assert all(sorted(v) == list(range(len(v))) for v in per.values())
     assert sharding.shard_documents(none(spark)).count() == 0
+    # the row numbers, by one sort of all rows
+    from pyspark.sql import Window as W
+
+    h = F.xxhash64("doc_id", "size", "text_crc32", F.lit(42))
+    d = sharding.shard_documents(df, 16).withColumn("row", F.row_number().over(W.orderBy(F.pmod(h, F.lit(sharding.BUCKETS)), h, "doc_id", "size", "text_crc32")) - 1)
+    d = d.collect()  # equal rows may change places
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.position) for r in d) == Counter((r.doc_id, r.size, r.text_crc32, sharding.feistel_py(r.row, len(rows), 42)) for r in d)
     order = spark.range(200).select(sharding.feistel(__import__("pyspark").sql.functions.col("id"), 200, 42).alias("p")).collect()
     assert [r.p for r in order] == [sharding.feistel_py(x, 200, 42) for x in range(200)]
 
@@ -132,3 +146,23 @@ def test_mixing(spark, which):
     assert sum(taken.values()) <= sum(target.values()) + 1e-3
     assert sorted(map(str, mixing.mix_sources(df.repartition(3)).collect())) == sorted(map(str, got))
     assert mixing.mix_sources(none(spark)).count() == 0
+
+
+def test_queries_give_what_the_operators_tell(spark):
+    from tessera.llm import queries as Q
+
+    sf, rows = "/root/testdata/sf0.001", small_rows()
+    up = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    groups = defaultdict(list)
+    for r in rows:
+        groups[(r["text"] or "").translate(up)].append(r["doc_id"])
+    want = {(i, max(ids), len(ids), i == max(ids), hashlib.sha256(t.encode()).hexdigest()) for t, ids in groups.items() for i in ids}
+    assert {tuple(r) for r in Q.op5_exact_dedup(spark, sf).collect()} == want
+    got = Q.op6_feistel_sharding(spark, sf).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.law, r.grown_shard) for r in got) == Counter((r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode()), "rows", None) for r in rows)
+    assert sorted((r.slot * 16 + r.shard) for r in got) == list(range(len(rows)))
+    mix = Q.op4_source_mixing(spark, sf)
+    assert mix.columns == ["doc_id", "size", "source_size", "target", "taken"] and mix.count() == len(rows)
+    q = {r.doc_id: r for r in Q.op10_quality_rules(spark, sf).collect()}
+    assert all(not r.kept for r in q.values() if r.base_failed) and any(r.kept for r in q.values())
+    assert all(q[r["doc_id"]].n_words == len(words(r["text"])) for r in rows)
