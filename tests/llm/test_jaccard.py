@@ -19,8 +19,8 @@ def shingles(t, n=3):
     return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
 
 
-def brute(rows, percent=90):
-    s = [shingles(r["text"]) for r in rows]
+def brute(rows, percent=90, n=3):
+    s = [shingles(r["text"], n) for r in rows]
     ids = [r["doc_id"] for r in rows]
     comp = {i: i for i in ids if i is not None}
     links = {i: set() for i in comp}
@@ -97,12 +97,10 @@ def test_empty(spark):
     assert J.keep_one(none(spark)).count() == 0
 
 
-def test_join_at_five_words_and_80_percent(spark, monkeypatch):
+def test_join_at_five_words_and_80_percent(spark):
     df, rows = small(spark), small_rows() + [dict(r, doc_id=-1 - r["doc_id"]) for r in near_rows()]
     df = df.select("doc_id", "text").unionByName(spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows if r["doc_id"] < 0], "doc_id long, text string"))
-    of = shingles
-    monkeypatch.setitem(globals(), "shingles", lambda t: of(t, 5))
-    want = brute(rows, 80)
+    want = brute(rows, 80, 5)
     assert Counter(tuple(r) for r in J.ngram_jaccard(df, n=5, percent=80, chunk=5000).collect()) == want
 
 

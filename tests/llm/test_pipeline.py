@@ -41,7 +41,7 @@ def test_stages(spark, which, tmp_path):
                     groups[t] = r
             assert as_rows(got) == as_rows(groups.values())
         if k == 2:
-            keep = {c for i, _, c in jaccard(rows)}
+            keep = {k[2] for k in jaccard(rows, 80, 5)}
             assert as_rows(got) == as_rows([r for r in rows if r["doc_id"] is None or r["doc_id"] in keep])
         if k == 3:
             copies = Counter()
