@@ -5,8 +5,9 @@ then by hash. Documents whose sets can reach the threshold are brought together
 into more parts than two linked sets can differ in, so linked sets have a part in common, whole and not empty. Short
 sets, and those with too many empty parts, give the rarest n-grams of their prefix instead: of two linked sets these
 have one in common. Sets so short that no other set can be linked to them give nothing. Who shares such a key is
-joined into candidate groups, and each group's sets go into a trie in the global order, the most frequent n-gram at
-its root. Blocks of query sets go down the trie together, each node adding its overlap once for all sets below it,
+joined into candidate groups. These chain where documents share passages, so within a group bitmaps are compared, two
+to four bits for an n-gram: bits that differ come from n-grams that do, and only sets that may be within the threshold
+stay together. Each group that is left goes into a trie in the global order, the most frequent n-gram at its root. Blocks of query sets go down the trie together, each node adding its overlap once for all sets below it,
 and leave a subtree as soon as the lengths that remain cannot give the overlap needed. Large groups are cut into
 chunks of sets of about one size, and every pair of chunks whose sizes can be linked is a task of its own. A task
 counts all links and reports those that span what it found linked, so components lose nothing and no group's pairs
@@ -20,7 +21,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SALTS, fits, materialize, partitions, with_group
@@ -32,6 +33,7 @@ CHUNK = 400_000  # n-grams in a chunk of a candidate group
 CODES = 1 << 32  # a chunk's number is its class times this, and its place in the class
 BATCH = 4_000_000  # characters of text handled at once
 BUCKETS = 1 << 16  # of hashes, whose occurrences are counted: a bound on the table that gives the global order
+WIDER = 32  # a chunk of bitmaps, of five times the n-grams, is at most so many times larger in the largest groups
 SHORT = 64  # sets of fewer n-grams, or linked to such, are found by their prefix
 
 
@@ -137,7 +139,52 @@ def _batches(batches, size: int):
             lo = hi
 
 
-SETS = "doc_id long, n long, digest binary, bucket int"
+def bitmap(g: np.ndarray) -> bytes:
+    """A set's parity bitmap: each n-gram turns one bit over, of at least two for each. The length is a power of two."""
+    bits = max(64, 1 << (2 * len(g) - 1).bit_length())
+    odd = np.bincount((g & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def bitmap_links(n: np.ndarray, maps: list[bytes], side: np.ndarray, within: bool, percent: int):
+    """Pairs (i, j) that tie together all sets that may be linked, within a side or across the two.
+
+    Two sets differ in at least as many n-grams as their bitmaps in bits; linked ones differ in at most
+    (a + b)(100 - t)/(100 + t). A bitmap folds to half its length by exclusive or.
+    """
+    order = np.argsort(n, kind="stable")
+    n, side = n[order], side[order]
+    maps = [np.frombuffer(maps[i], np.uint64) for i in order.tolist()]
+    words = np.array([len(m) for m in maps])
+    end = np.searchsorted(n * percent, n * 100, side="right")  # sets behind it that are not too large
+    label = np.arange(len(n))
+    for w in np.unique(words).tolist():
+        own = np.flatnonzero(words == w)
+        base, top = int(own[0]), int(end[own[-1]])
+        level = np.zeros((top - base, w), np.uint64)
+        for i in range(base, top):
+            m = maps[i]
+            while len(m) > w:
+                m = m[: len(m) // 2] ^ m[len(m) // 2:]
+            level[i - base] = m
+        for i in own.tolist():
+            at = np.arange(i + 1, end[i])
+            at = at[label[at] != label[i]]
+            if not within:
+                at = at[side[at] != side[i]]
+            # half of the bitmap tells most pairs apart
+            for part in (slice(0, w // 2), slice(0, w)):
+                if len(at) and part.stop:
+                    bits = np.bitwise_count(level[at - base, part] ^ level[i - base, part]).sum(axis=1, dtype=np.int64)
+                    at = at[bits * (100 + percent) <= (n[at] + n[i]) * (100 - percent)]
+            if len(at):
+                other, first = np.unique(label[at], return_index=True)
+                for j in at[first].tolist():
+                    yield order[i], order[j]
+                label[np.isin(label, other)] = label[i]
+
+
+SETS = "doc_id long, n long, digest binary, bitmap binary, bucket int"
 
 
 def _set_rows(n: int, size: int):
@@ -151,10 +198,12 @@ def _set_rows(n: int, size: int):
             g, sizes = shingle_sets(texts, n)
             counts += np.bincount(bucket_of(g), minlength=BUCKETS)
             ends = np.cumsum(sizes)
-            digest = [xxhash.xxh3_128_digest(g[e - s: e].tobytes()) for e, s in zip(ends, sizes)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(digest, pa.binary()), pa.nulls(len(ids), pa.int32())], names=["doc_id", "n", "digest", "bucket"])
+            sets = [g[e - s: e] for e, s in zip(ends, sizes)]
+            digest, maps = [pa.array([f(x) for x in sets], pa.binary()) for f in (lambda x: xxhash.xxh3_128_digest(x.tobytes()), bitmap)]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), digest, maps, pa.nulls(len(ids), pa.int32())], names=["doc_id", "n", "digest", "bitmap", "bucket"])
         some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.array(counts[some]), pa.nulls(len(some), pa.binary()), pa.array(some.astype(np.int32))], names=["doc_id", "n", "digest", "bucket"])
+        none = pa.nulls(len(some), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.array(counts[some]), none, none, pa.array(some.astype(np.int32))], names=["doc_id", "n", "digest", "bitmap", "bucket"])
 
     return run
 
@@ -385,6 +434,64 @@ def _link_batch(out):
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], names=["a", "b", "n_links"])
 
 
+def _near_rows(percent: int):
+    """Rows come sorted by (comp, i, j): what the bitmaps of each of these tie together."""
+
+    def near(key, rows):
+        n, side, doc = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2))
+        for a, b in bitmap_links(n, [r[3] for r in rows], side, key[1] == key[2], percent):
+            if doc[a] != doc[b]:
+                yield int(doc[a]), int(doc[b])
+
+    def run(batches):
+        key, rows, out = None, [], []
+        for batch in batches:
+            for comp, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("comp", "i", "j", "n", "side", "doc_id", "bitmap"))):
+                if (comp, i, j) != key:
+                    if rows:
+                        out += near(key, rows)
+                    key, rows = (comp, i, j), []
+                rows.append(row)
+            if out:
+                yield _ab(out)
+                out = []
+        if rows:
+            out += near(key, rows)
+        if out:
+            yield _ab(out)
+
+    return run
+
+
+def _ab(out):
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _in_groups(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """``sets`` (doc_id and n among its columns) with comp, their group, and total, its n-grams; groups of one row go."""
+    members = sets.join(groups.select(F.col("id").alias("doc_id"), F.col("component").alias("comp")), "doc_id")
+    return with_group(members, ["comp"], "doc_id", F.sum("n").alias("total"), F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n")
+
+
+def _in_chunks(members: DataFrame, percent: int, chunk: Column) -> DataFrame:
+    """``members`` of ``_in_groups`` with their chunk and the ranges of chunks that it meets, without total.
+
+    Sets that can be linked are in the same class of sizes or in neighbours; the classes are a little wider than need be.
+    """
+    width = max(math.log(100 / percent), 0.01) * 1.0001
+    members = members.withColumn("class", F.when(F.col("total") > chunk, F.floor(F.log("n") / width)).otherwise(0).cast("long"))
+    members = members.withColumn("__chunk", chunk).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).drop("total")
+    classes = members.groupBy("comp", "class").agg(
+        F.ceil(F.sum("n") / F.first("__chunk")).cast("long").alias("chunks"), F.bit_or(F.expr("shiftleft(1, salt)")).alias("places"))
+    near_by = F.explode(F.array(*[F.col("class") + i for i in (-1, 0, 1)]))
+    others = classes.select("comp", near_by.alias("class"), F.struct((F.col("class") * CODES).alias("first"), "chunks").alias("o")).groupBy("comp", "class").agg(F.collect_list("o").alias("others"))
+    # at most three ranges for a class, in each place that has rows of it
+    salts = F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), s -> (places & shiftleft(1, s)) <> 0)"))
+    classes = classes.join(others, ["comp", "class"]).withColumn("salt", salts).drop("places")
+    return members.join(classes, ["comp", "class", "salt"]).withColumn(
+        "chunk", F.col("class") * CODES + F.pmod(F.xxhash64("doc_id"), F.col("chunks"))).drop("class", "salt", "chunks", "__chunk")
+
+
 def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, batch: int = BATCH, short: int = SHORT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, n_links (documents that it is linked to).
 
@@ -413,18 +520,17 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     groups = connected_components(near, "candidates")
     # of equal sets only the one with the least id is compared, for all its copies; a copy's candidates are the least's too
     many = equal.filter("doc_id = rep").groupBy(F.col("rep").alias("id")).agg(F.sum("copies").alias("copies"))
-    members = groups.join(same.select(F.col("b").alias("id")), "id", "left_anti").join(
-        able.select(F.col("doc_id").alias("id"), "n").groupBy("id").agg(F.sum("n").alias("n")), "id").join(many, "id", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
-    sizes = members.groupBy("component").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("__n")).filter("__n > 1")
-    members = members.join(sizes, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("comp"), "n", "copies", "total")
-    # sets that can be linked are in the same class or in neighbours; the classes are a little wider than they need be
-    width = max(math.log(100 / percent), 0.01) * 1.0001
-    members = materialize(members.withColumn("class", F.when(F.col("total") > chunk, F.floor(F.log("n") / width)).otherwise(0).cast("long")), "classes")
-    classes = members.groupBy("comp", "class").agg(F.ceil(F.sum("n") / chunk).cast("long").alias("chunks"))
-    near_by = F.explode(F.array(*[F.col("class") + i for i in (-1, 0, 1)]))
-    others = classes.select("comp", near_by.alias("class"), F.struct((F.col("class") * CODES).alias("first"), "chunks").alias("o")).groupBy("comp", "class").agg(F.collect_list("o").alias("others"))
-    members = members.join(classes, ["comp", "class"]).join(others, ["comp", "class"]).select(
-        "doc_id", "comp", "copies", (F.col("class") * CODES + F.pmod(F.xxhash64("doc_id"), F.col("chunks"))).alias("chunk"), "others")
+    rows = able.select("doc_id", "n", "bitmap").join(same.select(F.col("b").alias("doc_id")), "doc_id", "left_anti")
+    wide = F.greatest(F.lit(5 * chunk), F.least(F.col("total") / 64, F.lit(5 * chunk * WIDER)))
+    first = materialize(_in_groups(groups, rows), "bitmaps")
+    first = _in_chunks(first, percent, wide)
+    first = first.withColumn("o", F.explode("others")).withColumn("o", F.explode(F.expr("sequence(o.first, o.first + o.chunks - 1)")))
+    first = first.select("comp", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), F.expr("int(chunk > o)").alias("side"), "n", "doc_id", "bitmap")
+    first = first.repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j")
+    groups = connected_components(first.mapInArrow(_near_rows(percent), "a long, b long"), "near")
+    members = _in_groups(groups, rows.groupBy("doc_id").agg(F.sum("n").alias("n"))).join(many.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    members = members.withColumn("copies", F.coalesce("copies", F.lit(1)))
+    members = _in_chunks(materialize(members, "classes"), percent, F.lit(chunk)).select("doc_id", "comp", "copies", "chunk", "others")
     members = materialize(members, "members")
     m = members.withColumnRenamed("doc_id", "__id")
     text = d.join(F.broadcast(m) if fits(members.count(), 160) else m, F.col("doc_id") == F.col("__id")).drop("__id")

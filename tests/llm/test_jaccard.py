@@ -146,3 +146,26 @@ def test_op3_query(spark):
 
     got = Counter(tuple(r) for r in op3_jaccard_trie(spark, "/root/testdata/sf0.001").collect())
     assert got == brute(small_rows())
+
+
+@pytest.mark.parametrize("percent", [80, 90, 30])
+@pytest.mark.parametrize("within", [True, False])
+def test_bitmaps_lose_no_link(percent, within):
+    r = np.random.default_rng(7)
+    sets = []
+    for size in r.integers(1, 700, 25):
+        base = r.integers(0, 2**63, int(size)).astype(np.uint64)
+        for _ in range(8):
+            kept = base[r.random(len(base)) > r.choice([0, 0.05, 0.1, 0.2])]
+            sets.append(np.unique(np.concatenate([kept, r.integers(0, 2**63, int(size * r.choice([0, 0.05, 0.1]))).astype(np.uint64)])))
+    side, label = r.integers(0, 2, len(sets)), np.arange(len(sets))
+    for i, j in J.bitmap_links(np.array([len(s) for s in sets]), [J.bitmap(s) for s in sets], side, within, percent):
+        assert within or side[i] != side[j]
+        label[label == label[j]] = label[i]
+    for i in range(len(sets)):
+        for j in range(i):
+            k = len(np.intersect1d(sets[i], sets[j]))
+            if (within or side[i] != side[j]) and k and 100 * k >= percent * (len(sets[i]) + len(sets[j]) - k):
+                assert label[i] == label[j]
+    if percent == 90:  # unrelated sets of some size stay apart
+        assert len(np.unique(label)) > 25
