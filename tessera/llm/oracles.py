@@ -79,3 +79,20 @@ m as (select d.doc_id, t, len(w)::bigint as n_words, coalesce(length(array_to_st
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > 50 * n_words as base_failed,
     not (n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > 50 * n_words) and not ((length(t) - clean) * 100 > length(t) * {quality.MAX_LOST}) as kept from m
 """
+
+_SHARE = "1 + (1000000000::hugeint * ({0} + 5)) // ({1} + 5 * v)"
+AUDIT = f"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+g as (select distinct lang, source from d),
+w as (select lang, source, term, count(*) as df, sum(k) as c from (select r, lang, source, term, count(*) as k from (select r, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from d) group by all) group by all),
+k as (select lang, term, sum(c)::hugeint as total from w group by all having sum(df) >= 30),
+l as (select lang, count(*) as v, sum(total)::hugeint as every from k group by 1),
+n as (select g.lang, g.source, coalesce(sum(w.c) filter (where k.term is not null), 0)::hugeint as n from g left join w using (lang, source) left join k on k.lang = w.lang and k.term = w.term group by all),
+p as (select n.lang, n.source, k.term, coalesce(w.c, 0) as c, {_SHARE.format('coalesce(w.c, 0)', 'n.n')} as p, {_SHARE.format('k.total', 'l.every')} as q
+    from n join k on k.lang = n.lang join l on l.lang = n.lang left join w on w.lang = n.lang and w.source = n.source and w.term = k.term),
+s as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pair as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.value, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source left join s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+term as (select lang, source, 'term' as part, term as item, (p - q)::bigint as value from p where c > 0 and p > q),
+both_ as (select * from pair union all select * from term)
+select * from (select *, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank from both_) where part = 'pair' or rank <= 50
+"""
