@@ -86,13 +86,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .deleted_interpolation import score_documents
+
+    return score_documents(documents(spark, sf_dir))
+
+
 def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .source_audit import source_divergence
 
     return source_divergence(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_debruijn_spans, op3_jaccard_trie, op4_source_mixing, op5_exact_dedup, op6_feistel_sharding, op7_byte_gru, op8_pii_skip_chain, op9_bpe_words, op10_quality_rules, op13_source_audit)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_debruijn_spans, op3_jaccard_trie, op4_source_mixing, op5_exact_dedup, op6_feistel_sharding, op7_byte_gru, op8_pii_skip_chain, op9_bpe_words, op10_quality_rules, op11_deleted_interpolation, op13_source_audit)}
 ORACLES: dict[str, str] = {
     "op2_debruijn_spans": oracles.SUBSTRING,
     "op3_jaccard_trie": oracles.JACCARD,
