@@ -39,7 +39,7 @@ SPACE = re.compile(rb"[\x20\x09-\x0D]")
 def squeeze(x: np.ndarray) -> bytes:
     """Whole numbers by planes of bytes, compressed."""
     x = np.ascontiguousarray(x)
-    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
 
 
 def expand(b: bytes, dtype: str) -> np.ndarray:

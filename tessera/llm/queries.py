@@ -92,13 +92,21 @@ def op11_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(documents(spark, sf_dir))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_alignment import align_tokenizers
+
+    return align_tokenizers(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))[0]
+
+
 def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .source_audit import source_divergence
 
     return source_divergence(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_debruijn_spans, op3_jaccard_trie, op4_source_mixing, op5_exact_dedup, op6_feistel_sharding, op7_byte_gru, op8_pii_skip_chain, op9_bpe_words, op10_quality_rules, op11_deleted_interpolation, op13_source_audit)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_debruijn_spans, op3_jaccard_trie, op4_source_mixing, op5_exact_dedup, op6_feistel_sharding, op7_byte_gru, op8_pii_skip_chain, op9_bpe_words, op10_quality_rules, op11_deleted_interpolation, op12_token_alignment, op13_source_audit)}
 ORACLES: dict[str, str] = {
     "op2_debruijn_spans": oracles.SUBSTRING,
     "op3_jaccard_trie": oracles.JACCARD,
