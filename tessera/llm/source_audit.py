@@ -25,7 +25,7 @@ TOP = 50
 WORDS = 2_000_000  # terms of a block of documents that are sorted at once
 PIECE = 1 << 20  # bytes of a text that are cut into terms at once
 TILE = 128  # sources that stand side by side in a cell
-TERMS = 100_000  # terms of a cell, about
+TERMS = 500  # terms of a cell, about; more where a language has many sources, as a cell answers for all pairs of them
 DENSE = 1 << 20  # numbers of a matrix of terms by sources
 
 #: Bytes as terms have them: A-Z lower, letters and all beyond ASCII as they are, anything else a space.
@@ -289,7 +289,7 @@ def source_divergence(docs: DataFrame, least: int = LEAST, top: int = TOP, tile:
     groups = groups.join(of_group, ["lang", "source"], "left").join(v, "lang", "left").fillna(0, ["n", "v", "every"])
     groups = groups.withColumn("tile", F.floor((F.row_number().over(W.partitionBy("lang").orderBy("source")) - 1) / tile).cast("int"))
     tiles = W.partitionBy("lang")
-    groups = materialize(groups.withColumn("tiles", F.max("tile").over(tiles) + 1).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("v") / per_cell)).cast("int")), "groups")
+    groups = materialize(groups.withColumn("tiles", F.max("tile").over(tiles) + 1).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("v") / F.greatest(F.lit(per_cell), 25 * F.count(F.lit(1)).over(tiles)))).cast("int")), "groups")
 
     # a cell is a pair of tiles and a part of the terms; its groups come to it, and the counts of its sources
     pair = F.expr("transform(sequence(0, tiles - 1), t -> struct(least(t, tile) as a, greatest(t, tile) as b))")
