@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import os
 import uuid
 
@@ -57,36 +58,80 @@ class Pair:
         #: Whether B never joins what stands before a single space with what stands behind it.
         self.cuts = not any(" " in p.decode("utf-8", "replace").lstrip(" ") for p in self.b_bytes)
 
-    def links(self, text: str, a: list[int], b: list[int]):
-        """The key of each link in order, the groups as text, how many; None if the tokens do not give back the text."""
-        raw = b" " + text.encode()
-        ta, tb = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if not text or b"".join(ta) != raw or b"".join(tb) != raw:
-            return None
-        return align(a, list(map(len, ta)), b, list(map(len, tb)))
+        self.a_size, self.b_size = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.names = list(map(str, range(max(len(self.a_bytes), len(self.b_bytes)))))
+        from .token_files import _Encoder
 
-    def encode_a(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        self.encoder = _Encoder(a_path, plain=True)  # A's ids of many short texts
 
-    def encode_b(self, texts: list[str]) -> list[list[int]]:
-        return self.b.encode(texts, num_threads=1)
+    def encode_a(self, text: str) -> np.ndarray:
+        return np.array(self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, np.int64)
 
+    def encode_b(self, text: str) -> np.ndarray:
+        return np.array(self.b.encode([text], num_threads=1)[0], np.int64)
 
-def align(a: list[int], size_a: list[int], b: list[int], size_b: list[int]):
-    """(keys of the links in order, groups as text, their number) of two lists of tokens over the same bytes."""
-    keys, groups, i, j = [], [], 0, 0
-    from_a = from_b = at_a = at_b = 0
-    while i < len(a):
-        end_a, end_b = at_a + size_a[i], at_b + size_b[j]
-        keys.append(b[j] << 32 | a[i])
-        if end_a <= end_b:
-            at_a, i = end_a, i + 1
-        if end_b <= end_a:
-            at_b, j = end_b, j + 1
-        if end_a == end_b:
-            groups.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}")
-            from_a, from_b = i, j
-    return keys, ";".join(groups), len(groups)
+    def segments(self, texts: list[str]) -> list:
+        """For each text its links as ``Links``, None where the tokens do not give it back."""
+        e = self.encoder
+        e.clear()
+        if e.cuts:
+            e.learn(set(texts))
+            ids = [e.literal(" " + t) if t[0].isspace() else e.after[t] for t in texts]
+            a, n_a = np.frombuffer(b"".join(ids), e.type).astype(np.int64), np.array([len(x) // e.type.itemsize for x in ids], np.int64)
+        else:
+            ids = [self.encode_a(t) for t in texts]
+            a, n_a = np.concatenate(ids), np.array(list(map(len, ids)), np.int64)
+        ids = self.b.encode(texts, num_threads=1)
+        b, n_b = np.array(list(itertools.chain.from_iterable(ids)), np.int64), np.array(list(map(len, ids)), np.int64)
+        raw = [b" " + t.encode() for t in texts]
+        same = b"".join([self.a_bytes[i] for i in a.tolist()]) == b"".join([self.b_bytes[i] for i in b.tolist()]) == b"".join(raw)
+        size = np.array(list(map(len, raw)), np.int64)
+        if len(texts) > 1 and not (same and np.array_equal(totals(self.a_size[a], n_a), size) and np.array_equal(totals(self.b_size[b], n_b), size)):
+            return [self.segments([t])[0] for t in texts] if len(texts) <= 100 else [x for i in range(0, len(texts), 100) for x in self.segments(texts[i: i + 100])]
+        return align(self, a, n_a, b, n_b) if same and texts[0] else [None]
+
+
+class Links:
+    """Of a text: the packed keys of its links in order, its groups as text, their number, the numbers of its tokens."""
+
+    __slots__ = ("keys", "text", "groups", "a", "b")
+
+    def __init__(self, keys: bytes, text: str, groups: int, a: int, b: int):
+        self.keys, self.text, self.groups, self.a, self.b = keys, text, groups, a, b
+
+
+def totals(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of the first n[0], the next n[1], ... of ``x``."""
+    ends = np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], np.cumsum(n)])]
+    return np.diff(ends)
+
+
+def align(pair: Pair, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> list[Links]:
+    """Links of texts whose tokens, one text after another, cover the same bytes: both end a token where a text ends."""
+    end_a, end_b = np.cumsum(pair.a_size[a]), np.cumsum(pair.b_size[b])
+    ends = np.union1d(end_a, end_b)
+    i, j = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+    keys = (b[j] << 32 | a[i]).tobytes()
+    both = np.flatnonzero((end_a[i] == ends) & (end_b[j] == ends))  # links that end a group
+    # of each text where its tokens, links and groups end
+    to_a, to_b = np.cumsum(n_a).tolist(), np.cumsum(n_b).tolist()
+    to_link = (np.searchsorted(ends, end_a[np.array(to_a) - 1]) + 1).tolist()
+    to_group = np.searchsorted(both, np.array(to_link) - 1) + 1
+    cut_a, cut_b, to_group = (i[both] + 1).tolist(), (j[both] + 1).tolist(), to_group.tolist()
+    name_a, name_b = ([pair.names[x] for x in y.tolist()] for y in (a, b))
+    out, at, bt, kt, gt = [], 0, 0, 0, 0
+    for ae, be, ke, ge in zip(to_a, to_b, to_link, to_group):
+        if ge - gt == 1:
+            text = f"{','.join(name_a[at:ae])}|{','.join(name_b[bt:be])}"
+        else:
+            parts, x, y = [], at, bt
+            for g in range(gt, ge):
+                parts.append(f"{','.join(name_a[x:cut_a[g]])}|{','.join(name_b[y:cut_b[g]])}")
+                x, y = cut_a[g], cut_b[g]
+            text = ";".join(parts)
+        out.append(Links(keys[8 * kt: 8 * ke], text, ge - gt, ae - at, be - bt))
+        at, bt, kt, gt = ae, be, ke, ge
+    return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -141,7 +186,7 @@ class _Block:
     def __init__(self, pair: Pair, known: dict):
         self.pair, self.known = pair, known  # ``known``: links of segments seen by this worker
         self.piece, self.found = _Pieces(), []
-        self.docs, self.codes, self.size = [], [], 0
+        self.docs, self.codes, self.waiting, self.size = [], [], [], 0
 
     def _learn(self) -> None:
         fresh, self.piece.fresh = self.piece.fresh, []
@@ -149,58 +194,64 @@ class _Block:
         if len(self.known) + len(new) > 600_000:  # a bound on a worker's memory, not on what is aligned
             self.known.clear()
             new = fresh
-        for lo in range(0, len(new), 20_000):
-            some = new[lo: lo + 20_000]
-            for p, a, b in zip(some, self.pair.encode_a(some), self.pair.encode_b(some)):
-                got = self.pair.links(p, a, b)
-                self.known[p] = got and (np.array(got[0], np.int64).tobytes(), got[1], got[2], len(a), len(b))
+        for lo in range(0, len(new), 50_000):
+            some = new[lo: lo + 50_000]
+            self.known.update(zip(some, self.pair.segments(some)))
         self.found += [self.known[p] for p in fresh]
 
     def whole(self, text: str):
         """A text that no cut may part, as a segment of its own."""
-        a, b = self.pair.encode_a([text])[0], self.pair.encode_b([text])[0]
-        got = self.pair.links(text, a, b)
-        if got is None:
+        a, b = self.pair.encode_a(text), self.pair.encode_b(text)
+        ta, tb = (b"".join([t[i] for i in x.tolist()]) for t, x in ((self.pair.a_bytes, a), (self.pair.b_bytes, b)))
+        if not ta == tb == b" " + text.encode():
             return None
         k = self.piece.setdefault((len(self.piece), "whole"), len(self.piece))  # a name that no segment has
-        self.found.append((np.array(got[0], np.int64).tobytes(), got[1], got[2], len(a), len(b)))
+        self.found += align(self.pair, a, np.array([len(a)]), b, np.array([len(b)]))
         return k
 
     def add(self, doc_id, text: str) -> None:
-        sha, codes, lost = hashlib.sha256(), [], not text
+        """Segments are learned many at once, so a document's result waits for them."""
+        codes = []
         if text and self.pair.cuts:
-            for k, part in enumerate(portions(text, PORTION)):
-                c = [self.piece[p] for p in segments(part)]
-                self._learn()
-                some = [self.found[i] for i in c]
-                if None in some:
-                    lost = True
-                    break
-                sha.update((";" if k else "").encode() + ";".join([s[1] for s in some]).encode())
-                codes.append(np.array(c, np.int64))
-        else:
-            lost = True
-        if lost and text:
-            k = self.whole(text)
-            if k is not None:
-                sha, codes, lost = hashlib.sha256(self.found[k][1].encode()), [np.array([k], np.int64)], False
-        c = np.concatenate(codes) if codes and not lost else np.zeros(0, np.int64)
-        self.codes.append(c)
-        self.docs.append((doc_id, "" if lost else sha.hexdigest()))
+            for part in portions(text, PORTION):
+                codes.append(np.array([self.piece[p] for p in segments(part)], np.int64))
+        self.waiting.append((doc_id, text, codes))
         self.size += len(text) + 1
+        if len(self.piece.fresh) >= 50_000:
+            self.finish()
+
+    def finish(self) -> None:
+        self._learn()
+        for doc_id, text, codes in self.waiting:
+            c = np.concatenate(codes) if codes else np.zeros(0, np.int64)
+            found, sha, lost = [self.found[i] for i in c.tolist()], hashlib.sha256(), not codes
+            if None in found:
+                lost, k = True, self.whole(text)
+            elif text and not codes:
+                k = self.whole(text)
+            else:
+                k = None
+                for lo in range(0, len(found), 100_000):
+                    sha.update((";" if lo else "").encode() + ";".join([s.text for s in found[lo: lo + 100_000]]).encode())
+            if k is not None:
+                c, sha, lost = np.array([k], np.int64), hashlib.sha256(self.found[k].text.encode()), False
+            self.codes.append(np.zeros(0, np.int64) if lost else c)
+            self.docs.append((doc_id, "" if lost else sha.hexdigest()))
+        self.waiting = []
 
     def batch(self) -> pa.RecordBatch:
+        self.finish()
         n = np.array([len(c) for c in self.codes], np.int64)
         codes = np.concatenate(self.codes)
         used, codes = np.unique(codes, return_inverse=True)  # segments of texts that have no tokens are not sent
         found = [self.found[i] for i in used.tolist()]
-        links = np.array([len(f[0]) // 8 for f in found], np.int64)
+        links = np.array([len(f.keys) // 8 for f in found], np.int64)
         doc = np.repeat(np.arange(len(n)), n)
         of = lambda x: np.bincount(doc, np.array(x, np.float64)[codes], len(n)).astype(np.int64) if len(codes) else np.zeros(len(n), np.int64)
-        counts = [of([f[k] for f in found]) for k in (3, 4, 2)]
+        counts = [of([getattr(f, k) for f in found]) for k in ("a", "b", "groups")]
         ids, sha = zip(*self.docs)
         lists = [(ids, pa.int64()), *((c, pa.int64()) for c in (*counts, of(links))), (sha, pa.string()), (n, pa.int64())]
-        data = [codes.astype("<u4"), links.astype("<u4"), np.frombuffer(b"".join([f[0] for f in found]), "<i8")]
+        data = [codes.astype("<u4"), links.astype("<u4"), np.frombuffer(b"".join([f.keys for f in found]), "<i8")]
         columns = [pa.array([list(c)], pa.list_(t)) for c, t in lists] + [pa.array([squeeze(x)], pa.binary()) for x in data]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "sha", "n", "codes", "links", "keys"])
 
@@ -212,11 +263,11 @@ def _blocks(a_path: str, b_path: str, block: int):
         for batch in batches:
             for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 t = t or ""
-                if b.docs and b.size + len(t) > block:
+                if b.size and b.size + len(t) > block:
                     yield b.batch()
                     b = _Block(pair, known)
                 b.add(i, t)
-        if b.docs:
+        if b.size:
             yield b.batch()
 
     return run
