@@ -7,7 +7,9 @@ maximisation on its n-grams finds the weights; then all training documents are c
 
 Documents are taken in blocks, written once. A block sends its distinct n-grams, as sorted hashes, to ranges of the
 hash; a range adds up the counts of all blocks and sends each block its n-grams' sums, in the order in which they came.
-So every n-gram of the corpus is counted, and no row stands for a single occurrence.
+So every n-gram of the corpus is counted, and no row stands for a single occurrence. The longest n-grams go last, and only
+those that other blocks can have: where one of the two n-grams within is in no other block, neither is the whole, and the
+block's own count is the corpus's.
 """
 
 from __future__ import annotations
@@ -91,30 +93,48 @@ class _Block:
         return pa.RecordBatch.from_arrays([*lists, *data], names=["row", "doc_id", "fold", "begins", "skip", "n", "codes", "words"])
 
 
-def _blocks(tokens: int, order: int, portion: int = 1 << 20):
+def _blocks(tokens: int, order: int, deleted: int, portion: int = 1 << 20):
     def run(batches):
         from pyspark import TaskContext
 
-        row, b = TaskContext.get().partitionId() << 40, _Block()
+        row, open_ = TaskContext.get().partitionId() << 40, {}
         for batch in batches:
             for i, fold, text in zip(batch.column("doc_id").to_pylist(), batch.column("fold").to_pylist(), batch.column("text").to_pylist()):
-                context, begins = [], True
+                context, begins, kind = [], True, fold == deleted  # the deleted fold has blocks of its own
                 parts = list(portions((text or "").encode().lower(), portion))
                 for k, part in enumerate(parts):
                     words, last = part.split(), k == len(parts) - 1
+                    b = open_.setdefault(kind, _Block())
                     if words or last:
                         b.add(row, i, fold, begins, context, words, last)
                         context, begins = (context + words)[1 - order:] if order > 1 else [], begins and not words
                     if b.size >= tokens:
                         yield b.batch()
-                        b = _Block()
+                        del open_[kind]
                 row += 1
-        if b.rows:
-            yield b.batch()
+        for b in open_.values():
+            if b.rows:
+                yield b.batch()
 
     return run
 
 
+def sort_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, sorted keys). A hash's high bits with its place below sort much faster than places do; where the high bits are
+    not enough, places are sorted."""
+    bits = max(1, (len(keys) - 1).bit_length())
+    if bits <= 26:
+        low = np.uint64((1 << bits) - 1)
+        packed = (keys & ~low) | np.arange(len(keys), dtype=np.uint64)
+        packed.sort()
+        order = (packed & low).astype(np.int64)
+        s = keys[order]
+        if not (s[1:] < s[:-1]).any():
+            return order, s
+    order = np.argsort(keys, kind="stable")
+    return order, keys[order]
+
+
 class _Grams:
     """The n-grams that end at each token of a block: their hashes by order, and where documents begin."""
 
@@ -139,7 +159,7 @@ class _Grams:
                 before[k - 1:] = h[: total - k + 1] if total >= k else before[k - 1:]
                 before[self.place < k - 1] = BEGIN
                 sofar = sofar + before * power
-                power = power * M1
+                power = np.uint64(int(power) * int(M1) & (1 << 64) - 1)
             self.keys.append((mix(sofar + np.uint64(k)) & ~tag) | np.uint64(k))
 
     def before(self, values: np.ndarray, first) -> np.ndarray:
@@ -149,24 +169,57 @@ class _Grams:
         out[self.place == 0] = first
         return out
 
-    def distinct(self):
-        """All hashes, sorted; how often each is in the counts and in the deleted fold; the place of each token's n-grams."""
-        every = np.concatenate(self.keys)
-        order = np.argsort(every, kind="stable")
-        s = every[order]
+    def distinct(self, orders):
+        """Hashes of some orders, sorted; the order that sorts all; where each distinct one begins; the place of each token's."""
+        order, s = sort_order(np.concatenate([self.keys[k - 1] for k in orders]))
         new = np.empty(len(s), bool)
         new[:1] = True
         np.not_equal(s[1:], s[:-1], out=new[1:])
         first = np.flatnonzero(new)
         where = np.empty(len(s), np.int64)
         where[order] = np.cumsum(new) - 1
-        return s[first], order, first, where.reshape(self.order, -1)
+        return s[first], order, first, where.reshape(len(orders), -1)
 
     def counts(self, order, first, held: int, deleted: int):
+        """How often each distinct n-gram is in the counts, and in the deleted fold."""
         learn = self.real & (self.fold != held)
-        one = np.tile(learn & (self.fold != deleted), self.order)[order]
-        two = np.tile(learn & (self.fold == deleted), self.order)[order]
-        return (np.add.reduceat(x.astype(np.int64), first) if len(first) else np.zeros(0, np.int64) for x in (one, two))
+        one, two = learn & (self.fold != deleted), learn & (self.fold == deleted)
+        return [np.add.reduceat(x[order % len(x)].astype(np.int64), first) if x.any() else np.zeros(len(first), np.int64) for x in (one, two)]
+
+
+class _Counted:
+    """A block's n-grams with what came back for them. ``kept`` and ``lost`` are counts of each token's n-grams by order."""
+
+    def __init__(self, row, order: int, held: int, deleted: int):
+        self.grams = g = _Grams(row, order)
+        low = range(1, max(order, 2))
+        keys, at, first, where = g.distinct(low)
+        kept, lost, many = _sums(row["back"], len(keys))
+        self.kept, self.lost, self.longest = [kept[w] for w in where], [lost[w] for w in where], where[-1]
+        if order > 1:
+            elsewhere = many[where[-1]]
+            self.keys, at, first, (self.longest,) = g.distinct([order])
+            self.own = g.counts(at, first, held, deleted)
+            #: Which of the longest n-grams other blocks can have.
+            self.asked = (elsewhere & g.before(elsewhere, True))[at[first]]
+
+    def finish(self, back) -> None:
+        """The longest n-grams' counts: what came back for those that were sent, the block's own for the others."""
+        if self.grams.order > 1:
+            for mine, all_, into in zip(self.own, _sums(back, int(self.asked.sum())), (self.kept, self.lost)):
+                mine[self.asked] = all_
+                into.append(mine[self.longest])
+
+
+def _sums(back, n: int) -> list[np.ndarray]:
+    """What came back for a block's ``n`` sorted n-grams: both counts, and whether other blocks have them."""
+    back = sorted(back or [], key=lambda x: x["r"])
+    out = [[expand(x[c], "<i8") for x in back] for c in ("kept", "lost")]
+    out.append([np.unpackbits(np.frombuffer(x["many"], np.uint8), count=len(k)).astype(bool) for x, k in zip(back, out[0])])
+    out = [np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, bool))]
+    if len(out[0]) != n:
+        raise RuntimeError("a block did not get sums for just its n-grams")
+    return out
 
 
 def _slices(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -175,13 +228,17 @@ def _slices(keys: np.ndarray, ranges: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges << np.uint64(32), "left"), [len(keys)]])
 
 
-def _send(order: int, ranges: int, held: int, deleted: int):
+def _send(order: int, ranges: int, held: int, deleted: int, longest: bool):
     def run(batches):
         for batch in batches:
             for row in _each(batch):
-                g = _Grams(row, order)
-                keys, at, first, _ = g.distinct()
-                kept, lost = g.counts(at, first, held, deleted)
+                if longest:
+                    c = _Counted(row, order, held, deleted)
+                    keys, kept, lost = (x[c.asked] for x in (c.keys, *c.own))
+                else:
+                    g = _Grams(row, order)
+                    keys, at, first, _ = g.distinct(range(1, max(order, 2)))
+                    kept, lost = g.counts(at, first, held, deleted)
                 cut = _slices(keys, ranges).tolist()
                 for r, (a, b) in enumerate(zip(cut, cut[1:])):
                     if b > a:
@@ -193,14 +250,12 @@ def _send(order: int, ranges: int, held: int, deleted: int):
 
 
 def _add_up(batches):
-    """Rows come sorted by range. Sums go back to each block; a row of a negative block tells how many distinct tokens were learned."""
+    """Rows come sorted by range. Sums go back to each block, and which n-grams other blocks have; a row of a negative block tells how many distinct tokens were learned."""
 
     def rows(r, got):
         blocks, keys, kept, lost = zip(*got)
         size = np.cumsum([0, *map(len, keys)])
-        every = np.concatenate(keys)
-        order = np.argsort(every, kind="stable")
-        s = every[order]
+        order, s = sort_order(np.concatenate(keys))
         new = np.empty(len(s), bool)
         new[:1] = True
         np.not_equal(s[1:], s[:-1], out=new[1:])
@@ -210,12 +265,13 @@ def _add_up(batches):
         sums = [np.add.reduceat(np.concatenate(x).astype(np.int64)[order], first) for x in (kept, lost)]
         token = (s[first] & np.uint64((1 << TAG) - 1)) == 1
         known = [int((token & (sums[0] > 0)).sum()), int((token & (sums[0] + sums[1] > 0)).sum())]
-        out = [(-1 - r, r, b"", b"", *known)]
+        many = np.diff(np.append(first, len(s))) > 1  # a block sends a key once
+        out = [(-1 - r, r, b"", b"", b"", *known)]
         for b, lo, hi in zip(blocks, size[:-1].tolist(), size[1:].tolist()):
             i = where[lo:hi]
-            out.append((b, r, squeeze(sums[0][i].astype("<i8")), squeeze(sums[1][i].astype("<i8")), 0, 0))
-        types = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["block", "r", "kept", "lost", "v_kept", "v_all"])
+            out.append((b, r, squeeze(sums[0][i].astype("<i8")), squeeze(sums[1][i].astype("<i8")), np.packbits(many[i]).tobytes(), 0, 0))
+        types = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["block", "r", "kept", "lost", "many", "v_kept", "v_all"])
 
     got, now = [], None
     for batch in batches:
@@ -229,60 +285,43 @@ def _add_up(batches):
         yield rows(now, got)
 
 
-class Estimates:
-    """Of each token: its n-grams' counts by order, their contexts' counts, the bucket of the longest known context."""
+def contexts_of(grams: _Grams, counts: list[np.ndarray], docs: int, tokens: int) -> list[np.ndarray]:
+    """How often the context of each token's n-gram was learned: all tokens, then the n-gram before it that is one shorter."""
+    return [np.full(len(counts[0]), tokens), *(grams.before(c, docs) for c in counts[:-1])]
 
-    def __init__(self, grams: _Grams, counts: np.ndarray, docs: int, tokens: int):
-        c = [counts[w] for w in grams.distinct_places]
-        self.count = c
-        contexts = [np.full(len(c[0]), tokens)]
-        for k in range(1, grams.order):
-            contexts.append(grams.before(c[k - 1], docs))
-        self.context = contexts
 
-    @staticmethod
-    def bucket(contexts) -> np.ndarray:
-        out = np.zeros(len(contexts[0]), np.int64)
-        for k, c in enumerate(contexts):
-            known = c > 0
-            out[known] = k * LEVELS + np.log2(c[known]).astype(np.int64) + 1
-        return out
+def bucket(contexts) -> np.ndarray:
+    """The longest context that was learned, and the power of two of its count."""
+    out = np.zeros(len(contexts[0]), np.int64)
+    for k, c in enumerate(contexts):
+        known = c > 0
+        out[known] = k * LEVELS + np.log2(c[known]).astype(np.int64) + 1
+    return out
 
-    @staticmethod
-    def likelihoods(counts, contexts, v: int) -> np.ndarray:
-        """Maximum-likelihood estimates (orders + 1, tokens); the first is the same for all words, one of them unknown."""
-        p = np.zeros((len(counts) + 1, len(counts[0])))
-        p[0] = 1.0 / (v + 1)
-        for k, (c, n) in enumerate(zip(counts, contexts)):
-            np.divide(c, n, out=p[k + 1], where=n > 0)
-        return p
-
-
-def _resolve(row, order: int):
-    """A block's n-grams with the sums that came back, for the counts and the deleted fold."""
-    g = _Grams(row, order)
-    keys, at, first, g.distinct_places = g.distinct()
-    back = sorted(row["back"] or [], key=lambda x: x["r"])
-    kept, lost = (np.concatenate([expand(x[c], "<i8") for x in back]) if back else np.zeros(0, np.int64) for c in ("kept", "lost"))
-    if len(kept) != len(keys):
-        raise RuntimeError("a block did not get sums for just its n-grams")
-    return g, keys, at, first, kept, lost
+
+def likelihoods(counts, contexts, v: int) -> np.ndarray:
+    """Maximum-likelihood estimates (orders + 1, tokens); the first is the same for all words, one of them unknown."""
+    p = np.zeros((len(counts) + 1, len(counts[0])))
+    p[0] = 1.0 / (v + 1)
+    for k, (c, n) in enumerate(zip(counts, contexts)):
+        np.divide(c, n, out=p[k + 1], where=n > 0)
+    return p
 
 
-def _held_counts(order: int, docs: int, tokens: int, deleted: int):
+def _held_counts(order: int, docs: int, tokens: int, held: int, deleted: int):
     """For each block the deleted fold's distinct longest n-grams: how often, and all counts that its estimates need."""
 
     def run(batches):
         for batch in batches:
             for row in _each(batch):
-                if not any(f == deleted for f in row["fold"]):
-                    continue
-                g, _, _, _, kept, _ = _resolve(row, order)
-                e = Estimates(g, kept, docs, tokens)
+                c = _Counted(row, order, held, deleted)
+                c.finish(row["back_longest"])
+                g = c.grams
+                contexts = contexts_of(g, c.kept, docs, tokens)
                 some = np.flatnonzero(g.real & (g.fold == deleted))
-                _, first, h = np.unique(g.distinct_places[-1][some], return_index=True, return_counts=True)
+                _, first, h = np.unique(c.longest[some], return_index=True, return_counts=True)
                 some = some[first]
-                data = [squeeze(x.astype("<i8")) for x in (h, *(c[some] for c in e.count), *(c[some] for c in e.context[1:]))]
+                data = [squeeze(x.astype("<i8")) for x in (h, *(x[some] for x in c.kept), *(x[some] for x in contexts[1:]))]
                 yield pa.RecordBatch.from_arrays([pa.array([data], pa.list_(pa.binary()))], names=["data"])
 
     return run
@@ -297,8 +336,8 @@ def _expect(weights: np.ndarray, order: int, tokens: int, v: int):
             for data in batch.column("data").to_pylist():
                 h, *x = [expand(d, "<i8") for d in data]
                 counts, contexts = x[:order], [np.full(len(h), tokens), *x[order:]]
-                b = Estimates.bucket(contexts)
-                mixed = weights[b].T * Estimates.likelihoods(counts, contexts, v)
+                b = bucket(contexts)
+                mixed = weights[b].T * likelihoods(counts, contexts, v)
                 total = mixed.sum(0)
                 for k in range(order + 1):
                     sums[:, k] += np.bincount(b, h * mixed[k] / total, len(sums))
@@ -340,14 +379,16 @@ def learn_weights(held: DataFrame, order: int, tokens: int, v: int, rounds: int
     return w
 
 
-def _score(order: int, weights: np.ndarray, docs: int, tokens: int, v: int):
+def _score(order: int, weights: np.ndarray, docs: int, tokens: int, v: int, held: int, deleted: int):
     def run(batches):
         for batch in batches:
             for row in _each(batch):
-                g, _, _, _, kept, lost = _resolve(row, order)
-                e = Estimates(g, kept + lost, docs, tokens)
-                p = (weights[Estimates.bucket(e.context)].T * Estimates.likelihoods(e.count, e.context, v)).sum(0)
-                c = e.count[0]
+                known = _Counted(row, order, held, deleted)
+                known.finish(row["back_longest"])
+                g, counts = known.grams, [a + b for a, b in zip(known.kept, known.lost)]
+                contexts = contexts_of(g, counts, docs, tokens)
+                p = (weights[bucket(contexts)].T * likelihoods(counts, contexts, v)).sum(0)
+                c = counts[0]
                 add = lambda x: np.add.reduceat(np.where(g.real, x, 0), g.start)
                 sums = [add(np.ones(len(c), np.int64)), add((c > 0).astype(np.int64)), add(np.log10((c + 1) / (tokens + v + 1))), add(np.log10(p))]
                 yield pa.RecordBatch.from_arrays([pa.array(row["row"], pa.int64()), pa.array(row["doc_id"], pa.int64()), pa.array(row["fold"], pa.int32()), *map(pa.array, sums)],
@@ -376,7 +417,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, hel
     d = d.withColumn("fold", (F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % folds).cast("int"))
     n = partitions(spark)
     # the number is given as the block is written, so no two blocks share it
-    made = d.mapInArrow(_blocks(tokens, order), BLOCKS).withColumn("block", F.monotonically_increasing_id())
+    made = d.mapInArrow(_blocks(tokens, order, deleted), BLOCKS).withColumn("block", F.monotonically_increasing_id())
     blocks = materialize_bucketed(made, "block", n, "blocks")
     size = F.expr("aggregate(zip_with(n, skip, (a, b) -> a - b), 0L, (s, x) -> s + x)")
     of = lambda name, test, what: F.sum(F.when(F.expr(test), F.col(what)).otherwise(0)).alias(name)
@@ -385,17 +426,26 @@ def score_documents(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, hel
     kept, learned = f"fold not in ({held}, {deleted})", f"fold <> {held}"
     t = part.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), of("n_kept", kept, "n"), of("n_all", learned, "n"), of("d_kept", kept, "doc"), of("d_all", learned, "doc")).first()
 
-    ranges = max(n, -(-t["all"] * order // per_range))
-    sent = blocks.mapInArrow(_send(order, ranges, held, deleted), "r int, block long, keys binary, kept binary, lost binary")
-    summed = sent.repartitionById(ranges, "r").sortWithinPartitions("r").mapInArrow(_add_up, "block long, r int, kept binary, lost binary, v_kept long, v_all long")
-    back = materialize_bucketed(summed.repartition(n, "block"), "block", n, "sums")
+    def exchange(d: DataFrame, orders: int, longest: bool) -> DataFrame:
+        """Sums over all blocks of what each block sends, in buckets by block."""
+        ranges = max(n, -(-t["all"] * orders // per_range))
+        sent = d.mapInArrow(_send(order, ranges, held, deleted, longest), "r int, block long, keys binary, kept binary, lost binary")
+        summed = sent.repartitionById(ranges, "r").sortWithinPartitions("r").mapInArrow(_add_up, "block long, r int, kept binary, lost binary, many binary, v_kept long, v_all long")
+        return materialize_bucketed(summed.repartition(n, "block"), "block", n, "sums")
+
+    def with_sums(d: DataFrame, back: DataFrame, name: str) -> DataFrame:
+        own = back.filter("block >= 0").groupBy("block").agg(F.collect_list(F.struct("r", "kept", "lost", "many")).alias(name))  # a block's own n-grams, no more
+        return d.join(own.hint("merge"), "block", "left")
+
+    back = exchange(blocks, max(order - 1, 1), False)
     v = back.filter("block < 0").agg(F.coalesce(F.sum("v_kept"), F.lit(0)).alias("kept"), F.coalesce(F.sum("v_all"), F.lit(0)).alias("all")).first()
-    of_block = back.filter("block >= 0").groupBy("block").agg(F.collect_list(F.struct("r", "kept", "lost")).alias("back"))  # the block's own n-grams, no more
-    both = blocks.join(of_block.hint("merge"), "block", "left")
+    both = with_sums(blocks, back, "back")
+    both = with_sums(both, exchange(both, 1, True), "back_longest") if order > 1 else both.withColumn("back_longest", F.lit(None))
 
     n_kept, d_kept, n_all, d_all = (int(t[c] or 0) for c in ("n_kept", "d_kept", "n_all", "d_all"))
-    counts = materialize(both.mapInArrow(_held_counts(order, d_kept, n_kept, deleted), "data array<binary>"), "held")
+    lost = both.filter(F.array_contains("fold", deleted))  # these blocks have no other documents
+    counts = materialize(lost.mapInArrow(_held_counts(order, d_kept, n_kept, held, deleted), "data array<binary>"), "held")
     weights = learn_weights(counts, order, n_kept, v["kept"], rounds)
-    s = both.mapInArrow(_score(order, weights, d_all, n_all, v["all"]), "row long, doc_id long, fold int, n_tokens long, n_known long, base_score double, score double")
+    s = both.mapInArrow(_score(order, weights, d_all, n_all, v["all"], held, deleted), "row long, doc_id long, fold int, n_tokens long, n_known long, base_score double, score double")
     s = s.groupBy("row").agg(F.first("doc_id").alias("doc_id"), (F.first("fold") == held).alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     return s.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
