@@ -7,6 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .schema import let, whole_json
+
 # Results must carry these texts as they are.
 KB_QUERY = "%s architecture %s threat vulnerability mitigation. Attack vector: %s. NIST OWASP security controls guidelines."
 TOPOLOGY_TITLE = "Architecture Topology Context:\n"
@@ -76,10 +78,18 @@ def clean_llm_json(c: Column) -> Column:
 
 def fenced(c: Column, fence: str) -> Column:
     """What stands between the first ``fence`` and the next bare one; up to the last but one character without."""
+
+    def behind(rest: Column) -> Column:
+        close = lambda at: F.substring(rest, F.lit(1), F.when(at > 0, at - 1).otherwise(F.greatest(F.length(rest) - 1, F.lit(0))))
+        return strip(let(F.locate(FENCE, rest), close))
+
+    return let(F.substring(c, F.locate(fence, c) + len(fence), F.length(c)), behind)
+
+
+def closed(c: Column, fence: str) -> Column:
+    """Whether a bare fence follows the first ``fence``."""
     start = F.locate(fence, c) + len(fence)
-    close = F.locate(FENCE, F.substring(c, start, F.length(c)))
-    n = F.when(close > 0, close - 1).otherwise(F.greatest(F.length(c) - start, F.lit(0)))
-    return strip(F.substring(c, start, n))
+    return (F.locate(fence, c) > 0) & (F.locate(FENCE, F.substring(c, start, F.length(c))) > 0)
 
 
 def fenced_json(c: Column) -> Column:
@@ -94,7 +104,8 @@ def says_valid(c: Column) -> Column:
 
 
 def is_json(c: Column) -> Column:
-    return F.try_parse_json(c).isNotNull()
+    """Whether all of a text is one JSON value."""
+    return whole_json(c).isNotNull()
 
 
 def truthy(v: Column) -> Column:

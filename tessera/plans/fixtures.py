@@ -115,54 +115,77 @@ def _json(**fields) -> F.Column:
 
 
 def threat_replies(spark, d):
-    """(event_id, reply): lists of one threat, of several in a fence, with an item that is no object, an object, no JSON."""
+    """(event_id, reply): lists of one threat, of several in a fence, with an item that is no object, an object, no JSON; lists
+    behind words or JSON, before words, and in a fence that is not closed."""
     i, t = F.col("event_id"), F.col("event_type")
     one = _json(threat_id=F.concat(F.lit("E"), i.cast("string")), category=t, target_component=F.concat(F.lit("user-"), F.col("user_id").cast("string")), attack_vector=F.col("props"), cvss_estimate=F.col("value"), confidence=F.lit(0.9))
     three = F.concat(F.lit("so:\n```json\n["), _json(target_component=t), F.lit(', {"cvss_estimate": "high"}, {"threat_id": null, "cvss_estimate": "7"}]\n```'))
-    k = i % 5
-    r = F.when(k == 0, F.concat(F.lit("["), one, F.lit("]"))).when(k == 1, three).when(k == 2, F.concat(F.lit("[1, "), one, F.lit("]"))).when(k == 3, one).otherwise("no json")
+    k, fence = i % 10, F.concat(F.lit("```json\n["), one, F.lit("]\n```"))
+    r = F.when(k == 0, F.concat(F.lit("["), one, F.lit("]"))).when(k == 1, three).when(k == 2, F.concat(F.lit("[1, "), one, F.lit("]"))).when(k == 3, one)
+    r = r.when(k == 4, F.concat(F.lit("3 threats found:\n"), fence)).when(k == 5, F.concat(F.lit('{"a":1} then '), fence)).when(k == 6, F.concat(F.lit('"x" and '), fence))
+    r = r.when(k == 7, F.concat(F.lit("["), one, F.lit("] and more"))).when(k == 8, F.concat(F.lit("```\n["), one, F.lit("]"))).otherwise("no json")
     return table(spark, d, "events").select("event_id", r.alias("reply"))
 
 
 def feedback_replies(spark, d):
-    """(doc_id, reply): a list in a fence, a number for the verdict, a text for it, no JSON that says valid, and nothing."""
+    """(doc_id, reply): a list in a fence, a number for the verdict, a text for it, no JSON that says valid, and nothing; texts
+    that begin as JSON and say valid, and keys with null and other kinds of values."""
     i, q = F.col("doc_id"), F.col("quality")
     whole = _json(is_valid=q == 1, validation_reason=F.col("text"), adjusted_severity=F.lit("Critical"), citation_reference=F.col("source"))
-    k = i % 5
+    k = i % 9
     r = F.when(k == 0, F.concat(F.lit("```json\n["), whole, F.lit("]\n```"))).when(k == 1, _json(is_valid=q)).when(k == 2, F.concat(F.lit("```\n"), _json(is_valid=F.lit("false"), adjusted_severity=F.lit("Low")), F.lit("\n```")))
-    r = r.when(k == 3, F.concat(F.lit("I find Is_Valid: TRUE in "), i.cast("string"))).otherwise("nothing")
+    r = r.when(k == 3, F.concat(F.lit("I find Is_Valid: TRUE in "), i.cast("string"))).when(k == 4, "nothing").when(k == 5, F.lit('"is_valid": true')).when(k == 6, F.lit("true, so is_valid: true"))
+    r = r.when(k == 7, F.concat(F.lit('{"is_valid": null, "validation_reason": null, "adjusted_severity": null, "citation_reference": true, "n": '), i.cast("string"), F.lit("}"))).otherwise('{"is_valid": true} or not')
     return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("doc_id", r.alias("reply"))
 
 
 def recommendation_replies(spark, d):
-    """(event_id, reply): one full recommendation and an empty one, one in a fence, and no JSON."""
+    """(event_id, reply): one full recommendation and an empty one, one in a fence, no JSON, one behind words, one in a fence that
+    is not closed, a severity of null, keys with null and a single citation, an item that is no object."""
     i = F.col("event_id")
     full = _json(threat_id=F.concat(F.lit("E"), i.cast("string")), category=F.col("event_type"), target_component=F.lit("API"), severity=F.lit("Critical"), attack_vector=F.col("props"),
                  mitigation_strategy=F.lit("rotate keys"), citations=F.array(F.lit("A"), F.col("event_type")))
-    k = i % 3
-    r = F.when(k == 0, F.concat(F.lit('{"recommendations":['), full, F.lit(",{}]}"))).when(k == 1, F.concat(F.lit("x ```json "), F.lit('{"recommendations":[{"threat_id":"T"}]} ```'))).otherwise("none")
-    return table(spark, d, "events").select("event_id", r.alias("reply"))
+    k, report = i % 8, F.concat(F.lit('{"recommendations":['), full, F.lit("]}"))
+    r = F.when(k == 0, F.concat(F.lit('{"recommendations":['), full, F.lit(",{}]}"))).when(k == 1, F.concat(F.lit("x ```json "), F.lit('{"recommendations":[{"threat_id":"T"}]} ```'))).when(k == 2, "none")
+    r = r.when(k == 3, F.concat(F.lit("2 items\n```json\n"), report, F.lit("\n```"))).when(k == 4, F.concat(F.lit("```json\n"), report, F.lit(" "))).when(k == 5, '{"recommendations":[{"severity":null}]}')
+    r = r.when(k == 6, F.concat(F.lit('{"critical_count":2,"executive_summary":"of '), i.cast("string"), F.lit('","recommendations":[{"threat_id":"N","category":null,"mitigation_strategy":null,"citations":"A"}, {"citations":null}]}')))
+    return table(spark, d, "events").select("event_id", r.otherwise('{"recommendations":[1, {}]}').alias("reply"))
 
 
 def requirement_replies(spark, d):
-    """(doc_id, reply): two requirements in a fence, one, one without its rule, no JSON, an empty list."""
+    """(doc_id, reply): two requirements in a fence, one, one without its rule, no JSON, an empty list; a title that is a number,
+    a rule that is an object, words behind the JSON, a parent that is a number."""
     i = F.col("doc_id")
     one = _json(title=F.concat(F.lit("R"), i.cast("string")), actionable_rule=F.col("text"))
     child = _json(title=F.lit("C"), actionable_rule=F.coalesce(F.col("source"), F.lit("-")), is_child_of=F.concat(F.lit("R"), i.cast("string")))
-    k = i % 5
+    k = i % 9
     r = F.when(k == 0, F.concat(F.lit('```json\n{"requirements":['), one, F.lit(","), child, F.lit("]}\n```"))).when(k == 1, F.concat(F.lit('{"requirements":['), one, F.lit("]}")))
-    r = r.when(k == 2, F.lit('{"requirements":[{"title":"T"}]}')).when(k == 3, "none").otherwise('{"requirements":[]}')
+    r = r.when(k == 2, F.lit('{"requirements":[{"title":"T"}]}')).when(k == 3, "none").when(k == 4, F.lit('{"requirements":[]}')).when(k == 5, F.lit('{"requirements":[{"title":5,"actionable_rule":"a"}]}'))
+    r = r.when(k == 6, F.lit('{"requirements":[{"title":"T","actionable_rule":{"x":1}}]}')).when(k == 7, F.concat(F.lit('{"requirements":['), one, F.lit("]} done")))
+    r = r.otherwise(F.concat(F.lit('{"requirements":['), child, F.lit(',{"title":"T","actionable_rule":"a","is_child_of":null},{"title":"T","actionable_rule":"a","is_child_of":3}]}')))
     return table(spark, d, "documents").select("doc_id", r.alias("reply"))
 
 
 def graph_replies(spark, d):
-    """(s_suppkey, reply): a supplier, its nation and the edge between them; every third lacks a field, every third is fenced."""
+    """(s_suppkey, reply): a supplier, its nation and the edge between them, of six replies one plain and one fenced; the others
+    lack a field, have a number for a name, no edges, and words around."""
     s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     e = lambda n, t: F.struct(F.col(n).alias("name"), F.lit(t).alias("type"), F.lit("d").alias("description"))
     good = _json(entities=F.array(e("s_name", "Supplier"), e("n_name", "Nation")), edges=F.array(F.struct(
         F.col("s_name").alias("source_entity"), F.col("n_name").alias("target_entity"), F.lit("IN").alias("relation_type"), F.lit("d").alias("description"))))
-    k = F.col("s_suppkey") % 3
-    return s.select("s_suppkey", F.when(k == 0, good).when(k == 1, F.concat(F.lit("```json"), good, F.lit("```"))).otherwise('{"entities":[{"name":"a"}],"edges":[]}').alias("reply"))
+    k = F.col("s_suppkey") % 6
+    r = F.when(k == 0, good).when(k == 1, F.concat(F.lit("```json"), good, F.lit("```"))).when(k == 2, '{"entities":[{"name":"a"}],"edges":[]}').when(k == 3, '{"entities":[{"name":1,"type":"t","description":"d"}],"edges":[]}')
+    return s.select("s_suppkey", r.when(k == 4, '{"entities":[]}').otherwise(F.concat(F.lit("see "), good)).alias("reply"))
+
+
+def diagram_variants(spark, d):
+    """(r_regionkey, variant, reply): each region's diagram whole, with coordinates as text and as a number with a fraction of 0,
+    without coordinates, with a coordinate that is none or has a fraction, without a boundary's name, and with a flow that is none."""
+    c, r = "(?s)", F.col("reply")
+    swap = lambda old, new: F.regexp_replace(r, c + old, new)
+    ways = [r, swap('"ymin":(\\d+)', '"ymin":"$1"'), swap('"ymax":(\\d+)', '"ymax":$1.0'), swap('"coordinates":\\{[^}]*\\}', '"coordinates":{}'), swap('"ymin":\\d+', '"ymin":"x"'), swap('"xmax":(\\d+)', '"xmax":$1.5'),
+            swap('"boundary_name":"[^"]*",', ""), swap('"data_flows":\\[', '"data_flows":[7,')]
+    return diagram_replies(spark, d).select("r_regionkey", F.posexplode(F.array(*ways)).alias("variant", "reply"))
 
 
 def diagram_replies(spark, d):

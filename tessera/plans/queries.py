@@ -335,9 +335,19 @@ PARTS = """parts as (select n_name as name, 'Nation' as type, r_name as label, r
     union all select 'QQ#' || r_regionkey || '#ZZ', 'Zone', 'z', 'Unknown', 0, r_regionkey from region where r_regionkey in (select n_regionkey from nation))"""
 
 
-@query(f"with {PARTS} select r as r_regionkey, count(*)::int as components, count(*)::int as flows, 1 as boundaries from parts group by r")
+@query(f"""with {PARTS}, n as (select *, row_number() over (partition by r order by type, y) - 1 as pos from parts), m as (select r, count(*) as n from parts group by 1)
+    select r as r_regionkey, 'component' as part, pos::int as pos, name as a, type as b, type || '; ' || label as c, printf('%d %d %d %d', y, y, y, y) as d from n
+    union all select r, 'flow', case type when 'Nation' then pos else (select n - 1 from m where m.r = n.r) end::int, 'QQ#' || r || '#ZZ', case type when 'Nation' then name else 'NOWHERE' end, 'Reads', case when type = 'Nation' and y % 2 = 0 then 'TCP' else '' end || ' unidirectional' from n
+    union all select r, 'boundary', 0, zone, 'VPC', string_agg(name, '; ' order by pos), null from n where type = 'Nation' group by r, zone""")
 def diagram_parse(spark, d):
-    return _diagram(spark, d).select("r_regionkey", F.size("g.components").alias("components"), F.size("g.data_flows").alias("flows"), F.size("g.trust_boundaries").alias("boundaries"))
+    g = _diagram(spark, d)
+    one = lambda part, field, *values: g.select("r_regionkey", F.posexplode(f"g.{field}").alias("pos", "x")).select(
+        "r_regionkey", F.lit(part).alias("part"), "pos", *[v.alias(n) for v, n in zip(values, "abcd")])
+    x = lambda n: F.col(f"x.{n}")
+    at = F.format_string("%d %d %d %d", *[x(f"coordinates.{c}") for c in ("ymin", "xmin", "ymax", "xmax")])
+    return (one("component", "components", x("name"), x("type"), F.array_join(x("labels_on_box"), "; "), at)
+            .unionByName(one("flow", "data_flows", x("source"), x("target"), x("flow_label"), F.concat_ws(" ", x("protocol"), x("direction"))))
+            .unionByName(one("boundary", "trust_boundaries", x("boundary_name"), x("boundary_type"), F.array_join(x("contained_components"), "; "), F.lit(None).cast("string"))))
 
 
 @query(f"with {PARTS} select name, name || ' (' || type || '): ' || type || '; ' || label as embed_text from parts")
@@ -369,17 +379,35 @@ def vision_missed_edges(spark, d):
     return vision.missed_edges(_flows(spark, d), _components(spark, d).withColumnRenamed("name", "visual_name"))
 
 
-@query("select s_suppkey, 2 as entities, 1 as edges from supplier where s_suppkey % 3 <> 2")
+@query("""select s_suppkey, 'entity' as part, u.pos::int as pos, u.a, u.b, 'd' as c, null as d from supplier join nation on s_nationkey = n_nationkey, (values (0), (1)) p(k),
+        lateral (select p.k as pos, case p.k when 0 then s_name else n_name end as a, case p.k when 0 then 'Supplier' else 'Nation' end as b) u where s_suppkey % 6 < 2
+    union all select s_suppkey, 'edge', 0, s_name, n_name, 'IN', 'd' from supplier join nation on s_nationkey = n_nationkey where s_suppkey % 6 < 2""")
 def graph_parse(spark, d):
-    return llmjson.graph(X.graph_replies(spark, d)).select("s_suppkey", F.size("g.entities").alias("entities"), F.size("g.edges").alias("edges"))
+    g = llmjson.graph(X.graph_replies(spark, d))
+    e = g.select("s_suppkey", F.posexplode("g.entities").alias("pos", "x")).select("s_suppkey", F.lit("entity").alias("part"), "pos", F.col("x.name").alias("a"), F.col("x.type").alias("b"), F.col("x.description").alias("c"), F.lit(None).cast("string").alias("d"))
+    f = g.select("s_suppkey", F.posexplode("g.edges").alias("pos", "x")).select(
+        "s_suppkey", F.lit("edge").alias("part"), "pos", F.col("x.source_entity").alias("a"), F.col("x.target_entity").alias("b"), F.col("x.relation_type").alias("c"), F.col("x.description").alias("d"))
+    return e.unionByName(f)
 
 
-@query("""select doc_id, 0 as ord, 'R' || doc_id as title, text as actionable_rule, null as is_child_of from documents where doc_id % 5 in (0, 1) and text is not null
-    union all select doc_id, 1, 'C', coalesce(source, '-'), 'R' || doc_id from documents where doc_id % 5 = 0 and text is not null""")
+@query("""select doc_id, 0 as ord, 'R' || doc_id as title, text as actionable_rule, null as is_child_of from documents where doc_id % 9 in (0, 1) and text is not null
+    union all select doc_id, 1, 'C', coalesce(source, '-'), 'R' || doc_id from documents where doc_id % 9 = 0 and text is not null""")
 def requirements_parse(spark, d):
     return llmjson.requirements(X.requirement_replies(spark, d)).drop("reply")
 
 
+@query("""select 'requirements' as kind, doc_id as id, case doc_id % 9 when 2 then '$.requirements[0].actionable_rule: missing' when 3 then '$: not JSON' when 5 then '$.requirements[0].title: string expected'
+        when 6 then '$.requirements[0].actionable_rule: string expected' when 7 then '$: not JSON' else '$.requirements[2].is_child_of: string expected' end as reason from documents where doc_id % 9 not in (0, 1, 4)
+    union all select 'graph', s_suppkey, case s_suppkey % 6 when 2 then '$.entities[0].type: missing' when 3 then '$.entities[0].name: string expected' when 4 then '$.edges: missing' else '$: not JSON' end from supplier where s_suppkey % 6 > 1
+    union all select 'diagram', r * 10 + v, case v when 3 then '$.components[0].coordinates.ymin: missing' when 4 then '$.components[0].coordinates.ymin: whole number expected' when 5 then '$.components[0].coordinates.xmax: whole number expected'
+        when 6 then '$.trust_boundaries[0].boundary_name: missing' else '$.data_flows[0]: object expected' end from (select distinct n_regionkey as r from nation), range(3, 8) t(v)""")
+def reply_rejects(spark, d):
+    """Replies that do not fit their schema, and why."""
+    one = lambda name, t, schema, key: llmjson.rejects(t, schema).select(F.lit(name).alias("kind"), key.cast("long").alias("id"), "reason")
+    return (one("requirements", X.requirement_replies(spark, d), llmjson.REQUIREMENTS, F.col("doc_id")).unionByName(one("graph", X.graph_replies(spark, d), llmjson.GRAPH, F.col("s_suppkey")))
+            .unionByName(one("diagram", X.diagram_variants(spark, d), llmjson.DIAGRAM, F.col("r_regionkey") * 10 + F.col("variant"))))
+
+
 @query("select event_id, case event_id % 4 when 3 then 'no json' else trim(props) end as cleaned from events")
 def clean_llm_json(spark, d):
     return X.replies(spark, d).select("event_id", text.clean_llm_json(F.col("reply")).alias("cleaned"))
@@ -391,35 +419,43 @@ def fenced_json(spark, d):
     return X.replies(spark, d).select("event_id", j.alias("json"), text.is_json(j).alias("parses"))
 
 
-@query("select doc_id, doc_id % 5 = 3 as valid from documents join labels using (doc_id)")
+@query("select doc_id, doc_id % 9 in (3, 5, 6, 8) as valid from documents join labels using (doc_id)")
 def validity_fallback(spark, d):
     return X.feedback_replies(spark, d).select("doc_id", text.says_valid(F.col("reply")).alias("valid"))
 
 
-@query("""select event_id, 0 as pos, 'E' || event_id as threat_id, event_type as category, 'user-' || user_id as target_component, props as attack_vector, value as cvss_estimate, 0.9::double as confidence from events where event_id % 5 = 0
-    union all select event_id, 0, 'T-001', 'Elevation_of_Privilege', event_type, '', 5.0, 0.5 from events where event_id % 5 = 1
-    union all select event_id, 2, null, 'Elevation_of_Privilege', 'Unknown', '', 7.0, 0.5 from events where event_id % 5 = 1""")
+@query("""select event_id, 0 as pos, 'E' || event_id as threat_id, event_type as category, 'user-' || user_id as target_component, props as attack_vector, value as cvss_estimate, 0.9::double as confidence from events where event_id % 10 in (0, 4, 5, 6)
+    union all select event_id, 0, 'T-001', 'Elevation_of_Privilege', event_type, '', 5.0, 0.5 from events where event_id % 10 = 1
+    union all select event_id, 2, null, 'Elevation_of_Privilege', 'Unknown', '', 7.0, 0.5 from events where event_id % 10 = 1""")
 def threat_parse(spark, d):
     return llmjson.threats(X.threat_replies(spark, d)).drop("reply")
 
 
-@query("""with f as (select doc_id, doc_id % 5 as k, quality, text, source from documents join labels using (doc_id))
-    select doc_id, case k when 2 then true when 3 then true else quality = 1 end as is_valid,
-        case k when 0 then coalesce(text, 'No reason provided') when 3 then 'I find Is_Valid: TRUE in ' || doc_id else 'No reason provided' end as validation_reason,
-        case k when 0 then 'Critical' when 2 then 'Low' else 'High' end as adjusted_severity,
-        case k when 0 then coalesce(source, 'Unknown') when 3 then 'Extracted via regex fallback' else 'Unknown' end as citation_reference from f where k < 4""")
+@query("""with f as (select doc_id, doc_id % 9 as k, quality, text, source from documents join labels using (doc_id))
+    select doc_id, case when k in (2, 3, 5, 6) then true when k = 8 then true when k = 7 then false else quality = 1 end as is_valid,
+        case k when 0 then coalesce(text, 'No reason provided') when 3 then 'I find Is_Valid: TRUE in ' || doc_id when 5 then '"is_valid": true' when 6 then 'true, so is_valid: true' when 7 then 'None' when 8 then '{"is_valid": true} or not' else 'No reason provided' end as validation_reason,
+        case k when 0 then 'Critical' when 2 then 'Low' when 7 then null else 'High' end as adjusted_severity,
+        case when k = 0 then coalesce(source, 'Unknown') when k in (3, 5, 6, 8) then 'Extracted via regex fallback' when k = 7 then 'True' else 'Unknown' end as citation_reference from f where k <> 4""")
 def feedback_parse(spark, d):
     return llmjson.feedback(X.feedback_replies(spark, d)).drop("reply")
 
 
-@query("""select event_id, 0 as pos, 'E' || event_id as threat_id, event_type as category, 'API' as target_component, props as attack_vector, 'Critical' as severity, 'rotate keys' as mitigation_strategy, 'A, ' || event_type as citations from events where event_id % 3 = 0
-    union all select event_id, 1, '', 'Unknown', 'Unknown', '', 'High', '', '' from events where event_id % 3 = 0
-    union all select event_id, 0, 'T', 'Unknown', 'Unknown', '', 'High', '', '' from events where event_id % 3 = 1""")
+@query("""with full_ as (select event_id, 'E' || event_id as threat_id, event_type as category, 'API' as target_component, props as attack_vector, 'Critical' as severity, 'rotate keys' as mitigation_strategy, 'A, ' || event_type as citations, event_id % 8 as k from events)
+    select * exclude (k), 0 as pos from full_ where k in (0, 3)
+    union all select event_id, '', 'Unknown', 'Unknown', '', 'High', '', '', 1 from full_ where k = 0
+    union all select event_id, 'T', 'Unknown', 'Unknown', '', 'High', '', '', 0 from full_ where k = 1
+    union all select event_id, 'N', null, 'Unknown', '', 'High', null, 'A', 0 from full_ where k = 6
+    union all select event_id, '', 'Unknown', 'Unknown', '', 'High', '', null, 1 from full_ where k = 6""")
 def report_from_recommendations(spark, d):
     t = llmjson.recommendations(X.recommendation_replies(spark, d)).drop("reply")
     return t.withColumn("citations", F.array_join("citations", ", "))
 
 
+@query("select event_id, case when k = 6 then 'of ' || event_id end as executive_summary, case when k = 6 then '2' end as critical_count, null as total_threats from (select event_id, event_id % 8 as k from events) where k not in (2, 4)")
+def report_header(spark, d):
+    return llmjson.report_header(X.recommendation_replies(spark, d)).select("event_id", "executive_summary", "critical_count", "total_threats")
+
+
 @query("select threat_id, ordinal, is_valid from (select *, row_number() over (partition by threat_id order by ordinal desc) as r from fx_feedback) where r = 1", "fx_feedback")
 def feedback_last_wins(spark, d):
     return dedup.last_by(X.feedback(spark, d), ["threat_id"], "ordinal").select("threat_id", "ordinal", "is_valid")
