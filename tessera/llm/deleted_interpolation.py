@@ -27,7 +27,7 @@ from .common import materialize, materialize_bucketed, partitions
 from .wordhash import M1, mix
 
 ORDER = 3
-TOKENS = 1_000_000  # tokens of a block; a longer document goes on in the next, with its last words as context
+TOKENS = 750_000  # tokens of a block; a longer document goes on in the next, with its last words as context
 RANGE = 3_000_000  # n-grams of a range of the hash, about
 FOLDS, HELD, DELETED = 7, 2, 5  # remainders of crc32(id): never learned from; deleted from the counts for the weights
 ROUNDS, NEAR = 30, 1e-5  # rounds of expectation maximisation, at most; the gain for a token at which it ends

@@ -200,40 +200,53 @@ class SequenceReader:
         self.source.close()
 
 
-def _write_files(folder: str, tokenizer: str, end_id: int, length: int, batch_rows: int, roll: int, plain: bool):
+def _encode_rows(tokenizer: str, end_id: int, plain: bool, bounds: list[int]):
+    """Texts become ids before anything is moved: part (the range of the document's id; null ids are in the first), ids with the end."""
+
+    def run(batches):
+        enc = _encoder(tokenizer, plain)
+        end, edges = np.array([end_id], enc.type).tobytes(), np.array(bounds, np.int64)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2000):
+                some = batch.slice(lo, 2000)
+                ids = [x + end for x in enc.encode_all([t or "" for t in some.column("text").to_pylist()])]
+                doc = some.column("doc_id")
+                part = np.where(np.asarray(doc.is_null()), 0, np.searchsorted(edges, np.asarray(doc.fill_null(0)), "left"))
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), doc, some.column("h"), pa.array(ids, pa.binary())], names=["part", "doc_id", "h", "ids"])
+
+    return run
+
+
+def _write_files(folder: str, dtype: str, end_id: int, length: int, batch_rows: int, roll: int):
     class File:
-        def __init__(self, enc: _Encoder, part: int):
+        def __init__(self, part: int):
             # each attempt has files of its own; the index names those whose attempt succeeded
             self.part, self.uri = part, f"{folder}/part-{part:015d}-{uuid.uuid4().hex}.arrow"
             fs, path = _filesystem(self.uri)
             fs.create_dir(os.path.dirname(path), recursive=True)
             self.sink = fs.open_output_stream(path)
-            self.writer = SequenceWriter(self.sink, enc.type, length, batch_rows, end_id)
+            self.writer = SequenceWriter(self.sink, np.dtype(dtype), length, batch_rows, end_id)
 
         def close(self):
             self.writer.close()
             self.sink.close()
 
     def run(batches):
-        enc = _encoder(tokenizer, plain)
-        if end_id >= 1 << (8 * enc.type.itemsize):
-            raise ValueError("the end id does not fit the ids' type")
-        end = np.array([end_id], enc.type).tobytes()
+        size = np.dtype(dtype).itemsize
         part = TaskContext.get().partitionId() * FILES
         file, no = None, 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 some = batch.slice(lo, 2000)
                 uri, parts, at, n = [], [], [], []
-                for ids in enc.encode_all([t or "" for t in some.column("text").to_pylist()]):
-                    if file is not None and file.writer.total * enc.type.itemsize >= roll:
+                for ids in some.column("ids").to_pylist():
+                    if file is not None and file.writer.total * size >= roll:
                         file.close()
                         part, file = part + 1, None
                     if file is None:
-                        file = File(enc, part)
+                        file = File(part)
                     at.append(file.writer.total)
                     file.writer.add(ids)
-                    file.writer.add(end)
                     n.append(file.writer.total - at[-1])
                     uri.append(file.uri)
                     parts.append(part)
@@ -262,9 +275,15 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, length:
     spark = docs.sparkSession
     folder = folder or scratch(spark, "tokens")
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    n = partitions(spark)
-    d = d.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    index = materialize(d.mapInArrow(_write_files(folder, tokenizer, end_id, length, batch_rows, roll, plain), INDEX), "index")
+    n, kind = partitions(spark), _encoder(tokenizer, plain).type
+    if end_id >= 1 << (8 * kind.itemsize):
+        raise ValueError("the end id does not fit the ids' type")
+    # ranges come from the ids alone: a range shuffle would sample its input, and so encode it twice
+    at = [k / n for k in range(1, n)]
+    bounds = sorted(set(d.agg(F.percentile_approx("doc_id", at, 10_000)).first()[0] or [])) if at else []
+    d = d.withColumn("h", F.xxhash64("text")).mapInArrow(_encode_rows(tokenizer, end_id, plain, bounds), "part int, doc_id long, h long, ids binary")
+    d = d.repartitionById(n, "part").sortWithinPartitions("doc_id", "h").select("doc_id", "ids")
+    index = materialize(d.mapInArrow(_write_files(folder, kind.str, end_id, length, batch_rows, roll), INDEX), "index")
     w = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row for each file; ids grow with the number
     base = index.groupBy("part").agg(F.sum("n_tokens").alias("__n")).select("part", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__base"))
     return index.join(F.broadcast(base), "part").withColumn("start", F.col("__base") + F.col("at")).drop("__base")
