@@ -76,6 +76,9 @@ class Pair:
         e.clear()
         if e.cuts:
             e.learn(set(texts))
+            rest = [t for t in texts if t not in e.after and not t[0].isspace()]  # with line ends inside: many in one call
+            for t, x in zip(rest, self.a.encode_batch_fast([" " + t for t in rest], add_special_tokens=False)):
+                e.after[t] = np.array(x.ids, e.type).tobytes()
             ids = [e.literal(" " + t) if t[0].isspace() else e.after[t] for t in texts]
             a, n_a = np.frombuffer(b"".join(ids), e.type).astype(np.int64), np.array([len(x) // e.type.itemsize for x in ids], np.int64)
         else:
