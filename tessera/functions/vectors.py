@@ -54,14 +54,14 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int | None, block: int = BL
     def cut(d: DataFrame, name: str) -> DataFrame:
         d = d.filter("embedding IS NOT NULL").select(*[F.col(c).alias(c) for c in ("id", "category", "embedding")])
         n = d.groupBy("category").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(f"n_{name}"))
-        d = d.join(F.broadcast(n), "category")  # one row for each category
+        d = d.join(n, "category")  # one row for each category; small sides are broadcast as they turn out small
         return d.withColumn(name, F.pmod(F.xxhash64("id"), F.col(f"n_{name}")).cast("int"))
 
     q, b = cut(queries, "q"), cut(base, "b")
     counts = b.select("category", "n_b").distinct()
-    q = q.join(F.broadcast(counts), "category").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("n_b") - 1)))
+    q = q.join(counts, "category").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("n_b") - 1)))
     counts = q.select("category", "n_q").distinct()
-    b = b.join(F.broadcast(counts), "category").withColumn("q", F.explode(F.sequence(F.lit(0), F.col("n_q") - 1)))
+    b = b.join(counts, "category").withColumn("q", F.explode(F.sequence(F.lit(0), F.col("n_q") - 1)))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -82,11 +82,11 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int | None, block: int = BL
                 out.append(some if least is None else some[1.0 - some["distance"] >= least])
         return pd.concat(out)
 
-    kind = q.schema["id"].dataType.simpleString()
+    kind, other = (x.schema["id"].dataType.simpleString() for x in (q, b))
     b = b.toDF(*b.columns)
     keys = ["category", "q", "b"]
     some = q.select(*keys, "id", "embedding").groupBy(*keys).cogroup(b.select(*keys, "id", "embedding").groupBy(*keys)).applyInPandas(
-        best, f"id {kind}, other {kind}, distance double")
+        best, f"id {kind}, other {other}, distance double")
     if k is None:
         return some.withColumn("rk", F.lit(None).cast("int"))
     w = W.partitionBy("id").orderBy(F.col("distance").asc_nulls_last(), "other")

@@ -16,6 +16,9 @@ CTE = {
         union all select 'N' || n_nationkey, upper(n_name), 'Nation', null from nation""",
     "fx_edge": """select 'S' || s_suppkey as source_id, 'N' || s_nationkey as target_id, 'LOCATED_IN' as relation_type, 'nation ' || s_nationkey as description from supplier
         union all select distinct 'P' || l_partkey, 'S' || l_suppkey, 'SUPPLIED_BY', 'flag ' || l_returnflag from lineitem""",
+    "fx_docentity": """select 'S' || s_suppkey as id, upper(s_name) as name, 'src' || (s_suppkey % 20) as document_id, e.embedding from supplier left join embeddings e on e.vec_id = s_suppkey and s_suppkey % 3 <> 0
+        union all select 'N' || n_nationkey, upper(n_name), 'src' || (n_nationkey % 20), null from nation
+        union all select 'P' || p_partkey, upper(p_name || ' ' || p_partkey), 'src' || (p_partkey % 20), null from part""",
     "fx_boundary": """select r_name as boundary_name, 'Region' as boundary_type, n_name as component, n_nationkey as pos from nation join region on n_regionkey = r_regionkey""",
     "fx_threat": """select event_id, printf('T-%03d', event_id) as threat_id, event_type as category, 'user-' || user_id as target_component, props as attack_vector from events""",
     "fx_feedback": """select d.doc_id as ordinal, printf('T-%03d', d.doc_id // 3) as threat_id, l.quality = 1 as is_valid, d.text as validation_reason,
@@ -69,6 +72,16 @@ def entities(spark, d):
     return s.unionByName(p).unionByName(n)
 
 
+def document_entities(spark, d):
+    """Entities of documents: of suppliers two thirds have a vector."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("__k"), "embedding").filter("__k % 3 <> 0")
+    one = lambda t, letter, key, name: table(spark, d, t).select(F.concat(F.lit(letter), key).alias("id"), name.alias("name"), F.concat(F.lit("src"), (F.col(key) % 20).cast("string")).alias("document_id"), F.col(key).alias("__k"))
+    s = one("supplier", "S", "s_suppkey", F.upper("s_name")).join(e, "__k", "left")
+    none = F.lit(None).cast("array<float>").alias("embedding")
+    rest = one("nation", "N", "n_nationkey", F.upper("n_name")).unionByName(one("part", "P", "p_partkey", F.upper(F.concat("p_name", F.lit(" "), "p_partkey")))).select("*", none)
+    return s.unionByName(rest).drop("__k")
+
+
 def edges(spark, d):
     s = table(spark, d, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("source_id"), F.concat(F.lit("N"), "s_nationkey").alias("target_id"), F.lit("LOCATED_IN").alias("relation_type"),
                                            F.concat(F.lit("nation "), "s_nationkey").alias("description"))

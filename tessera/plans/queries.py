@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import llmjson, text
+from ..functions import index, llmjson, text
 from ..functions import vectors as V
 from ..functions.fuzzy import fuzzy_ratio
 from ..operators import debate, dedup, graph, hierarchy, retrieve, tree, validation, vision
@@ -48,6 +48,26 @@ def semantic_candidates(spark, d):
     return V.knn_join(v.filter("NOT in_kb"), v.filter("in_kb"), 5).select("id", "other", F.round("distance", 6).alias("distance"), F.col("rk").cast("long").alias("rk"))
 
 
+def _indexed(spark, d):
+    """All vectors in an index of one category, and every fiftieth as a query."""
+    v = X.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.lit("all").alias("category"), "embedding")
+    return v.filter("id % 50 = 0"), v, index.build(v)
+
+
+@query()
+def knn_index_search(spark, d):
+    """The five nearest by the index: for every fiftieth vector among all."""
+    q, _, i = _indexed(spark, d)
+    return index.search(q, i, 5).select("id", "other", F.round("distance", 6).alias("distance"), "rk")
+
+
+@query("select count(*) as queries, 5 * count(*) as wanted, true as enough from embeddings where vec_id % 50 = 0")
+def knn_index_recall(spark, d):
+    """Whether the index finds at least nine in ten of the five nearest that the exact search finds."""
+    q, v, i = _indexed(spark, d)
+    return index.recall(q, v, i, 5).select("queries", "wanted", (F.col("recall") >= 0.9).alias("enough"))
+
+
 SIMILARITY = "case when d is null then 0.0 when isnan(d) then 'NaN'::double else greatest(0.0, least(1.0, 1.0 - d)) end"
 
 
@@ -550,27 +570,58 @@ def final_report_fallback(spark, d):
 
 
 def verdicts(prompts: list[str]) -> list:
-    """A stand-in for an evaluator: by the last digit of the threat's id a failure, a rejection, or a word that it is valid."""
-    last = [p.split("ID: ")[1].split("\n")[0][-1] for p in prompts]
-    return [None if x == "7" else '{"is_valid": false, "validation_reason": "no"}' if x == "3" else "is_valid: true" for x in last]
+    """A stand-in for an evaluator: by the last digit of the threat's id no reply, a rejection, an error, or a word that it is valid."""
+    ids = [p.split("ID: ")[1].split("\n")[0] for p in prompts]
+    for i in ids:
+        if i[-1] == "9":
+            raise TimeoutError(f"{i} waited in vain " + "." * 100)
+    return [None if i[-1] == "7" else '{"is_valid": false, "validation_reason": "no"}' if i[-1] == "3" else "is_valid: true" for i in ids]
 
 
 @query(f"""with near as (select q.vec_id as event_id, k.id as other, row_number() over (partition by q.vec_id order by {DIST.format('q.embedding', 'k.embedding')} nulls last, k.id) as rk
-        from embeddings q join fx_node k on k.embedding is not null), c as (select event_id, string_agg(coalesce(n.text_content, ''), chr(10) || chr(10) order by rk) as c from near join fx_node n on n.id = other where rk <= 5 group by 1)
+        from embeddings q join fx_node k on true), c as (select event_id, string_agg(coalesce(n.text_content, ''), chr(10) || chr(10) order by rk) as c from near join fx_node n on n.id = other where rk <= 5 group by 1)
     select t.event_id, sha256(coalesce(c.c, '(No knowledge base results available)')) as context_sha256 from fx_threat t left join c using (event_id)""", "fx_threat", "fx_node")
 def threat_context(spark, d):
     return validation.with_context(_threat_vectors(spark, d), X.nodes(spark, d)).select("event_id", F.sha2("kb_context", 256).alias("context_sha256"))
 
 
+MANY = f"""q as (select vec_id as qid, 'src' || (vec_id % 20) as document_id, embedding from embeddings where vec_id in (select event_id from events)),
+    n as (select q.qid, n.text_content as text, round({DIST.format('q.embedding', 'n.embedding')}, 6) as distance, row_number() over (partition by q.qid order by {DIST.format('q.embedding', 'n.embedding')} nulls last, n.id) - 1 as ord from q join fx_node n using (document_id)),
+    h as (select qid, id from (select q.qid, e.id, row_number() over (partition by q.qid order by {DIST.format('q.embedding', 'e.embedding')} nulls last, e.id) as r from q join fx_docentity e using (document_id)) where r <= 3),
+    x as (select distinct h.qid, {EDGE} as edge from h join fx_edge e on e.source_id = h.id or e.target_id = h.id join fx_docentity s on s.id = e.source_id join fx_docentity t on t.id = e.target_id),
+    found as (select qid, ord::int as ord, text, distance from n where ord < 5 union all select qid, 5, 'Architecture Topology Context:' || chr(10) || string_agg(edge, chr(10) order by edge), null from x group by qid)"""
+
+
+def _many(spark, d):
+    """Queries within documents: the vectors of threats."""
+    q = _threat_vectors(spark, d).select(F.col("event_id").alias("qid"), F.concat(F.lit("src"), (F.col("event_id") % 20).cast("string")).alias("document_id"), "embedding")
+    return q, X.nodes(spark, d), X.document_entities(spark, d), X.edges(spark, d)
+
+
+@query(f"with {MANY} select qid, ord, sha256(coalesce(text, '')) as text_sha256, length(text)::int as chars, distance from found", "fx_node", "fx_docentity", "fx_edge")
+def hybrid_many(spark, d):
+    """Hybrid retrieval for all threats at once, each in its document."""
+    f = retrieve.hybrid_many(*_many(spark, d))
+    return f.select("qid", "ord", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), F.length("text").alias("chars"), F.round("distance", 6).alias("distance"))
+
+
+@query(f"with {MANY} select qid, left(string_agg(coalesce(text, ''), chr(10) || chr(10) order by ord), 1500) as context from found group by 1", "fx_node", "fx_docentity", "fx_edge")
+def critic_contexts(spark, d):
+    """What the evaluator reads for each threat, cut before anything is sent."""
+    return retrieve.contexts(retrieve.hybrid_many(*_many(spark, d), chars=1500), 1500)
+
+
 def _threat_vectors(spark, d):
     e = X.table(spark, d, "embeddings").select(F.col("vec_id").alias("event_id"), "embedding")
     return X.threats(spark, d).join(e, "event_id", "left")
 
 
-@query("""select event_id, threat_id, event_id % 10 <> 3 as is_valid, case event_id % 10 when 7 then 'LLM evaluation failed, assuming valid: no reply' when 3 then 'no' else 'is_valid: true' end as validation_reason, 'High' as adjusted_severity,
-    case event_id % 10 when 7 then 'Manual review required' when 3 then 'Unknown' else 'Extracted via regex fallback' end as citation_reference, 1 as recursion_iteration from fx_threat""", "fx_threat")
+@query("""select event_id, threat_id, event_id % 10 <> 3 as is_valid, case event_id % 10 when 7 then 'LLM evaluation failed, assuming valid: no reply' when 9 then 'LLM evaluation failed, assuming valid: ' || left(threat_id || ' waited in vain ' || repeat('.', 100), 100)
+    when 3 then 'no' else 'is_valid: true' end as validation_reason, 'High' as adjusted_severity, case when event_id % 10 in (7, 9) then 'Manual review required' when event_id % 10 = 3 then 'Unknown' else 'Extracted via regex fallback' end as citation_reference,
+    1 as recursion_iteration from fx_threat""", "fx_threat")
 def validate_threats(spark, d):
-    return validation.validate(_threat_vectors(spark, d), X.nodes(spark, d), verdicts, "topology", 1)
+    t = _threat_vectors(spark, d).withColumn("document_id", F.concat(F.lit("src"), (F.col("event_id") % 20).cast("string")))
+    return validation.validate(t, X.nodes(spark, d), verdicts, "topology", 1, entities=X.document_entities(spark, d), edges=X.edges(spark, d))
 
 
 @query()

@@ -16,19 +16,44 @@ DIMENSIONS = 768
 TEXT_BUDGET = 100_000
 
 
-def map_text(d: DataFrame, column: str, out: str, kind: str, call: Callable[[list[str]], list]) -> DataFrame:
+def isolated(call: Callable[[list], list], texts: list) -> list[tuple]:
+    """(result, None) for each text, or (None, what went wrong): a batch that fails is halved until single texts fail, so one
+    bad text costs about two calls for each halving, and no other text its result."""
+    if not texts:
+        return []
+    try:
+        got = list(call(texts))
+        if len(got) != len(texts):
+            raise ValueError(f"{len(got)} replies to {len(texts)} texts")
+        return [(x, None) for x in got]
+    except Exception as e:  # whatever a model raises is a result of its text
+        if len(texts) == 1:
+            return [(None, str(e) or type(e).__name__)]
+    half = len(texts) // 2
+    return isolated(call, texts[:half]) + isolated(call, texts[half:])
+
+
+def map_text(d: DataFrame, column: str, out: str, kind: str, call: Callable[[list[str]], list], error: str | None = None) -> DataFrame:
     """``d`` with ``out``: what ``call`` gives for a batch of texts; null texts give null. ``call`` must give the same
-    for the same text, since a lost executor asks again."""
+    for the same text, since a lost executor asks again. With ``error``, a column of that name, a failure of ``call`` is
+    the result of the texts that it fails on; without, it ends the job."""
 
     def run(batches: Iterable[pd.DataFrame]):
         for b in batches:
             known = b[column].notna().to_numpy()
-            got = iter(call(b.loc[known, column].tolist()) if known.any() else [])
-            b[out] = [next(got) if k else None for k in known]
+            texts = b.loc[known, column].tolist()
+            if error:
+                got = iter(isolated(call, texts))
+                pairs = [next(got) if k else (None, None) for k in known]
+                b[out], b[error] = [p[0] for p in pairs], pd.Series([p[1] for p in pairs], index=b.index, dtype="object")
+            else:
+                got = iter(call(texts) if texts else [])
+                b[out] = [next(got) if k else None for k in known]
             yield b
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name != out)
-    return d.drop(out).mapInPandas(run, f"{fields}, `{out}` {kind}")
+    d = d.drop(out, error) if error else d.drop(out)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema] + [f"`{out}` {kind}"] + ([f"`{error}` string"] if error else [])
+    return d.mapInPandas(run, ", ".join(fields))
 
 
 def hash_embedding(texts: list[str], dimensions: int = DIMENSIONS) -> list[list[float]]:
