@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.fuzzy import fuzzy_ratio, ratio
+from ..functions.fuzzy import reaches
 from ..functions.text import normalize_text
 from ..functions.vectors import clamp_similarity, knn_join
+from .rounds import checkpointed
 
 EXACT, SEMANTIC, TITLE, NEAREST = 1.0, 0.90, 0.75, 5
 
@@ -25,55 +27,82 @@ def semantic_matches(incoming: DataFrame, kb: DataFrame, semantic: float = SEMAN
     """(id, other, similarity): of the k nearest rows, cut before any test, the nearest that passes both."""
     near = knn_join(incoming, kb, k).withColumn("similarity", clamp_similarity(F.col("distance"))).filter(F.col("similarity") >= semantic)
     t = near.join(incoming.select("id", F.col("title").alias("t1")), "id").join(kb.select(F.col("id").alias("other"), F.col("title").alias("t2")), "other")
-    t = t.filter(fuzzy_ratio(normalize_text(F.col("t1")), normalize_text(F.col("t2"))) >= title)
+    t = t.filter(reaches(normalize_text(F.col("t1")), normalize_text(F.col("t2")), title))
     best = t.groupBy("id").agg(F.min(F.struct("rk", "other", "similarity")).alias("b"))
     return best.select("id", "b.other", "b.similarity")
 
 
+def fold_candidates(incoming: DataFrame, kb: DataFrame, semantic: float = SEMANTIC, title: float = TITLE, k: int = NEAREST) -> DataFrame:
+    """(id, other, own, distance, passes): what each incoming row could be merged into: of its k nearest rows of the knowledge base
+    those that are close, and the close ones among earlier incoming rows with another key; ``passes`` if the titles do too."""
+    near = knn_join(incoming, kb, k).filter(clamp_similarity(F.col("distance")) >= semantic).select("id", "other", F.lit(False).alias("own"), "distance")
+    # the k nearest among earlier rows may not do: some of them are never inserted; so all close ones are kept
+    close = knn_join(incoming, incoming, None, least=semantic).filter("id > other").select("id", "other", F.lit(True).alias("own"), "distance")
+    keys = incoming.select("id", _key().alias("key"), normalize_text(F.col("title")).alias("t"))
+    a = keys.select("id", F.col("key").alias("k1"), F.col("t").alias("t1"))
+    mine = keys.select(F.col("id").alias("other"), F.lit(True).alias("own"), F.col("key").alias("k2"), F.col("t").alias("t2"))
+    theirs = kb.select(F.col("id").alias("other"), F.lit(False).alias("own"), F.lit("").alias("k2"), normalize_text(F.col("title")).alias("t2"))
+    c = near.unionByName(close).join(mine.unionByName(theirs), ["other", "own"]).join(a, "id").filter("k1 <> k2")  # equal keys are exact matches or nothing
+    return c.select("id", "other", "own", "distance", reaches("t1", "t2", title).alias("passes"))
+
+
+def _key():
+    return F.sha2(F.concat_ws("\x1f", normalize_text(F.col("title")), normalize_text(F.col("rule"))), 256)
+
+
 def fold_decisions(incoming: DataFrame, kb: DataFrame, semantic: float = SEMANTIC, title: float = TITLE, k: int = NEAREST) -> DataFrame:
     """(id, category, decision, node_id, similarity): decisions in the order of ids within a category, an inserted row being
     visible to all after it.
 
-    What can be decided in parallel is: exact matches with the knowledge base, the k nearest there, and, among
-    incoming rows, equal keys and pairs close enough. Only these candidates go through the ordered fold, which
-    is sequential within a category by definition.
+    The order is a dependency of few rows on few others, so the fold runs in rounds of joins, all rows side by side. A row is
+    decided as soon as no earlier undecided row can change its decision: it is skipped if its key was inserted, merged if
+    its nearest visible candidate stands among the k nearest and no undecided one stands before it, inserted if none can
+    be eligible. The first undecided row of a category always is, so the rounds end; how many there are follows from the
+    longest chain of close rows, not from their number. Copies of one row with one vector do not wait for each other
+    where a merge is sure. Nothing is collected for a category or a row.
     """
-    exact = exact_matches(incoming, kb).withColumnRenamed("node_id", "exact_id")
-    near = knn_join(incoming, kb, k).filter(clamp_similarity(F.col("distance")) >= semantic)
-    near = near.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("distance", "other"))).alias("near"))
-    # the k nearest among earlier rows may not do: some of them are never inserted; so all close ones are kept
-    own = knn_join(incoming, incoming, None, least=semantic).filter("id > other")
-    own = own.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("distance", "other"))).alias("own"))
-    titles = kb.select(F.col("id").alias("other"), F.col("title"))
-    t = near.select("id", F.explode("near").alias("n")).select("id", "n.other").join(titles, "other").groupBy("id").agg(
-        F.map_from_entries(F.collect_list(F.struct("other", normalize_text(F.col("title"))))).alias("titles"))
-    key = F.sha2(F.concat_ws("\x1f", normalize_text(F.col("title")), normalize_text(F.col("rule"))), 256)
-    d = incoming.select("id", "category", normalize_text(F.col("title")).alias("title"), key.alias("key"))
-    d = d.join(exact, "id", "left").join(near, "id", "left").join(own, "id", "left").join(t, "id", "left")
-
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("id")
-        title_of, inserted, keys, out = dict(zip(g["id"], g["title"])), set(), {}, []
-        for r in g.itertuples():
-            if not pd.isna(r.exact_id):
-                out.append((r.id, r.category, "SKIP", r.exact_id, 1.0))
-                continue
-            if r.key in keys:
-                out.append((r.id, r.category, "SKIP", keys[r.key], 1.0))
-                continue
-            known = {} if r.titles is None else dict(r.titles)
-            found = [(x["distance"], x["other"], known.get(x["other"])) for x in (r.near if r.near is not None else [])]
-            found += [(x["distance"], x["other"], title_of[x["other"]]) for x in (r.own if r.own is not None else []) if x["other"] in inserted]
-            best = next(((x, d) for d, x, t in sorted(found, key=lambda f: (f[0], f[1]))[:k] if ratio(r.title, t) >= title), None)
-            if best and 1.0 - best[1] > 0:
-                out.append((r.id, r.category, "MERGE", best[0], round(min(1.0, 1.0 - best[1]), 4)))
-            else:
-                out.append((r.id, r.category, "INSERT", r.id, None))
-                inserted.add(r.id)
-                keys[r.key] = r.id
-        return pd.DataFrame(out, columns=["id", "category", "decision", "node_id", "similarity"]).astype({"similarity": "float64"})
-
-    return d.groupBy("category").applyInPandas(fold, "id long, category string, decision string, node_id long, similarity double")
+    d = incoming.select("id", "category", _key().alias("key"), F.xxhash64("embedding").alias("v"))
+    exact = exact_matches(incoming, kb)
+    d = d.join(exact, "id", "left")
+    # copies that come after a row of their key: whether all rows of the key have one vector
+    same = d.filter("node_id IS NULL").groupBy("category", "key").agg((F.min("v") == F.max("v")).alias("alike"), F.count(F.lit(1)).alias("n"))
+    d = d.join(same, ["category", "key"], "left")
+    out = ["id", "category", "decision", "node_id", "similarity"]
+    decided = d.filter("node_id IS NOT NULL").select("id", "category", F.lit("SKIP").alias("decision"), "node_id", F.lit(1.0).alias("similarity"))
+    left = checkpointed(d.filter("node_id IS NULL").select("id", "category", "key", F.col("n").alias("copies"), "alike"))
+    skipped = decided.select("id")
+    # seen: what is still to be told of candidates; a candidate that was skipped or merged is none
+    seen = checkpointed(fold_candidates(incoming, kb, semantic, title, k).join(skipped, "id", "left_anti").join(
+        skipped.select(F.col("id").alias("other"), F.lit(True).alias("own")), ["other", "own"], "left_anti").withColumn("visible", ~F.col("own")))
+    inserted = left.select("category", "key", F.lit(None).cast("long").alias("node_id")).limit(0)  # keys inserted so far
+    parts = [decided]
+    while left.limit(1).count():
+        order = W.partitionBy("id").orderBy("distance", "other", "own")
+        c = seen.withColumn("rk", F.row_number().over(order))
+        c = c.withColumn("before", F.sum(F.col("visible").cast("int")).over(order.rowsBetween(W.unboundedPreceding, -1)))
+        of = c.groupBy("id").agg(
+            F.min(F.when(F.col("visible") & F.col("passes"), F.struct("rk", "other", "own", "distance"))).alias("best"),
+            F.min(F.when(~F.col("visible") & F.col("passes"), F.col("rk"))).alias("unknown"),
+            F.coalesce(F.bool_or(F.col("passes") & (F.coalesce("before", F.lit(0)) < k)), F.lit(False)).alias("hope"))
+        r = left.join(of, "id", "left").join(inserted, ["category", "key"], "left")
+        first = left.groupBy("category", "key").agg(F.min("id").alias("first"))  # of undecided rows with a key
+        r = r.join(first, ["category", "key"])
+        waits = F.col("first") < F.col("id")
+        # best stands for sure among the k nearest, and nothing can come before it
+        merge = F.col("best").isNotNull() & (F.col("best.rk") <= k) & (F.col("unknown").isNull() | (F.col("best.rk") < F.col("unknown")))
+        alike = F.col("alike") & (~F.col("best.own") | (F.col("best.other") < F.col("first")))
+        similarity = F.least(F.lit(1.0), 1.0 - F.col("best.distance"))
+        does = F.when(F.col("node_id").isNotNull(), "SKIP").when(waits & ~F.coalesce(merge & alike, F.lit(False)), None).when(merge & (similarity > 0), "MERGE").when(merge | ~F.coalesce("hope", F.lit(False)), "INSERT")
+        r = r.withColumn("decision", does).filter("decision IS NOT NULL")
+        now = checkpointed(r.select("id", "category", "key", "decision", F.coalesce("node_id", F.when(F.col("decision") == "MERGE", F.col("best.other")).otherwise(F.col("id"))).alias("node_id"),
+                                    F.when(F.col("decision") == "SKIP", 1.0).when(F.col("decision") == "MERGE", F.round(similarity, 4)).alias("similarity")))
+        parts.append(now.select(*out))
+        inserted = checkpointed(inserted.unionByName(now.filter("decision = 'INSERT'").select("category", "key", "node_id")))
+        left = checkpointed(left.join(now.select("id"), "id", "left_anti"))
+        told = now.select(F.col("id").alias("other"), F.lit(True).alias("own"), (F.col("decision") == "INSERT").alias("__in"))
+        seen = seen.join(now.select("id"), "id", "left_anti").join(told, ["other", "own"], "left").filter("__in IS NULL OR __in")
+        seen = checkpointed(seen.withColumn("visible", F.col("visible") | F.col("__in").isNotNull()).drop("__in"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def decision_counts(decisions: DataFrame) -> DataFrame:

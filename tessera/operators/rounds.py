@@ -3,21 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def checkpointed(d: DataFrame) -> DataFrame:
-    """``d`` written to the checkpoint folder and read from there: lineage ends, and lost executors cost nothing before it."""
-    sc = d.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        path = d.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not path and not sc.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; a local session without the setting gets a temporary one."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="tessera-"))
-    return d.checkpoint()
+        path = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
+def checkpointed(d: DataFrame) -> DataFrame:
+    """``d`` written as Parquet to the shared folder and read from there: it is worked out once, lineage ends, and lost executors
+    cost nothing before it."""
+    path = f"{shared_folder(d.sparkSession)}/step-{uuid.uuid4().hex}"
+    d.write.parquet(path)
+    return d.sparkSession.read.schema(d.schema).parquet(path)
 
 
 def ordinals(d: DataFrame, *order: str, out: str = "ord") -> DataFrame:

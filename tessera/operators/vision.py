@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.fuzzy import fuzzy_ratio, ratio
+from ..functions.fuzzy import best_matches, fuzzy_ratio
 from ..functions.text import BOUNDARY_TITLE, boundary_sentence, canonical_name, key_id
 from .dedup import last_by
 
@@ -23,27 +23,31 @@ def trust_zones(components: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def fuzzy_match(found: DataFrame, known: DataFrame, threshold: float = THRESHOLD, block: int = 5_000) -> DataFrame:
-    """(name, match, score): the most similar known name of each found one, the first of equals, if it reaches the threshold.
+    """(name, match, score, verified): the most similar known name of each found one, the first of equals, if it reaches the
+    threshold; ``verified`` counts the pairs of its block that had to be matched character by character.
 
-    ``known`` has (ord, name). Found names meet the known ones in blocks; each block gives only its best.
+    ``known`` has (ord, name). Found names meet the known ones in blocks; each block gives only its best, and matches only
+    pairs that share enough characters to be it.
     """
-    f = found.select(F.col("name")).distinct().withColumn("__c", canonical_name(F.col("name")))
-    n = known.count()
-    blocks = max(1, -(-n // block))
-    f = f.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    k = known.select("ord", F.col("name").alias("match"), canonical_name(F.col("name")).alias("__k"), F.pmod(F.xxhash64("ord"), F.lit(blocks)).cast("int").alias("__b"))
+    f = found.select(F.col("name")).distinct().withColumn("__c", canonical_name(F.col("name"))).filter("__c IS NOT NULL")
+    n, m = known.count(), f.count()
+    blocks, rows = max(1, -(-n // block)), max(1, -(-m // block))
+    f = f.withColumn("__a", F.pmod(F.xxhash64("name"), F.lit(rows)).cast("int")).withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    k = known.filter("name IS NOT NULL").select("ord", F.col("name").alias("match"), canonical_name(F.col("name")).alias("__k"), F.pmod(F.xxhash64("ord"), F.lit(blocks)).cast("int").alias("__b"))
+    k = k.withColumn("__a", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         b, out = b.sort_values("ord"), []
-        for name, c in zip(a["name"], a["__c"]):
-            top = max(((ratio(c, x), -o, m) for x, o, m in zip(b["__k"], b["ord"], b["match"])), default=None, key=lambda r: r[:2])
-            if top and top[0] >= threshold:
-                out.append((name, top[2], top[0], -top[1]))
-        return pd.DataFrame(out, columns=["name", "match", "score", "ord"]).astype({"score": "float64", "ord": "int64"})
-
-    some = f.groupBy("__b").cogroup(k.groupBy("__b")).applyInPandas(best, "name string, match string, score double, ord long")
+        got, verified = best_matches(a["__c"].to_list(), b["__k"].to_list(), threshold) if len(b) else ([None] * len(a), 0)
+        ords, names = b["ord"].to_list(), b["match"].to_list()
+        for name, x in zip(a["name"], got):
+            if x:
+                out.append((name, names[x[0]], x[1], ords[x[0]], verified))
+        return pd.DataFrame(out, columns=["name", "match", "score", "ord", "verified"]).astype({"score": "float64", "ord": "int64", "verified": "int64"})
+
+    some = f.groupBy("__a", "__b").cogroup(k.groupBy("__a", "__b")).applyInPandas(best, "name string, match string, score double, ord long, verified long")
     w = W.partitionBy("name").orderBy(F.col("score").desc(), "ord")
-    return some.withColumn("__r", F.row_number().over(w)).filter("__r = 1").select("name", "match", "score")
+    return some.withColumn("__r", F.row_number().over(w)).filter("__r = 1").select("name", "match", "score", "verified")
 
 
 def merge(components: DataFrame, known: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -52,7 +56,7 @@ def merge(components: DataFrame, known: DataFrame, threshold: float = THRESHOLD)
     ``components`` has name, type, labels, trust_zone; ``known`` ord and name.
     """
     m = fuzzy_match(components, known, threshold)
-    c = components.join(m, "name", "left")
+    c = components.join(m.drop("verified"), "name", "left")
     return c.select(
         F.coalesce("match", "name").alias("name"), F.col("name").alias("visual_name"), F.col("type").alias("entity_type"), "trust_zone",
         F.array_join("labels", "; ").alias("labels"), F.when(F.col("match").isNotNull(), "hybrid_merge").otherwise("vision_only").alias("source"))

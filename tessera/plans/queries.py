@@ -147,7 +147,7 @@ QUERIES["fuzzy_ratio"] = QUERIES.pop("fuzzy_ratio_names")
 def fuzzy_entity_match(spark, d):
     p = X.table(spark, d, "part")
     known = p.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("ord"))
-    return vision.fuzzy_match(p.select(F.reverse("p_name").alias("name")).unionByName(p.select(F.concat("p_name", F.lit("x")).alias("name"))), known)
+    return vision.fuzzy_match(p.select(F.reverse("p_name").alias("name")).unionByName(p.select(F.concat("p_name", F.lit("x")).alias("name"))), known).drop("verified")
 
 
 @query("""with c as (select id, 'R' || (id // 5) as p from fx_parent where is_child_of is not null and id % 7 <> 0) select c.id as node, f.id as parent from c join fx_parent f on f.title = c.p""", "fx_parent")
