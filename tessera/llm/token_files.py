@@ -18,6 +18,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -201,15 +202,16 @@ class SequenceReader:
 
 
 def _encode_rows(tokenizer: str, end_id: int, plain: bool, bounds: list[int]):
-    """Texts become ids before anything is moved: part (the range of the document's id; null ids are in the first), ids with the end."""
+    """Texts become ids before anything is moved: part (the range of the document's id; null ids are in the first), ids with the
+    end, compressed."""
 
     def run(batches):
-        enc = _encoder(tokenizer, plain)
+        enc, small = _encoder(tokenizer, plain), zstandard.ZstdCompressor(level=1).compress
         end, edges = np.array([end_id], enc.type).tobytes(), np.array(bounds, np.int64)
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 some = batch.slice(lo, 2000)
-                ids = [x + end for x in enc.encode_all([t or "" for t in some.column("text").to_pylist()])]
+                ids = [small(x + end) for x in enc.encode_all([t or "" for t in some.column("text").to_pylist()])]
                 doc = some.column("doc_id")
                 part = np.where(np.asarray(doc.is_null()), 0, np.searchsorted(edges, np.asarray(doc.fill_null(0)), "left"))
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), doc, some.column("h"), pa.array(ids, pa.binary())], names=["part", "doc_id", "h", "ids"])
@@ -232,14 +234,14 @@ def _write_files(folder: str, dtype: str, end_id: int, length: int, batch_rows:
             self.sink.close()
 
     def run(batches):
-        size = np.dtype(dtype).itemsize
+        size, large = np.dtype(dtype).itemsize, zstandard.ZstdDecompressor().decompress
         part = TaskContext.get().partitionId() * FILES
         file, no = None, 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 some = batch.slice(lo, 2000)
                 uri, parts, at, n = [], [], [], []
-                for ids in some.column("ids").to_pylist():
+                for ids in map(large, some.column("ids").to_pylist()):
                     if file is not None and file.writer.total * size >= roll:
                         file.close()
                         part, file = part + 1, None
