@@ -33,7 +33,7 @@ def orphans(d: DataFrame) -> DataFrame:
 
 def trees(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """From nodes (id) and links (node, parent), one parent a node: (id, root, depth), however deep. A node on a cycle or
-    below one, or below a row that is not there, has no root and is left out.
+    below one, or below a row that is not there, has no root and is left out; ``cycles`` tells the first two.
 
     Each round the rows without a root take their ancestor's ancestor, so a chain of n rows takes about log2(n)
     rounds; what no root is found for by then is on a cycle.
@@ -53,6 +53,24 @@ def trees(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return done.select("id", "root", F.col("depth").cast("int").alias("depth"))
 
 
+def cycles(links: DataFrame) -> DataFrame:
+    """From links (node, parent), one parent a node: (id, cycle) of the nodes on a cycle or below one, cycle being its least id.
+
+    Each round a row takes its ancestor's ancestor, and the least id on the way. A way that ends at a root, or where a row is
+    not there, drops out; the others are, after about log2(n) rounds, at a row of their cycle whose own way has gone all
+    around it, and take its least id.
+    """
+    one = links.filter("node <> parent")
+    left = checkpointed(one.select(F.col("node").alias("id"), F.col("parent").alias("up"), F.col("node").alias("least")))
+    n = left.count()
+    for _ in range(n.bit_length()):
+        above = left.select(F.col("id").alias("up"), F.col("up").alias("over"), F.col("least").alias("more"))
+        left = checkpointed(left.join(above, "up").select("id", F.col("over").alias("up"), F.least("least", "more").alias("least")))
+        if not left.limit(1).count():
+            break
+    return left.join(left.select(F.col("id").alias("up"), F.col("least").alias("cycle")), "up").select("id", "cycle")
+
+
 def descendants(roots: DataFrame, links: DataFrame) -> DataFrame:
     """(id) of the roots and all below them, each once, however deep: with the roots cut off from what is above them, all
     rows whose tree has one of them as its root."""

@@ -167,6 +167,18 @@ def requirement_tree(spark, d):
     return hierarchy.trees(p.select("id"), hierarchy.resolve_parents(p))
 
 
+@query("""select doc_id as id, case when k % 2 = 1 then k * 10 end as root, case when k % 2 = 1 then (doc_id % 10)::int end as depth, case when k % 2 = 0 then k * 10 end as cycle from (select doc_id, doc_id // 10 as k from documents)""")
+def requirement_cycles(spark, d):
+    """Parents by tens: in every second ten a chain from a root, in the others a ring of three with a chain below: every row with its
+    root or its cycle."""
+    i = F.col("id")
+    n = X.table(spark, d, "documents").select(F.col("doc_id").alias("id"))
+    ten, one = F.expr("id div 10"), i % 10
+    up = F.when((ten % 2 == 0) & (one < 3), ten * 10 + (one + 1) % 3).when(one > 0, i - 1)
+    links = n.select(i.alias("node"), up.alias("parent")).filter("parent IS NOT NULL")
+    return n.join(hierarchy.trees(n, links), "id", "left").join(hierarchy.cycles(links), "id", "left")
+
+
 @query("""with recursive l as (select c.id as node, p.id as parent from fx_parent c join fx_parent p on lower(p.title) = lower(c.is_child_of)),
     gone as (select 1::bigint as id union select l.node from gone join l on l.parent = gone.id)
     select 'requirements' as kept_in, count(*) as n from fx_parent where id not in (select id from gone)
@@ -304,14 +316,14 @@ def raptor_prompt_text(spark, d):
 
 TREE = ["l0 as (select row_number() over (order by doc_id) - 1 as idx, text from documents)"]
 for _k in range(1, 9):
-    TREE.append(f"""l{_k} as (select idx // 5 as idx, left(string_agg('Chunk ' || (idx % 5 + 1) || ': ' || text, chr(10) || chr(10) order by idx), 300) as text from l{_k - 1} where (select count(*) from l{_k - 1}) > 1 group by 1)""")
+    TREE.append(f"""l{_k} as (select idx // 5 as idx, left(string_agg('Chunk ' || (idx % 5 + 1) || ': ' || text, chr(10) || chr(10) order by idx), 60) || ' ' || sha256(string_agg('Chunk ' || (idx % 5 + 1) || ': ' || text, chr(10) || chr(10) order by idx)) as text from l{_k - 1} where (select count(*) from l{_k - 1}) > 1 group by 1)""")
 
 
 @query("with " + ", ".join(TREE) + " " + " union all ".join(f"select {k} as layer, idx, case when (select count(*) from l{k}) > 1 then idx // 5 end as parent_idx, text from l{k}" for k in range(9)))
 def raptor_tree(spark, d):
-    """The tree with texts folded upwards; a summary is the first 300 characters here."""
+    """The tree with texts folded upwards; a summary is the first 60 characters of a prompt and the digest of all of it here."""
     t = _leaves(spark, d)
-    return tree.summaries(t, t.count(), lambda p: p.withColumn("summary", text.budget(F.col("prompt_text"), 300)))
+    return tree.summaries(t, t.count(), lambda p: p.withColumn("summary", F.concat(text.budget(F.col("prompt_text"), 60), F.lit(" "), F.sha2("prompt_text", 256))))
 
 
 @query("""select k, name, coalesce(b.boundary_name, 'Unknown') as trust_zone from (select s_suppkey as k, n_name as name from supplier join nation on s_nationkey = n_nationkey union all select -1 - r_regionkey, r_name from region)
@@ -545,10 +557,30 @@ def kb_query_text(spark, d):
 
 @query("""select ordinal, coalesce(list_position(['Critical','High','Medium','Low','Informational'], adjusted_severity) - 1, 5)::int as severity_rank, row_number() over (order by severity_rank, ordinal) as place from fx_feedback""", "fx_feedback")
 def severity_sort(spark, d):
-    from pyspark.sql import Window as W
+    f = X.feedback(spark, d).select("ordinal", debate.severity_rank(F.col("adjusted_severity")).alias("severity_rank"))
+    return ordinals(f, "severity_rank", "ordinal", out="place").select("ordinal", "severity_rank", (F.col("place") + 1).cast("long").alias("place"))
+
+
+FINDING = """'### [' || upper(severity) || '] ' || threat_id || ': ' || target_component || chr(10) || chr(10) || '**Category:** ' || category || chr(10) || chr(10) || '**Attack Vector:** ' || attack_vector || chr(10) || chr(10)
+    || '**Mitigation Strategy:**' || chr(10) || mitigation_strategy || chr(10) || chr(10) || '**References:**' || chr(10) || '- ' || citations || chr(10) || chr(10) || '---' || chr(10) || chr(10)"""
+
+
+@query(f"""with {BASIC}, o as (select (row_number() over (order by {RANK}, event_id) - 1) // 100 + 1 as part, row_number() over (order by {RANK}, event_id) as k, {FINDING} as t from b),
+    p as (select part, string_agg(t, '' order by k) as text from o group by 1 union all select 0, '# Threat Model Report' || chr(10) || chr(10) || '## Executive Summary' || chr(10) || chr(10) || 'In brief.' || chr(10) || chr(10) || '## Threat Summary' || chr(10) || chr(10)
+        || '- **Total Threats:** 7' || chr(10) || '- **Critical:** ' || (select count(*) from region) || chr(10) || '- **High:** 0' || chr(10) || '- **Medium:** 0' || chr(10) || chr(10) || '## Detailed Findings' || chr(10) || chr(10))
+    select part::bigint as part, coalesce(sum(strlen(text)) over (order by part rows between unbounded preceding and 1 preceding), 0)::bigint as start, text from p""", "fx_threat", "fx_feedback")
+def markdown_parts(spark, d):
+    """The report in parts of 100 findings, with a reply's summary and counts at its head."""
+    said = F.concat(F.lit('{"executive_summary":"In brief.","total_threats":7,"critical_count":'), F.count(F.lit(1)).cast("string"), F.lit("}"))
+    header = llmjson.report_header(X.table(spark, d, "region").agg(said.alias("reply")))
+    return debate.markdown_parts(debate.basic_report(X.threats(spark, d), X.feedback(spark, d)), header=header, rows=100)
+
 
-    f = X.feedback(spark, d).withColumn("severity_rank", debate.severity_rank(F.col("adjusted_severity")))
-    return f.select("ordinal", "severity_rank", F.row_number().over(W.orderBy("severity_rank", "ordinal")).cast("long").alias("place"))
+@query("""with o as (select row_number() over (order by ordinal) - 1 as k, '- Rejected Threat ' || threat_id || ': ' || validation_reason as t from fx_feedback where not is_valid),
+    p as (select k // 50 as part, string_agg(case when k > 0 then chr(10) else '' end || t, '' order by k) as text from o group by 1)
+    select part::bigint as part, coalesce(sum(strlen(text)) over (order by part rows between unbounded preceding and 1 preceding), 0)::bigint as start, text from p""", "fx_feedback")
+def rejection_parts(spark, d):
+    return debate.rejection_parts(X.feedback(spark, d), 50)
 
 
 @query(f"""with {BASIC} select event_id, threat_id, 'Enriched' as category, severity, 'Do ' || threat_id as mitigation_strategy, citations from b""", "fx_threat", "fx_feedback")
