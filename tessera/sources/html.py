@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from html.parser import HTMLParser
+from operator import or_
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -16,9 +19,70 @@ DROPPED = ("script", "style", "header", "footer", "nav")
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
 
-def html_to_text(html: Column) -> Column:
-    """Each text node on a line of its own, trimmed, without blank lines; null and failed pages give ''."""
-    c = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<!--.*?-->", "")
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
+_NAMES = "|".join(DROPPED)
+#: Pages that patterns cannot hold: other character references, signs of markup in quotes, dropped elements within each other or
+#: not closed, and marks that are no markup.
+HARD = (
+    r"&(?!(?:lt|gt|quot|#39|nbsp|copy|middot|amp);)", r"""(?s)<[a-zA-Z/][^<>]*=\s*"[^"]*[<>]""", r"""(?s)<[a-zA-Z/][^<>]*=\s*'[^']*[<>]""",
+    rf"(?is)<({_NAMES})\b(?:(?!</\1).)*<(?:{_NAMES})\b", rf"(?is)<({_NAMES})\b(?!.*</\1)", rf"(?i)<(?:{_NAMES})\b[^>]*/>", r"<(?![a-zA-Z/!])", r"<!(?!--)", r"<!--(?:>|->)", r"(?s)<[a-zA-Z/][^>]*$",
+)
+
+
+class _Text(HTMLParser):
+    """Text nodes outside dropped elements, by a stack of open elements; an end tag closes what is open inside its element."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open: list[str] = []
+        self.out: list[str] = []
+        self.parts: list[str] = []
+
+    def flush(self):
+        text = "".join(self.parts).strip()
+        if text:
+            self.out.append(text)
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        self.flush()
+        if tag not in VOID:
+            self.open.append(tag)
+
+    def handle_startendtag(self, tag, attrs):
+        self.flush()
+
+    def handle_endtag(self, tag):
+        if tag in self.open:
+            self.flush()
+            while self.open.pop() != tag:
+                pass
+
+    def handle_data(self, data):
+        if not any(t in DROPPED for t in self.open):
+            self.parts.append(data)
+
+    def handle_comment(self, data):
+        self.flush()
+
+
+def parse_text(html: str) -> str:
+    p = _Text()
+    p.feed(html)
+    p.close()
+    p.flush()
+    # a text node of several lines keeps its lines, trimmed, as in the fast way
+    return "\n".join(x for t in p.out for line in t.split("\n") if (x := line.strip()))
+
+
+@F.pandas_udf(T.StringType())
+def parsed_text(html: pd.Series) -> pd.Series:
+    return html.map(lambda h: None if h is None else parse_text(h))
+
+
+def plain_text(html: Column) -> Column:
+    """Text of pages that patterns hold."""
+    c = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
     for name in DROPPED:
         c = F.regexp_replace(c, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", "\n")
     c = F.regexp_replace(c, r"(?s)<[^>]*>", "\n")
@@ -27,6 +91,17 @@ def html_to_text(html: Column) -> Column:
     return F.array_join(F.filter(F.transform(F.split(c, "\n", -1), strip), lambda x: x != ""), "\n")
 
 
+def html_to_text(html: Column) -> Column:
+    """Each line of each text node on a line of its own, trimmed, without blank lines; null and failed pages give ''.
+
+    Most pages are read by patterns. A page that these cannot hold (``HARD``) goes through a parser with a stack of elements,
+    which reads quoted attributes and all character references and nests dropped elements.
+    """
+    c = F.coalesce(html, F.lit(""))
+    hard = reduce(or_, [c.rlike(p) for p in HARD])
+    return F.when(hard, parsed_text(F.when(hard, c))).otherwise(plain_text(c))
+
+
 def meta_refresh_target(html: Column) -> Column:
     """Where a page sends its reader, '' if nowhere."""
     tag = F.regexp_extract(html, r"""(?s)(<(?i:meta)\b[^>]*(?i:http-equiv)\s*=\s*["']?refresh["'\s/>][^>]*>?)""", 1)
