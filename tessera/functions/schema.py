@@ -73,13 +73,13 @@ class Str:
 
 @dataclass(frozen=True)
 class Int:
-    """Whole numbers: also 5.0, "5" and true, as lenient validators have it; not 5.5, and none beyond 64 bits."""
+    """Whole numbers: also 5.0, "5" and true, as lenient validators have it; not 5.5, and none beyond 32 bits."""
 
-    sql = "bigint"
+    sql = "int"
 
     def violation(self, v: Column, path: Column) -> Column:
         number = lambda t: t.try_cast("decimal(38,10)")
-        whole = lambda t: F.coalesce((number(t) == F.floor(number(t))) & number(t).try_cast("bigint").isNotNull(), F.lit(False))
+        whole = lambda t: F.coalesce((number(t) == F.floor(number(t))) & number(t).try_cast("int").isNotNull(), F.lit(False))
         text = F.try_variant_get(v, "$", "string")
         fits = lambda k: F.when(k == "BOOLEAN", True).when(k == "STRING", text.rlike(r"^[+-]?[0-9]+([.]0+)?$") & whole(text)).when(k.isin("BIGINT", "DOUBLE") | k.startswith("DECIMAL"), whole(text)).otherwise(False)
         return F.when(~let(kind(v), fits), _wrong(path, "whole number"))
