@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,8 +35,17 @@ def normalize_any(s: pd.Series) -> pd.Series:
 def normalize_text(c: Column) -> Column:
     """Case folded, white space runs made one space. Letters up to U+017E fold by lower case, but for ß, ŉ and ſ, and so do
     signs that have no case; a text with anything else goes to ``normalize_any``, which folds every script."""
-    fast = strip(F.regexp_replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), r"(?U)\s+", " "))
-    return F.when(c.rlike(FOLDS_ALIKE), fast).otherwise(normalize_any(F.when(~c.rlike(FOLDS_ALIKE), c)))
+    return F.when(c.rlike(FOLDS_ALIKE), _folded(c)).otherwise(normalize_any(F.when(~c.rlike(FOLDS_ALIKE), c)))
+
+
+def _folded(c: Column) -> Column:
+    return strip(F.regexp_replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), r"(?U)\s+", " "))
+
+
+def with_normalized(d: DataFrame, **columns: Column) -> DataFrame:
+    """``d`` with ``normalize_text`` of some columns. Only rows that need it go through Python workers; the others are read apart."""
+    easy = reduce(and_, [c.isNull() | c.rlike(FOLDS_ALIKE) for c in columns.values()])
+    return d.filter(easy).withColumns({n: _folded(c) for n, c in columns.items()}).unionByName(d.filter(~easy).withColumns({n: normalize_any(c) for n, c in columns.items()}))
 
 
 def canonical_name(c: Column) -> Column:

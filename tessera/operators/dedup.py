@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.fuzzy import reaches
-from ..functions.text import normalize_text
+from ..functions.text import normalize_text, with_normalized
 from ..functions.vectors import clamp_similarity, knn_join
 from .rounds import checkpointed
 
@@ -18,7 +18,7 @@ EXACT, SEMANTIC, TITLE, NEAREST = 1.0, 0.90, 0.75, 5
 
 def exact_matches(incoming: DataFrame, kb: DataFrame) -> DataFrame:
     """(id, node_id): the first row of the knowledge base with the category, title and rule of an incoming one."""
-    keys = lambda d: d.select("id", "category", F.sha2(F.concat_ws("\x1f", normalize_text(F.col("title")), normalize_text(F.col("rule"))), 256).alias("key"))
+    keys = lambda d: with_normalized(d.select("id", "category", "title", "rule"), t=F.col("title"), r=F.col("rule")).select("id", "category", F.sha2(F.concat_ws("\x1f", "t", "r"), 256).alias("key"))
     first = keys(kb).groupBy("category", "key").agg(F.min("id").alias("node_id"))
     return keys(incoming).join(first, ["category", "key"]).select("id", "node_id")
 
