@@ -401,7 +401,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
 
     Null text counts as empty and has no spans. Null ids and repeated rows are rows like any other; an empty table
     gives no rows; other columns are ignored, whatever their names. Texts are read whole, in time that grows with
-    their length, and a long one is held by one task with about 300 bytes for each token with a digit or an at sign.
+    their length, and a long one is held by one task with about 3,000 bytes for each token with a digit or an at sign.
     Ties: of spans that could be added from one token the longest of the right form is; a token whose kinds are equally
     likely is not marked. Without ``model`` one is trained on the documents themselves.
     """
