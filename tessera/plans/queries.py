@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import index, llmjson, text
 from ..functions import vectors as V
 from ..functions.fuzzy import fuzzy_ratio
 from ..operators import debate, dedup, graph, hierarchy, retrieve, tree, validation, vision
-from ..operators.rounds import first_row, ordinals
+from ..operators.rounds import first_row, ordinals, shared_folder
 from ..sources import html, ingest
+from ..streaming import jobs
 from . import fixtures as X
 
 QUERIES: dict = {}
@@ -296,6 +299,29 @@ def payload_dispatch(spark, d):
     return t.select("page_id", F.when(F.col("content") == "", "failed").otherwise("completed").alias("status"), "content")
 
 
+def _length_reply(text):
+    """A model that never answers to texts of a round length."""
+    if len(text) % 10 == 0:
+        raise ValueError("no reply")
+    return f"{len(text)} characters"
+
+
+@query(f"""select job_id, case when content = '' or length(content) % 10 = 0 then 'failed' else 'completed' end as status, case when content <> '' and length(content) % 10 = 0 then 3 else 0 end::int as retries,
+    case when content = '' then 'Empty content' when length(content) % 10 = 0 then 'extract: no reply' end as error, case when content <> '' and length(content) % 10 <> 0 then length(content) || ' characters' end as result
+    from (select page_id::varchar as job_id, case when source_url is not null then {TEXT.format('html')} else coalesce(document_text, '') end as content from fx_request)""", "fx_request")
+def ingest_jobs(spark, d):
+    """All requests as jobs of a stream, run again where a step fails, until none waits."""
+    folder = f"{shared_folder(spark)}/jobs-{uuid.uuid4().hex}"
+    kind = F.when(F.col("source_url").isNotNull(), "url").otherwise("text")
+    t = X.requests(spark, d).select(F.col("page_id").cast("string").alias("job_id"), ingest.payload(kind, F.col("html"), F.col("document_text")).alias("content"))
+    t.write.parquet(f"{folder}/in")
+    n = spark.read.parquet(f"{folder}/in").count()
+    if n:
+        q = jobs.start(spark, f"{folder}/in", f"{folder}/out", f"{folder}/state", jobs.steps(_length_reply, str, (1, 1)), every="1 second")
+        jobs.drain(q, lambda: jobs.ended(spark, f"{folder}/out").count() >= n)
+    return jobs.ended(spark, f"{folder}/out")
+
+
 def _leaves(spark, d):
     """Documents by id, counted from 0."""
     return ordinals(X.table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("ord", "text")

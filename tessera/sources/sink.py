@@ -125,3 +125,28 @@ def _rewrite(keys: DataFrame, path: str, key: list[str], rows: DataFrame | None,
         if _create(spark, f"{path}/_manifests/{n:020d}.json", json.dumps(stay + made)):
             return n
     raise RuntimeError(f"other writers of {path} were first {attempts} times")
+
+
+# Batches of a stream: each has a list of its files, which another attempt at the batch replaces as a whole.
+
+
+def put_batch(spark: SparkSession, path: str, number: int, folder: str) -> None:
+    """Make the Parquet files in ``folder`` the rows of a batch, in place of what it had; a batch without rows has no list."""
+    jvm, p, fs = _paths(spark, folder)
+    listed = jvm.org.apache.hadoop.fs.Path(f"{path}/_batches/{number:020d}.json")
+    if spark.read.parquet(folder).isEmpty():
+        fs.delete(listed, False)
+        fs.delete(p, True)
+        return
+    out = fs.create(listed, True)
+    out.write(bytearray(json.dumps([f"{folder}/{s.getPath().getName()}" for s in fs.listStatus(p) if s.getPath().getName().endswith(".parquet")]).encode()))
+    out.close()
+
+
+def batch_files(spark: SparkSession, path: str) -> list[str]:
+    """The files of all batches. A list that is still being written is left out: its batch has not ended."""
+    jvm, p, fs = _paths(spark, f"{path}/_batches")
+    if not fs.exists(p) or not fs.listStatus(p):
+        return []
+    lists = [r[0] for r in spark.read.text(f"{path}/_batches", wholetext=True).collect()]  # names of files
+    return sorted(f for text in lists if text.endswith("]") for f in json.loads(text))
