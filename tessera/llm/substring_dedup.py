@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import fits, materialize, partitions, with_group
 from .wordhash import M1, grams, mix, starts, word_hashes
 
 WIDTH = 50
 SEED = 10
-BATCH = 4_000_000  # characters of text handled at once
+BATCH = 4_000_000  # bytes of text handled at once; a longer text is one batch
+SPREAD = 32  # places that the rows of one seed, pack or span are spread over, by their documents
+RANGES = 50_000  # ranges of one source that are looked up in a row
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,13 +84,28 @@ class Packs:
         self.id = mix(mix(words + self.n.astype(np.uint64)) ^ self.seed ^ (chosen[self.at] - lo).astype(np.uint64) * M1)
 
 
-def _batches(batches):
+def _place(doc: np.ndarray) -> np.ndarray:
+    return (mix(np.ascontiguousarray(doc, np.int64).view(np.uint64) + M1) % np.uint64(SPREAD)).astype(np.int64)
+
+
+def _distinct(p: Packs, ids: np.ndarray):
+    """The packs that differ: a number of each at its first place, its largest document, and a bit for each place of its documents."""
+    doc = ids[p.doc]
+    order = np.lexsort((p.start, doc, p.id))
+    key = p.id[order]
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    if not len(at):
+        return at, at, at
+    return order[at], doc[order[np.append(at[1:], len(key)) - 1]], np.bitwise_or.reduceat(1 << _place(doc[order]), at)
+
+
+def _batches(batches, size: int):
     for batch in batches:
         ids, texts = batch.column("doc_id").to_numpy(), batch.column("text")
         lengths = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
         lo = 0
         while lo < len(ids):
-            hi = max(lo + 1, int(np.searchsorted(lengths, (lengths[lo - 1] if lo else 0) + BATCH, side="right")))
+            hi = max(lo + 1, int(np.searchsorted(lengths, (lengths[lo - 1] if lo else 0) + size, side="right")))
             yield ids[lo:hi], [x or b"" for x in texts.slice(lo, hi - lo).cast(pa.binary()).to_pylist()]
             lo = hi
 
@@ -97,42 +114,57 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _pack_rows(width: int, seed: int):
-    """(seed, pack, doc, start, last, edges): a row for each pack that differs, with its first place here and the
-    largest id that has it."""
+def _seed_rows(width: int, seed: int, size: int):
+    """(seed, low, high, doc, last, places): a row for each seed, with the least and the greatest of its packs and documents."""
+
+    def run(batches):
+        for ids, texts in _batches(batches, size):
+            p = Packs(texts, width, seed)
+            one, last, places = _distinct(p, ids)
+            order = np.argsort(p.seed[one], kind="stable")
+            one, last, places = one[order], last[order], places[order]
+            key = p.seed[one]
+            at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else one
+            if len(at):
+                pack, doc = p.id[one].view(np.int64), ids[p.doc[one]]
+                yield pa.RecordBatch.from_arrays(
+                    [_signed(key[at]), pa.array(np.minimum.reduceat(pack, at)), pa.array(np.maximum.reduceat(pack, at)), pa.array(np.minimum.reduceat(doc, at)),
+                     pa.array(np.maximum.reduceat(last, at)), pa.array(np.bitwise_or.reduceat(places, at))], names=["seed", "low", "high", "doc", "last", "places"])
+
+    return run
+
+
+def _pack_rows(width: int, seed: int, size: int):
+    """(seed, salt, pack, doc, start, last, places, edges): a row for each pack that differs, with its first place here, the
+    largest id that has it, and the places of all documents that do; it goes to the place of the first."""
 
     def run(batches):
-        for ids, texts in _batches(batches):
+        for ids, texts in _batches(batches, size):
             p = Packs(texts, width, seed)
-            doc = ids[p.doc]
-            order = np.lexsort((p.start, doc, p.id))
-            key = p.id[order]
-            new = np.ones(len(key), bool)
-            new[1:] = key[1:] != key[:-1]
-            one = order[new]
-            last = doc[order[np.append(np.flatnonzero(new)[1:], len(key)) - 1]] if len(key) else doc
+            one, last, places = _distinct(p, ids)
             for i in range(0, len(one), 20_000):
                 k = one[i: i + 20_000]
                 offsets = np.zeros(len(k) + 1, np.int32)
                 np.cumsum(p.n[k] * 8, out=offsets[1:])
                 take = np.repeat(p.at[k] - (offsets[:-1] // 8), p.n[k]) + np.arange(offsets[-1] // 8)
                 data = pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(p.edges[take].tobytes())])
+                doc = ids[p.doc[k]]
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(p.seed[k]), _signed(p.id[k]), pa.array(doc[k]), pa.array(p.start[k]), pa.array(last[i: i + 20_000]), data],
-                    names=["seed", "pack", "doc", "start", "last", "edges"])
+                    [_signed(p.seed[k]), pa.array(_place(doc)), _signed(p.id[k]), pa.array(doc), pa.array(p.start[k]), pa.array(last[i: i + 20_000]), pa.array(places[i: i + 20_000]), data],
+                    names=["seed", "salt", "pack", "doc", "start", "last", "places", "edges"])
 
     return run
 
 
-def _place_rows(width: int, seed: int):
-    """(pack, doc, start) of every pack."""
+def _place_rows(width: int, seed: int, size: int):
+    """(pack, salt, doc, start) of every pack."""
 
     def run(batches):
-        for ids, texts in _batches(batches):
+        for ids, texts in _batches(batches, size):
             p = Packs(texts, width, seed)
             for i in range(0, len(p.id), 100_000):
-                j = i + 100_000
-                yield pa.RecordBatch.from_arrays([_signed(p.id[i:j]), pa.array(ids[p.doc[i:j]]), pa.array(p.start[i:j])], names=["pack", "doc", "start"])
+                doc = ids[p.doc[i: i + 100_000]]
+                yield pa.RecordBatch.from_arrays([_signed(p.id[i: i + 100_000]), pa.array(_place(doc)), pa.array(doc), pa.array(p.start[i: i + 100_000])], names=["pack", "salt", "doc", "start"])
 
     return run
 
@@ -149,8 +181,8 @@ def _edge_rows(batches):
             j = np.arange(len(flat)) - np.repeat(starts(n), n)
             take = lambda c: b.column(c).to_numpy()[row]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(take("seed")), pa.array(flat), pa.array(take("pack")), pa.array(j.astype(np.int32)), pa.array(take("doc")), pa.array(take("start") + j), pa.array(take("last"))],
-                names=["seed", "edge", "pack", "j", "doc", "at", "last"])
+                [pa.array(take("seed")), pa.array(flat), pa.array(take("pack")), pa.array(j.astype(np.int32)), pa.array(take("doc")), pa.array(take("start") + j), pa.array(take("last")), pa.array(take("places"))],
+                names=["seed", "edge", "pack", "j", "doc", "at", "last", "places"])
 
 
 def _digest(words: list[bytes]) -> bytes:
@@ -161,8 +193,8 @@ def _source_digests(batches):
     for batch in batches:
         for text, ranges in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("ranges").to_pylist()):
             w = (text or b"").split()
-            r = [(x["src"], x["src_at"], x["n"], _digest(w[x["src_at"]: x["src_at"] + x["n"]])) for x in ranges]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*r), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["src", "src_at", "n", "digest"])
+            r = [(x["src"], x["src_at"], x["n"], x["places"], _digest(w[x["src_at"]: x["src_at"] + x["n"]])) for x in ranges]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*r), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["src", "src_at", "n", "places", "digest"])
 
 
 def _remove(batches):
@@ -188,36 +220,43 @@ def _remove(batches):
                                              names=["doc_id", "n_words", "n_removed", "kept_text", "spans"])
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
+def _spread(d: DataFrame) -> DataFrame:
+    """A row for each place that has rows of it."""
+    return d.withColumn("salt", F.explode(F.expr(f"filter(sequence(0L, {SPREAD - 1}L), i -> (places & shiftleft(1L, CAST(i AS INT))) <> 0)"))).drop("places")
+
+
+def repeated_spans(docs: DataFrame, width: int = WIDTH, seed: int = SEED, size: int = BATCH) -> DataFrame:
     """From (doc_id, text): (doc, at, n, src, src_at): n words from ``at`` stand in the earlier document ``src``
     from ``src_at`` on, in full windows. Together they cover all windows that also start in a smaller id."""
     spark = docs.sparkSession
     parts = partitions(spark)
     d = docs.filter("doc_id IS NOT NULL")
-    packs = d.mapInArrow(_pack_rows(width, seed), "seed long, pack long, doc long, start long, last long, edges binary")
-    by = W.partitionBy("seed")
-    packs = packs.repartition(parts, "seed").select(
-        "*", F.min("doc").over(by).alias("__min"), F.max("last").over(by).alias("__max"), (F.min("pack").over(by) != F.max("pack").over(by)).alias("branches"))
-    packs = materialize(packs.filter("__min < __max").drop("__min", "__max"), "packs")
+    # seeds first, without their edges: what most rows tell is combined before it is shuffled
+    seeds = d.mapInArrow(_seed_rows(width, seed, size), "seed long, low long, high long, doc long, last long, places long")
+    seeds = seeds.groupBy("seed").agg(
+        F.min("doc").alias("__min"), F.max("last").alias("__max"), (F.min("low") != F.max("high")).alias("branches"), F.bit_or("places").alias("places"))
+    seeds = materialize(seeds.filter("__min < __max").select("seed", "branches", "places"), "seeds")
+    packs = d.mapInArrow(_pack_rows(width, seed, size), "seed long, salt long, pack long, doc long, start long, last long, places long, edges binary")
+    packs = materialize(packs.repartition(parts, "seed", "salt").join(_spread(seeds), ["seed", "salt"]).drop("salt"), "packs")
     one = packs.groupBy("seed", "pack", "branches").agg(
-        F.min(F.struct("doc", "start")).alias("f"), F.max("last").alias("last"), F.first("edges").alias("edges"))
-    one = one.select("seed", "pack", "branches", F.col("f.doc").alias("doc"), F.col("f.start").alias("start"), "last", "edges")
+        F.min(F.struct("doc", "start")).alias("f"), F.max("last").alias("last"), F.bit_or("places").alias("places"), F.first("edges").alias("edges"))
+    one = one.select("seed", "pack", "branches", F.col("f.doc").alias("doc"), F.col("f.start").alias("start"), "last", "places", "edges")
     straight = one.filter("NOT branches AND doc < last").select(
-        "pack", F.lit(0).cast("long").alias("j"), F.expr("octet_length(edges) div 8").alias("n"), F.col("doc").alias("src"), F.col("start").alias("src_at"))
-    edges = one.filter("branches").mapInArrow(_edge_rows, "seed long, edge long, pack long, j int, doc long, at long, last long")
+        "pack", F.lit(0).cast("long").alias("j"), F.expr("octet_length(edges) div 8").alias("n"), F.col("doc").alias("src"), F.col("start").alias("src_at"), "places")
+    edges = one.filter("branches").mapInArrow(_edge_rows, "seed long, edge long, pack long, j int, doc long, at long, last long, places long")
     edges = materialize(edges, "edges")
-    first = edges.groupBy("seed", "edge").agg(F.min(F.struct("doc", "at")).alias("s"))
-    first = first.select("seed", "edge", F.col("s.doc").alias("src"), F.col("s.at").alias("src_at"))
-    shared = edges.join(first, ["seed", "edge"]).filter("src < last").select("pack", "j", "src", "src_at")
+    # an edge that many packs share meets its first place in many places
+    shared = with_group(edges, ["seed", "edge"], "pack", F.min(F.struct("doc", "at")).alias("s"))
+    shared = shared.filter("s.doc < last").select("pack", "j", F.col("s.doc").alias("src"), F.col("s.at").alias("src_at"), "places")
     # edges that follow each other at both places become one path
     shared = shared.withColumn("__line", F.col("src_at") - F.col("j"))
     shared = shared.withColumn("__run", F.col("j") - F.row_number().over(W.partitionBy("pack", "src", "__line").orderBy("j")))
     paths = shared.groupBy("pack", "src", "__line", "__run").agg(
-        F.min("j").cast("long").alias("j"), F.count(F.lit(1)).alias("n"), F.min("src_at").alias("src_at"))
-    paths = straight.unionByName(paths.select("pack", "j", "n", "src", "src_at"))
+        F.min("j").cast("long").alias("j"), F.count(F.lit(1)).alias("n"), F.min("src_at").alias("src_at"), F.first("places").alias("places"))
+    paths = straight.unionByName(paths.select("pack", "j", "n", "src", "src_at", "places"))
     paths = materialize(paths, "paths")
-    places = d.mapInArrow(_place_rows(width, seed), "pack long, doc long, start long")
-    spans = places.join(paths, "pack").filter("src < doc").select("doc", (F.col("start") + F.col("j")).alias("at"), "n", "src", "src_at")
+    places = d.mapInArrow(_place_rows(width, seed, size), "pack long, salt long, doc long, start long")
+    spans = places.join(_spread(paths), ["pack", "salt"]).filter("src < doc").select("doc", (F.col("start") + F.col("j")).alias("at"), "n", "src", "src_at")
     # paths that go on where another ended, in the document and at the source, become one span
     spans = spans.distinct().withColumn("__line", F.col("at") - F.col("src_at"))
     line = W.partitionBy("doc", "src", "__line").orderBy("at", "n")
@@ -228,24 +267,31 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> Dat
     return spans.select("doc", "at", (F.col("__end") - F.col("at") + (width - 1)).alias("n"), "src", "src_at")
 
 
-def substring_dedup(docs: DataFrame, width: int = WIDTH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = WIDTH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", size: int = BATCH) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text (kept words, one space between), spans (what
     was removed: at, n, src, src_at, in words).
 
     Null and empty texts have no words. Rows without an id lose nothing and are no source. Rows that share an id
     are no sources for each other; where their texts differ, each still loses what smaller ids have. An empty
-    table gives no rows. Other columns are ignored. ``docs`` is read several times, in any order.
+    table gives no rows. Other columns are ignored. ``docs`` is read several times, in any order. Texts are handled in
+    batches of ``size`` bytes; a longer one is a batch of its own, taken whole, with about 40 bytes of hashes for a word.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # where rows share an id, a span of one is tried on all of them: the digest decides for each
-    spans = materialize(repeated_spans(d, width, seed), "spans")
-    want = spans.select("src", "src_at", "n").distinct().groupBy("src").agg(F.collect_list(F.struct("src", "src_at", "n")).alias("ranges"))
-    want = materialize(want, "sources")
-    ids = want.withColumnRenamed("src", "__src")
-    small = ids.count() <= 20_000
+    spans = materialize(repeated_spans(d, width, seed, size), "spans")
+    salt = F.pmod(F.xxhash64("doc"), F.lit(SPREAD)).cast("long")
+    spans = spans.withColumn("salt", salt)
+    want = spans.groupBy("src", "src_at", "n").agg(F.bit_or(F.expr("shiftleft(1L, CAST(salt AS INT))")).alias("places"))
+    # a source that is quoted in very many ways is read several times, each for some of its ranges
+    want = with_group(want, ["src"], "src_at", F.count(F.lit(1)).alias("__c"))
+    want = want.withColumn("__part", F.expr(f"pmod(xxhash64(src_at, n), (__c div {RANGES}) + 1)"))
+    want = want.groupBy("src", "__part").agg(F.collect_list(F.struct("src", "src_at", "n", "places")).alias("ranges"))
+    ids = materialize(want.select(F.col("src").alias("__src"), "ranges"), "sources")
+    n, ranges = ids.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("ranges")), F.lit(0))).first()
+    small = fits(n + ranges, 100)
     text = d.join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("__src")).select("text", "ranges")
-    digests = text.mapInArrow(_source_digests, "src long, src_at long, n long, digest binary").distinct()
-    checked = spans.join(digests, ["src", "src_at", "n"])
+    digests = text.mapInArrow(_source_digests, "src long, src_at long, n long, places long, digest binary").distinct()
+    checked = spans.join(_spread(digests), ["src", "src_at", "n", "salt"])
     mine = checked.groupBy("doc").agg(F.collect_list(F.struct("at", "n", "src", "src_at", "digest")).alias("spans"))
     mine = materialize(mine, "checked")
     out = d.join(mine, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "spans")

@@ -47,8 +47,8 @@ def passage_rows():
 
 
 @pytest.mark.parametrize("which,width,seed", [("odd", 50, 10), ("small", 50, 10), ("passages", 12, 4), ("passages", 9, 9)])
-def test_removal(spark, which, width, seed, monkeypatch):
-    monkeypatch.setattr(S, "BATCH", 20_000)
+@pytest.mark.parametrize("size", [300, 20_000])
+def test_removal(spark, which, width, seed, size):
     if which == "odd":
         df, rows = odd(spark), [dict(zip(SCHEMA.names, r)) for r in odd_rows()]
     elif which == "small":
@@ -56,7 +56,7 @@ def test_removal(spark, which, width, seed, monkeypatch):
     else:
         rows = passage_rows()
         df = spark.createDataFrame([(x["doc_id"], x["text"]) for x in rows], "doc_id long, text string").repartition(5)
-    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in S.substring_dedup(df, width, seed).collect())
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in S.substring_dedup(df, width, seed, size=size).collect())
     assert got == brute(rows, width)
 
 
@@ -73,5 +73,17 @@ def test_spans_point_at_their_source(spark):
     assert n
 
 
+def test_one_passage_in_most_documents(spark, monkeypatch):
+    """A hot passage in changing company, and a source quoted in more ways than are looked up in a row."""
+    monkeypatch.setattr(S, "RANGES", 5)  # read on the driver
+    r = random.Random(3)
+    hot = [f"h{i}" for i in range(60)]
+    rows = [{"doc_id": i, "text": " ".join([f"a{r.randrange(10**6)}"] * (i % 3) + hot[r.randrange(20):40 + r.randrange(20)] + [f"b{r.randrange(10**6)}"])} for i in range(1, 300)]
+    rows.append({"doc_id": 0, "text": " ".join(hot)})
+    df = spark.createDataFrame([(x["doc_id"], x["text"]) for x in rows], "doc_id long, text string").repartition(7)
+    got = Counter((x.doc_id, x.n_words, x.n_removed, x.kept_text) for x in S.substring_dedup(df, 12, 4, size=2000).collect())
+    assert got == brute(rows, 12)
+
+
 def test_empty(spark):
     assert S.substring_dedup(none(spark)).count() == 0
