@@ -63,13 +63,12 @@ def assign(d: DataFrame, c: np.ndarray, probes: int) -> DataFrame:
         for b in batches:
             if len(b):
                 s = unit(np.stack(b["embedding"].to_list()).astype(np.float64)) @ c.T
-                near = np.argsort(-s, axis=1, kind="stable")[:, :probes]
-                out = b.loc[np.repeat(b.index, near.shape[1])].copy()
-                out["list"] = near.ravel().astype(np.int32)
-                yield out
+                yield b.assign(list=list(np.argsort(-s, axis=1, kind="stable")[:, :probes].astype(np.int32)))
 
     d = d.filter("embedding IS NOT NULL").select("id", "category", "embedding")
-    return d.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema) + ", list int")
+    # a row leaves Python once, with the numbers of its lists
+    near = d.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema) + ", list array<int>")
+    return near.withColumn("list", F.explode("list"))
 
 
 def build(base: DataFrame, lists: int | None = None, sample: int = SAMPLE) -> Index | None:

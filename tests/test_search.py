@@ -120,3 +120,45 @@ def test_fold_of_copies_and_chains(spark):
             want += fold_python(one(inc), one(kb), 0.9, 0.6, 5)
     assert got == sorted(want)
     assert sum(d == "MERGE" for _, d, _ in got) > 40 and sum(d == "SKIP" for _, d, _ in got) > 30
+
+
+def test_fold_beyond_the_candidates_at_hand(spark, monkeypatch, keep=1):
+    """Many close rows, of which few are at hand, and those drop out."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(40):
+        base = rng.randrange(5)
+        rows.append((i, f"Rule {base} " + "x" * rng.randrange(3), f"do {base} {rng.randrange(6)}", [float(np.cos(base) + rng.gauss(0, 0.2)), float(np.sin(base)), rng.gauss(0, 0.2)]))
+    kb, inc = rows[:8], rows[8:]
+    make = lambda xs: spark.createDataFrame([(i, "c", t, u, v) for i, t, u, v in xs], "id long, category string, title string, rule string, embedding array<double>")
+    monkeypatch.setattr(dedup, "KEEP", keep)
+    got = [(x.id, x.decision, x.node_id) for x in dedup.fold_decisions(make(inc), make(kb), 0.1, 0.7, 3).orderBy("id").collect()]
+    assert got == fold_python(inc, kb, 0.1, 0.7, 3)
+    d = make(inc).withColumn("copies", F.col("id"))
+    assert dedup.fold_candidates(d, d, 0.1, 0.7, 3 * keep).groupBy("id").count().agg(F.max("count")).first()[0] == 3 * keep
+
+
+def test_knn_join_streams(spark, monkeypatch):
+    """Batches and products smaller than a block: ties by id, earlier rows alone, rows apart, copies, zero vectors, and all close pairs."""
+    rng = np.random.default_rng(6)
+    rows = [(i, "c", [float(x) for x in rng.integers(-2, 3, size=3)], i % 4) for i in range(120)]
+    d = spark.createDataFrame(rows, "id long, category string, embedding array<float>, part long")
+    monkeypatch.setitem(knn_join.__globals__, "CELLS", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+
+    def near(i, v, p):
+        n = lambda x: np.linalg.norm(np.array(x))
+        s = [(1 - np.dot(v, w) / n(v) / n(w), j) for j, _, w, q in rows if j < i and q != p and n(v) and n(w)]
+        return [(round(x, 9), j) for x, j in s if 1 - x >= 0.3 - 1e-12]
+
+    try:
+        for k in (4, None):
+            got = {}
+            for r in knn_join(d, d, k, 50, 0.3 - 1e-12, True, "part").collect():
+                got.setdefault(r.id, []).append((round(r.distance, 9), r.other))
+            want = {i: sorted(near(i, v, p))[:k] for i, _, v, p in rows}
+            assert {i: sorted(x) for i, x in got.items()} == {i: x for i, x in want.items() if x}
+        zero = d.filter("id = 0").withColumn("embedding", F.expr("array(0f, 0f, 0f)"))
+        assert [(r.other, str(r.distance)) for r in knn_join(zero, d, 2).orderBy("rk").collect()] == [(0, "nan"), (1, "nan")]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
