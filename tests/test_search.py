@@ -162,3 +162,16 @@ def test_knn_join_streams(spark, monkeypatch):
         assert [(r.other, str(r.distance)) for r in knn_join(zero, d, 2).orderBy("rk").collect()] == [(0, "nan"), (1, "nan")]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_no_more_lines_than_a_reader_sees(spark):
+    """Of a hub's edges only lines that begin within the budget are given to a query: the same text for its reader."""
+    at = [1.0, 0.0]
+    q = spark.createDataFrame([(1, "d", at)], "qid long, document_id string, embedding array<float>")
+    nodes = spark.createDataFrame([(1, "d", "t", at)], "id long, document_id string, text_content string, embedding array<float>")
+    names = [("hub", "HUB", at), ("two", "TWO", at)] + [(f"n{i}", f"N{i:03d} " + "y" * 20, None) for i in range(400)]
+    entities = spark.createDataFrame([(i, n, "d", v) for i, n, v in names], "id string, name string, document_id string, embedding array<float>")
+    edges = spark.createDataFrame([(s, f"n{i}", "R", "d") for i in range(400) for s in ("hub", "two")] + [("hub", "two", "R", "d")], "source_id string, target_id string, relation_type string, description string")
+    find = lambda **x: {r.ord: r.text for r in retrieve.hybrid_many(q, nodes, entities, edges, **x).collect()}
+    whole, cut = find(), find(chars=300)
+    assert whole[5].count("\n") == 801 and cut == {o: t[:300] for o, t in whole.items()}
