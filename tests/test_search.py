@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import fuzzy, index
 from tessera.functions.vectors import knn_join
-from tessera.operators import dedup, retrieve
+from tessera.operators import dedup, hierarchy, retrieve
 from tessera.plans import fixtures as X
 from tessera.sources import plugins
 
@@ -175,3 +175,10 @@ def test_no_more_lines_than_a_reader_sees(spark):
     find = lambda **x: {r.ord: r.text for r in retrieve.hybrid_many(q, nodes, entities, edges, **x).collect()}
     whole, cut = find(), find(chars=300)
     assert whole[5].count("\n") == 801 and cut == {o: t[:300] for o, t in whole.items()}
+
+
+def test_cycles_send_no_side_to_the_driver(spark):
+    links = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 3)], "node long, parent long")
+    d = hierarchy.cycles(links)
+    assert {(r.id, r.cycle) for r in d.collect()} == {(i, 1) for i in (1, 2, 3, 4)}
+    assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
