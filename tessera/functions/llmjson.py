@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .schema import Field, Int, List, Object, Str, get, is_list, is_object, items, kind, value, violation, whole_json
+from .schema import Field, Int, List, Object, Str, get, is_list, is_object, items, kind, value, violation, whole_json, with_once
 from .text import FALLBACK_CITATION, FENCE, JSON_FENCE, clean_llm_json, closed, fenced, fenced_json, says_valid, truthy
 
 _NAMED = lambda *names: tuple(Field(n, Str()) for n in names)
@@ -27,8 +27,9 @@ DIAGRAM = Object((
 def checked(d: DataFrame, schema: Object, reply: str = "reply", out: str = "g") -> DataFrame:
     """With ``out``, the typed value of a reply that fits the schema, and ``reason``: null for those, else where and how a reply
     first does not fit. A reply is read without a code fence around it, and as a whole."""
-    j = d.withColumn("__c", clean_llm_json(F.col(reply))).withColumn("__v", whole_json(F.col("__c"))).withColumn("reason", violation(F.col("__v"), schema))
-    return j.withColumn(out, F.when(F.col("reason").isNull(), value(F.col("__v"), schema))).drop("__c", "__v")
+    j = with_once(d, "__v", whole_json(clean_llm_json(F.col(reply))))
+    j = with_once(j, "reason", violation(F.col("__v"), schema))
+    return with_once(j, out, F.when(F.col("reason").isNull(), value(F.col("__v"), schema))).drop("__v")
 
 
 def rejects(d: DataFrame, schema: Object, reply: str = "reply") -> DataFrame:
@@ -73,8 +74,8 @@ def _as_text(v: Column, text: Column) -> Column:
 
 def _parsed(d: DataFrame, c: Column, inside: Column) -> DataFrame:
     """With __v: a text as JSON, else what stands in its fence. Each is parsed once."""
-    j = d.withColumn("__w", whole_json(c)).withColumn("__t", F.when(F.col("__w").isNull(), inside))
-    return j.withColumn("__v", F.coalesce("__w", whole_json(F.col("__t")))).drop("__w", "__t")
+    j = with_once(d, "__w", whole_json(c))
+    return with_once(j, "__v", F.coalesce("__w", whole_json(F.when(F.col("__w").isNull(), inside)))).drop("__w")
 
 
 def threats(d: DataFrame, reply: str = "reply") -> DataFrame:
@@ -83,7 +84,7 @@ def threats(d: DataFrame, reply: str = "reply") -> DataFrame:
     c = F.col(reply)
     inside = F.when(F.locate(JSON_FENCE, c) > 0, fenced(c, JSON_FENCE)).when(F.locate(FENCE, c) > 0, fenced(c, FENCE))
     j = _parsed(d, c, inside)
-    j = j.withColumn("__v", F.when(F.schema_of_variant("__v").startswith("ARRAY"), F.col("__v").try_cast("array<variant>")))
+    j = with_once(j, "__l", F.when(F.schema_of_variant("__v").startswith("ARRAY"), F.col("__v").try_cast("array<variant>"))).drop("__v").withColumnRenamed("__l", "__v")
     j = j.filter(~F.exists("__v", lambda x: ~F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False))))
     items = F.transform("__v", lambda x, i: F.struct(i.alias("pos"), F.to_json(x).alias("item"), F.json_object_keys(F.to_json(x)).alias("keys")))
     items = F.transform(items, lambda x: x.withField("cvss_estimate", _number(x["item"], x["keys"], "cvss_estimate", "5.0")).withField("confidence", _number(x["item"], x["keys"], "confidence", "0.5")))
@@ -97,8 +98,10 @@ def threats(d: DataFrame, reply: str = "reply") -> DataFrame:
 
 def feedback(d: DataFrame, reply: str = "reply") -> DataFrame:
     """A reply's object, or the first of its list, with defaults; a reply that is no JSON but says valid counts; others give no row."""
-    j = d.withColumn("__t", fenced_json(F.col(reply))).withColumn("__v", whole_json(F.col("__t"))).drop("__t").withColumn("__i", F.when(F.schema_of_variant("__v").startswith("ARRAY"), F.try_variant_get("__v", "$[0]", "variant")).otherwise(F.col("__v")))
-    j = j.withColumn("item", F.to_json("__i")).withColumn("keys", F.json_object_keys("item"))
+    j = with_once(d, "__v", whole_json(fenced_json(F.col(reply))))
+    j = with_once(j, "__i", F.when(F.schema_of_variant("__v").startswith("ARRAY"), F.try_variant_get("__v", "$[0]", "variant")).otherwise(F.col("__v")))
+    j = with_once(j, "item", F.to_json("__i"))
+    j = with_once(j, "keys", F.json_object_keys("item"))
     g = lambda n, default: _get(F.col("item"), F.col("keys"), n, F.lit(default))
     # reasons and citations are texts whatever they are in the reply
     t = lambda n, default: _as_text(get(F.col("__i"), n), g(n, default)).alias(n)
@@ -114,7 +117,7 @@ def _report(d: DataFrame, reply: str) -> DataFrame:
     """With __v: a report's object, the whole reply as JSON or else a closed json fence; null where there is none."""
     c = F.col(reply)
     j = _parsed(d, c, F.when(closed(c, JSON_FENCE), fenced(c, JSON_FENCE)))
-    return j.withColumn("__v", F.when(is_object(F.col("__v")), F.col("__v")))
+    return with_once(j, "__o", F.when(is_object(F.col("__v")), F.col("__v"))).drop("__v").withColumnRenamed("__o", "__v")
 
 
 def recommendations(d: DataFrame, reply: str = "reply") -> DataFrame:
@@ -125,7 +128,7 @@ def recommendations(d: DataFrame, reply: str = "reply") -> DataFrame:
     """
     severity, citations = (lambda r: get(r, "severity")), (lambda r: get(r, "citations"))
     odd = lambda r: ~is_object(r) | (kind(severity(r)) != "STRING") | ~(is_list(citations(r)) | kind(citations(r)).isin("VOID", "STRING") | ~truthy(citations(r)))
-    j = _report(d, reply).withColumn("__r", items(get(F.col("__v"), "recommendations"))).filter(~F.exists("__r", lambda r: F.coalesce(odd(r), F.lit(False))))
+    j = with_once(_report(d, reply), "__r", items(get(F.col("__v"), "recommendations"))).filter(~F.exists("__r", lambda r: F.coalesce(odd(r), F.lit(False))))
     j = j.select(*d.columns, F.posexplode("__r").alias("pos", "__x"))
 
     def text(name: str, default: str) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Stands behind a text while it is parsed; a text that holds it is no JSON here.
@@ -23,6 +23,12 @@ def let(v: Column, use) -> Column:
     return F.get(F.transform(F.array(v), use), F.lit(0))
 
 
+def with_once(d: DataFrame, name: str, c: Column) -> DataFrame:
+    """``d`` with a column that is worked out once a row. An optimizer puts the expression of a plain column into every filter and
+    expression that names it, and of columns over columns a power of that; it does not look into the items of an exploded list."""
+    return d.select("*", F.explode(F.array(c)).alias(name))
+
+
 def whole_json(c: Column) -> Column:
     """A text as a variant if all of it is one JSON value, else null. A JSON null is a variant, not a null.
 

@@ -53,3 +53,14 @@ def test_diagram_defaults(spark):
     c = g.components[0]
     assert (c.coordinates.ymin, c.coordinates.xmin, c.coordinates.ymax, c.coordinates.xmax, c.labels_on_box) == (1, 2, 1, 4, [])
     assert (g.data_flows[0].direction, g.data_flows[0].protocol, g.trust_boundaries) == ("unidirectional", None, [])
+
+
+def test_a_reply_is_parsed_a_fixed_number_of_times(spark):
+    """However many columns and filters stand on a parsed reply, the plan parses the reply once, and once what its fence holds."""
+    d = spark.createDataFrame([('{"recommendations":[{"threat_id":"T"}]}',), ('x ```json {"recommendations":[{"threat_id":"U"}]} ```',), (None,), ('{"recommendations":[1]}',)], "reply string")
+    parses = lambda f: f._jdf.queryExecution().optimizedPlan().toString().lower().replace("_", "").count("parsejson(")
+    t = llmjson.recommendations(d)
+    assert sorted(r.threat_id for r in t.collect()) == ["T", "U"]
+    assert 1 <= parses(t) <= 2 and 1 <= parses(llmjson.report_header(d)) <= 2 and 1 <= parses(llmjson.threats(d)) <= 2
+    assert parses(llmjson.feedback(d)) <= 2  # once in each of its two branches
+    assert all(parses(f(d)) == 1 for f in (llmjson.requirements, llmjson.graph, llmjson.diagram))
