@@ -89,21 +89,22 @@ class Block:
             codes += map(self.after.__getitem__, rest)
         except Odd:
             codes = [self.literal(s) for s in careful(text)]
-        self.docs.append(np.array(codes, np.int64))
+        self.docs.append(np.array(codes, np.int32))
         self.ids.append(doc_id)
         self.size += len(text) + 1
 
     def words(self) -> list[bytes]:
         return [w.encode() for w in self.word]
 
-    def positions(self) -> tuple[np.ndarray, np.ndarray]:
-        """The word numbers of all documents, one after another, and how many each has."""
-        flat, start = np.array(self.flat, np.int64), np.array(self.start, np.int64)
-        size = start[1:] - start[:-1]
-        codes = np.concatenate(self.docs) if self.docs else np.zeros(0, np.int64)
-        of = np.repeat(np.arange(len(self.docs)), [len(d) for d in self.docs])
-        counts = np.bincount(of, weights=size[codes], minlength=len(self.docs)).astype(np.int64)
-        return flat[spread(start[codes], size[codes])], counts
+    def release(self) -> None:
+        """Drop what only adding documents needs; ``after`` also holds the block itself."""
+        self.word, self.other, self.after = {}, {}, None
+
+    def positions(self):
+        """The word numbers of each document, one document at a time: no array of 64 bits is longer than one of them needs."""
+        flat, start = np.array(self.flat, np.int32), np.array(self.start, np.int64)
+        for codes in self.docs:
+            yield flat[spread(start[codes], start[codes + 1] - start[codes])]
 
 
 def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -113,16 +114,16 @@ def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _blocks(batches, pattern: str, block: int):
-    b = Block(pattern)
+    b = [Block(pattern)]  # in a list: a block that is given away is not held here
     for batch in batches:
-        for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            t = t or ""
-            if b.docs and b.size + len(t) > block:
-                yield b
-                b = Block(pattern)
-            b.add(i, t)
-    if b.docs:
-        yield b
+        for i, t in zip(batch.column("doc_id"), batch.column("text")):  # one text at a time as a Python string
+            t = t.as_py() or ""
+            if b[0].docs and b[0].size + len(t) > block:
+                yield b.pop()
+                b.append(Block(pattern))
+            b[0].add(i.as_py(), t)
+    if b[0].docs:
+        yield b.pop()
 
 
 def _block_rows(pattern: str, block: int):
@@ -131,10 +132,15 @@ def _block_rows(pattern: str, block: int):
     def run(batches):
         for b in _blocks(batches, pattern, block):
             words = b.words()
-            flat, counts = b.positions()
+            b.release()
+            row = [pack(np.array([len(w) for w in words], np.int64)), squeeze(b"".join(words))]
+            del words
             ids = np.array([0 if i is None else i for i in b.ids], "<i8")
-            head = np.array([len(ids)], "<i8").tobytes() + ids.tobytes() + np.array([i is None for i in b.ids], np.uint8).tobytes() + counts.astype("<i8").tobytes()
-            row = (pack(np.array([len(w) for w in words], np.int64)), squeeze(b"".join(words)), head, pack(flat))
+            head = np.array([len(ids)], "<i8").tobytes() + ids.tobytes() + np.array([i is None for i in b.ids], np.uint8).tobytes()
+            docs = list(b.positions())
+            del b  # it would be held until the next block is made
+            row += [head + np.array([len(x) for x in docs], "<i8").tobytes(), pack(np.concatenate(docs))]
+            del docs
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names=["sizes", "words", "head", "data"])
 
     return run

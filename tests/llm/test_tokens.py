@@ -2,11 +2,13 @@
 
 import hashlib
 import random
+import weakref
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -126,3 +128,17 @@ def test_op1_query(spark):
         want.append((r["doc_id"], at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     assert sorted(map(tuple, op1_token_files(spark, "/root/testdata/sf0.001").select("doc_id", "start", "n_tokens", "ids_crc32").collect())) == want
+
+
+def test_bpe_holds_one_block_at_a_time(monkeypatch):
+    live = weakref.WeakSet()
+
+    class Counted(bpe.Block):
+        def __init__(self, pattern):
+            assert not live, "a block is made while another is held"
+            super().__init__(pattern)
+            live.add(self)
+
+    monkeypatch.setattr(bpe, "Block", Counted)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(6)), "text": ["some words here", None, "  odd  ", "", "more", "some more"]})
+    assert len(list(bpe._block_rows(P.PATTERN, 10)([batch, batch]))) > 4
