@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize_bucketed, partitions
+from .common import lean, materialize_bucketed, partitions
 from .segments import Odd, Pieces, careful
 
 BLOCK = 24 << 20  # characters of text in a block; a longer document is a block of its own
@@ -283,13 +283,13 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = partitions(spark)
     # the number is given as the block is written, so no two blocks share it, equal as they may be
-    made = d.mapInArrow(_block_rows(pattern, block), BLOCKS).withColumn("block", F.monotonically_increasing_id())
+    made = d.mapInArrow(lean(_block_rows(pattern, block)), BLOCKS).withColumn("block", F.monotonically_increasing_id())
     blocks = materialize_bucketed(made, "block", n, "blocks")
     salts = blocks.count() // salted + 1
-    words = blocks.select("sizes", "words", "block").mapInArrow(_word_rows, WORDS)
+    words = blocks.select("sizes", "words", "block").mapInArrow(lean(_word_rows), WORDS)
     words = words.repartition(n, "word", F.pmod(F.xxhash64("block"), F.lit(salts))).sortWithinPartitions("word")
-    back = words.mapInArrow(_encode_sorted(ranks_path, flush), BACK)
+    back = words.mapInArrow(lean(_encode_sorted(ranks_path, flush)), BACK)
     back = back.groupBy("block").agg(F.collect_list(F.struct("idx", "data")).alias("back"))
     # sorted by block on both sides: the blocks lie in buckets already, and only the ids move
     both = blocks.select("block", "head", "data").join(back.hint("merge"), "block", "left").select("head", "data", "back")
-    return both.mapInArrow(_reassemble(ranks_path), "doc_id long, ids binary, decoded binary")
+    return both.mapInArrow(lean(_reassemble(ranks_path)), "doc_id long, ids binary, decoded binary")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, fits, materialize, semi, with_group
+from .common import SALTS, fits, lean, materialize, semi, with_group
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1_000_003, 92_821_357)
@@ -69,7 +69,7 @@ def _chunks(d: DataFrame, keep: list[str]) -> DataFrame:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """From (doc_id, norm, sha): a row per distinct (doc_id, sha) with bytes, f1, f2 and rows, its number of rows."""
-    parts = _chunks(docs, ["doc_id", "sha"]).mapInArrow(_hash_batches, "doc_id long, sha binary, bytes long, no int, h1 long, h2 long")
+    parts = _chunks(docs, ["doc_id", "sha"]).mapInArrow(lean(_hash_batches), "doc_id long, sha binary, bytes long, no int, h1 long, h2 long")
     g = parts.groupBy("doc_id", "sha", "bytes").agg(F.sum("h1").alias("s1"), F.sum("h2").alias("s2"), F.count_if(F.col("no") == 0).alias("rows"))
     div = lambda s: F.floor(F.col(s) / F.col("rows"))
     exact = lambda s: F.expr(f"{s} div rows")  # noqa: E731  equal rows have equal sums, so this leaves no remainder

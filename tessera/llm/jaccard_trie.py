@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, fits, materialize, partitions, with_group
+from .common import SALTS, fits, lean, materialize, partitions, with_group
 from .components import connected_components
 from .wordhash import M1, M2, mix, starts, word_hashes
 
@@ -505,7 +505,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     spark = docs.sparkSession
     parts = partitions(spark)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    both = materialize(d.mapInArrow(_set_rows(n, batch), SETS), "sets")
+    both = materialize(d.mapInArrow(lean(_set_rows(n, batch)), SETS), "sets")
     sets = both.filter("bucket IS NULL").drop("bucket")
     counts = np.zeros(BUCKETS, np.int64)
     for r in both.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS rows
@@ -514,9 +514,9 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     equal = with_group(able.select("doc_id", "digest").distinct(), ["digest"], "doc_id", F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     equal = materialize(equal.filter("copies > 1").select("doc_id", "rep", "copies"), "equal")
     same = equal.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
-    keys = d.filter("doc_id IS NOT NULL").mapInArrow(_key_rows(n, percent, counts, batch, short), "key long, a long, b long")
+    keys = d.filter("doc_id IS NOT NULL").mapInArrow(lean(_key_rows(n, percent, counts, batch, short)), "key long, a long, b long")
     keys = keys.repartition(parts, "key").sortWithinPartitions("key", "a")
-    near = keys.mapInArrow(_edges, "a long, b long")
+    near = keys.mapInArrow(lean(_edges), "a long, b long")
     groups = connected_components(near, "candidates")
     # of equal sets only the one with the least id is compared, for all its copies; a copy's candidates are the least's too
     many = equal.filter("doc_id = rep").groupBy(F.col("rep").alias("id")).agg(F.sum("copies").alias("copies"))
@@ -527,16 +527,16 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     first = first.withColumn("o", F.explode("others")).withColumn("o", F.explode(F.expr("sequence(o.first, o.first + o.chunks - 1)")))
     first = first.select("comp", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), F.expr("int(chunk > o)").alias("side"), "n", "doc_id", "bitmap")
     first = first.repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j")
-    groups = connected_components(first.mapInArrow(_near_rows(percent), "a long, b long"), "near")
+    groups = connected_components(first.mapInArrow(lean(_near_rows(percent)), "a long, b long"), "near")
     members = _in_groups(groups, rows.groupBy("doc_id").agg(F.sum("n").alias("n"))).join(many.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     members = members.withColumn("copies", F.coalesce("copies", F.lit(1)))
     members = _in_chunks(materialize(members, "classes"), percent, F.lit(chunk)).select("doc_id", "comp", "copies", "chunk", "others")
     members = materialize(members, "members")
     m = members.withColumnRenamed("doc_id", "__id")
     text = d.join(F.broadcast(m) if fits(members.count(), 160) else m, F.col("doc_id") == F.col("__id")).drop("__id")
-    shipped = text.mapInArrow(_member_rows(n, batch), MEMBERS)
+    shipped = text.mapInArrow(lean(_member_rows(n, batch)), MEMBERS)
     shipped = shipped.repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j")
-    links = materialize(shipped.mapInArrow(_join_sorted(percent, counts), LINKS), "links")
+    links = materialize(shipped.mapInArrow(lean(_join_sorted(percent, counts)), LINKS), "links")
     components = connected_components(links.filter("b IS NOT NULL").select("a", "b").unionByName(same), "linked")
     own = links.filter("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n_links").alias("far"))
     # a copy has the links of its set's least id, and one to each other copy

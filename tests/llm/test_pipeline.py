@@ -1,7 +1,10 @@
 """The pipeline, stage by stage, against plain Python on each stage's own input."""
 
 import hashlib
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -85,3 +88,42 @@ def test_near_copies_at_five_words_and_80_percent(spark):
     want = {r["doc_id"] for r in rows if not any(linked(r["text"], o["text"], 5, 80) for o in rows[:r["doc_id"]])}
     df = spark.createDataFrame([(r["doc_id"], r["text"], None, "s", len(r["text"])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id for r in C.near_duplicates(spark, df, "").collect()} == want
+
+
+def test_workers_give_memory_back():
+    """A generator's rows pass unchanged, and at its end the process is about as small as before: Arrow's buffers and the C library's blocks go."""
+    code = """
+import re
+from pathlib import Path
+import pyarrow as pa
+from tessera.llm import common
+
+def held():
+    return int(re.search(r"Anonymous:\\s+(\\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+
+def run(batches):
+    for n in batches:
+        blocks = [bytes([n]) * 100_000 for _ in range(2_000)]
+        last = blocks.pop()
+        yield pa.array(blocks)
+        del blocks
+        yield last  # the block at the top of the heap: the ones below it stay without a trim
+
+run_lean = common.lean(run)
+before, most, last = held(), 0, []
+for x in run_lean([1, 2]):
+    most = max(most, held())
+    last.append(len(x))
+assert last == [1999, 100_000] * 2, last
+del x
+common.give_back()
+assert most > before + 150, (before, most)
+assert held() < before + 40, (before, held())
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(C.__file__).parent)
+
+
+@pytest.mark.parametrize("module", ["bpe", "exact_dedup", "jaccard_trie"])
+def test_stages_of_python_are_lean(module):
+    source = (Path(C.__file__).parent / f"tessera/llm/{module}.py").read_text()
+    assert source.count(".mapInArrow(") == source.count(".mapInArrow(lean(") > 0
