@@ -43,32 +43,50 @@ class Direction:
     def parameters(self):
         return [self.e, self.u]
 
-    def run(self, x: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States (steps, hidden, width) after each of the bytes ``x`` (steps, width), from ``h`` (hidden, width)."""
-        k, one, half = self.hidden, SMALL(1), SMALL(0.5)
-        # twice a sigmoid is a hyperbolic tangent of half the argument, and one; the candidate's product is halved for it
-        e = self.e * np.repeat(np.array([0.5, 0.5, 1], SMALL), k)[:, None]
-        u = self.u * half
+    def run(self, x: np.ndarray, h: np.ndarray, keep: list | None = None, wide: np.ndarray | None = None) -> np.ndarray:
+        """States (steps, hidden, width) after each of the bytes ``x`` (steps, width), from ``h`` (hidden, width). With ``wide``
+        a step is made in so many columns, the first ones; in the others the state stays ``h`` until they begin."""
+        k, one, two = self.hidden, SMALL(1), SMALL(2)
+        # gates are 1 / (1 + exp(-v)), and the candidate's hyperbolic tangent is 1 - 2 / (1 + exp(2 v)); an infinite power gives its limit
+        e = self.e * np.repeat(np.array([-1, -1, 2], SMALL), k)[:, None]
+        u = self.u * np.repeat(np.array([-1, -1, 2], SMALL), k)[:, None]
         out = np.empty((len(x), *h.shape), SMALL)
-        g, a = np.empty((3 * k, h.shape[1]), SMALL), np.empty((3 * k, h.shape[1]), SMALL)
-        gates, z, r, n, a_gates, a_n = g[: 2 * k], g[:k], g[k: 2 * k], g[2 * k:], a[: 2 * k], a[2 * k:]
-        take, matmul, add, multiply, tanh = e.take, np.matmul, np.add, np.multiply, np.tanh
-        for b, o in zip(x, out):
-            take(b, 1, g, "clip")
-            matmul(u, h, a)
-            add(gates, a_gates, gates)
-            tanh(gates, gates)
-            add(gates, one, gates)
-            multiply(a_n, r, a_n)
-            add(n, a_n, n)
-            tanh(n, n)
-            if keep is not None:
-                keep.append((h, z * half, r * half, self.u[2 * k:] @ h, n.copy()))
-            np.subtract(h, n, o)
-            multiply(o, z, o)
-            multiply(o, half, o)
-            add(o, n, o)
-            h = o
+        width = h.shape[1]
+        wide = [width] * len(x) if wide is None else wide.tolist()
+        if min(wide, default=0) < width:
+            out[:] = h
+        room = np.empty((2, 3 * k * width), SMALL)
+        take, matmul, add, subtract, multiply, divide, exp = e.take, np.matmul, np.add, np.subtract, np.multiply, np.divide, np.exp
+        now = -1
+        with np.errstate(over="ignore"):
+            for b, state, w in zip(x, out, wide):
+                if w != now:
+                    g, a = room[:, : 3 * k * w].reshape(2, 3 * k, w)
+                    now = w
+                    gates, z, r, n, a_gates, a_n = g[: 2 * k], g[:k], g[k: 2 * k], g[2 * k:], a[: 2 * k], a[2 * k:]
+                o = state
+                if w < width:
+                    b, o, h = b[:w], o[:, :w], h[:, :w]
+                take(b, 1, g, "clip")
+                matmul(u, h, a)
+                add(gates, a_gates, gates)
+                exp(gates, gates)
+                add(gates, one, gates)
+                divide(one, gates, gates)
+                if keep is not None:
+                    un = a_n * SMALL(0.5)
+                multiply(a_n, r, a_n)
+                add(n, a_n, n)
+                exp(n, n)
+                add(n, one, n)
+                divide(two, n, n)
+                subtract(one, n, n)
+                if keep is not None:
+                    keep.append((h, z.copy(), r.copy(), un, n.copy()))
+                subtract(h, n, o)
+                multiply(o, z, o)
+                add(o, n, o)
+                h = state
         return out
 
     def back(self, x: np.ndarray, keep: list, d_out: np.ndarray) -> list[np.ndarray]:
@@ -232,12 +250,40 @@ class Network:
         return total / np.maximum([[len(t)] for t in texts], 1) if texts else total
 
     def _sums(self, flat: np.ndarray, n: np.ndarray, h: np.ndarray | None = None, g: np.ndarray | None = None):
-        """Sums of the probabilities in each text, and the last state of the forward layer."""
-        back = backwards(n)
-        f, last = self.forward.flow(flat, n, self.w[0], h)
-        f += self.backward.flow(flat[back], n, self.w[1], g)[0][back]
-        f += self.b
-        return np.add.reduceat(softmax(f), np.cumsum(n) - n, axis=0, dtype=np.float64), last
+        """Sums of the probabilities in each text, and the last state of the forward layer. Texts begin side by side, the
+        longest in the first column, and a step has those that are so long: both layers, the backward one from the last
+        step on, have their states in the same places."""
+        order = np.argsort(-n, kind="stable")
+        size, at = n[order], (np.cumsum(n) - n)[order]
+        wide = np.searchsorted(-size, -np.arange(size[0]))  # texts longer than each step
+        none = np.zeros((self.forward.hidden, len(n)), SMALL)
+        h, g = (none.copy() if x is None else np.ascontiguousarray(x[:, order]) for x in (h, g))
+        w, w_back, bias = np.ascontiguousarray(self.w[0].T), np.ascontiguousarray(self.w[1].T), self.b[:, None]
+        blocks = []
+        for t in range(0, len(wide), BLOCK):
+            k = wide[t: t + BLOCK]
+            x = flat[np.minimum(at[: k[0]] + np.arange(t, t + len(k))[:, None], len(flat) - 1)]
+            states = self.forward.run(x, np.ascontiguousarray(h[:, : k[0]]), wide=k)
+            ends = np.minimum(size[: k[0]] - t, len(k)) - 1
+            h[:, : k[0]] = states[ends, :, np.arange(k[0])].T if ends[-1] < len(k) - 1 else states[-1]
+            f = np.matmul(w, states)
+            f += bias
+            blocks.append((k, x, f))
+        total = np.zeros((len(self.labels), len(n)))
+        while blocks:
+            k, x, f = blocks.pop()
+            states = self.backward.run(x[::-1], np.ascontiguousarray(g[:, : k[0]]), wide=k[::-1])
+            g[:, : k[0]] = states[-1]
+            f += np.matmul(w_back, states)[::-1]
+            f -= f.max(axis=1, keepdims=True)
+            np.exp(f, out=f)
+            f /= f.sum(axis=1, keepdims=True)
+            if k[-1] < k[0]:
+                f *= (np.arange(k[0]) < k[:, None])[:, None, :]
+            total[:, : k[0]] += f.sum(axis=0)
+        out, last = np.empty((len(n), len(self.labels))), np.empty_like(h)
+        out[order], last[:, order] = total.T, h
+        return out, last
 
     def _long(self, text: bytes, portion: int) -> np.ndarray:
         """A text in pieces: the states of the backward layer behind each of them first, then the sums from the front."""

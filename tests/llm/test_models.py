@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -217,6 +218,19 @@ def test_documents_are_one_sequence():
         assert np.allclose(g[:, i], b[len(texts[k]) - end - 1] if end < len(texts[k]) else 0, atol=1e-4)
 
 
+def test_documents_keep_sums_of_one_layer():
+    """Beside the texts a portion holds one layer's sums, four bytes for each language and byte of text, not both layers' and their places."""
+    net, r = L.Network(["a", "b", "c"], hidden=4), np.random.default_rng(3)
+    texts = [bytes(r.integers(0, 256, n).astype(np.uint8)) for n in r.integers(500, 1500, 600)]
+    size = sum(map(len, texts))
+    net.documents(texts[:5])
+    tracemalloc.start()
+    net.documents(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25 * size
+
+
 def test_op7_query(spark):
     """The query's rows against a byte at a time, with the network that the operator learns."""
     from tessera.llm.queries import op7_byte_gru
