@@ -1,6 +1,7 @@
 """Many queries at once, isolated failures, the index of vectors, fuzzy matches by bounds, and the fold in rounds."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -8,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import fuzzy, index
 from tessera.functions.vectors import knn_join
-from tessera.operators import dedup, hierarchy, retrieve
+from tessera.operators import dedup, graph, hierarchy, retrieve
 from tessera.plans import fixtures as X
+from tessera.plans import queries as plans
 from tessera.sources import plugins
 
 from .test_reference_ops import fold_python
@@ -182,3 +184,35 @@ def test_cycles_send_no_side_to_the_driver(spark):
     d = hierarchy.cycles(links)
     assert {(r.id, r.cycle) for r in d.collect()} == {(i, 1) for i in (1, 2, 3, 4)}
     assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edges_within_ids(spark):
+    """Both ends must be there, once or more often; an edge comes as often as before; the ids are not sent to every task."""
+    rows = [("a", "b", 1), ("a", "b", 1), ("b", "a", 2), ("a", "x", 3), ("x", "b", 4), (None, "b", 5), ("a", None, 6), ("x", "y", 7)]
+    ids = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "id string")
+    d = graph.within(spark.createDataFrame(rows, "source_id string, target_id string, n int"), ids)
+    assert sorted(tuple(r) for r in d.collect()) == [("a", "b", 1), ("a", "b", 1), ("b", "a", 2)] and d.columns == ["source_id", "target_id", "n"]
+    assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_titles_are_not_sent_to_the_driver(spark):
+    d = spark.createDataFrame([(1, "A", None, 1.0), (2, "B", "a", 1.0), (3, "C", "z", 1.0)], "id long, title string, is_child_of string, confidence double")
+    links, lost = hierarchy.resolve_parents(d), hierarchy.orphans(d)
+    assert [tuple(r) for r in links.collect()] == [(2, 1)] and [r.id for r in lost.collect()] == [3]
+    assert all("Broadcast" not in x._jdf.queryExecution().executedPlan().toString() for x in (links, lost))
+
+
+def test_deletion_holds_no_table_in_a_task(spark):
+    """What stays of the edges is found before equal ones are, and neither their ends nor the requirements are looked up in a table that each task has."""
+    plan = plans.cascade_delete(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not {"source_id", "target_id", "doc_id"} & set(re.findall(r"BroadcastHashJoin \[(\w+)#", plan))
+    assert plan.index("keys=[source_id#") < plan.rindex("ShuffledHashJoin [source_id#")  # the distinct stands above the joins
+
+
+def test_edges_distinct_by_key_and_by_text(spark, tmp_path):
+    rows = [(1, 2, "A"), (1, 2, "A"), (1, 2, "R"), (12, 2, "A"), (1, 22, "A"), (None, 2, "A"), (None, 2, "A"), (1, None, "A"), (1, 2, None), (1, 2, None)]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    every, once = (X.supplied_edges(spark, str(tmp_path), distinct=x) for x in (False, True))
+    got = [tuple(r) for r in once.collect()]
+    assert every.count() == len(rows) and len(got) == len(set(got)) == len(set(rows)) and set(got) == {tuple(r) for r in every.collect()}
+    assert "keys=[l_partkey#" in once._jdf.queryExecution().executedPlan().toString()
